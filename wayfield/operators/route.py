@@ -189,7 +189,8 @@ def placements(pairs: DataFrame, track_table: DataFrame, size: float) -> DataFra
         rows = [(key[0], t, placed[t][0], placed[t][1] - lowest) for t in order]
         return pd.DataFrame(rows, columns=["campaign", "source_idx", "reversed", "offset"])
 
-    return ends.groupBy("campaign").cogroup(pairs.groupBy("campaign")).applyInPandas(place, schema)
+    matched = pairs.select(F.col("campaign").alias("of"), "known", "unknown", "reversed", "offset", "n", "mad")
+    return ends.groupBy("campaign").cogroup(matched.groupBy("of")).applyInPandas(place, schema)
 
 
 def on_route(cum: DataFrame, placed: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def crossings(steps: DataFrame, size: float) -> DataFrame:
     low, high = F.least("prev_distance", "distance"), F.greatest("prev_distance", "distance")
     first, last = segment_id(low, size) + 1, segment_id(high, size)
     crossed = F.when(first <= last, F.sequence(first, last))
-    rows = steps.select("*", F.explode(crossed).alias("segment_id"))
+    rows = steps.drop("segment_id").select("*", F.explode(crossed).alias("segment_id"))
     share = (F.col("segment_id") * size - F.col("prev_distance")) / (F.col("distance") - F.col("prev_distance"))
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
     return rows.withColumns({"sx": F.col("prev_x") + (F.col("x") - F.col("prev_x")) * share, "sy": F.col("prev_y") + (F.col("y") - F.col("prev_y")) * share})

@@ -1,4 +1,482 @@
-"""The registered queries and their SQL, by name."""
+"""The registered queries, by name, with the SQL each is compared with.
+
+All read the given tables through the adapter views. SQL is left out where it can't
+say the same: the greedy placement of tracks, the iterated inverse projection.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo, scalars
+from ..operators import densify, filters, order, route, rules, sync, zones
+from ..sources import adapter, sinks, text
+from . import exports
+
+SIZE, RSRP, SINR = 100.0, -90.0, 5.0
+TOLERANCE = 60_000
+#: Rows of the densify queries: a sparse view, as the full one has no gaps.
+SPARSE = "seq % 97 = 0"
+#: Samples of a track in the route queries.
+SAMPLES = 200
+
+#: Operator sharing rules (fixed values): name, conditions (MCC, MNC, frequency range), operator set.
+RULES = [
+    rules.Rule("Filter_pre_231-01_Orange_s_SWAN_zdielane.txt", ((("MCC", 231, 231), ("MNC", 3, 3), ("Frequency", 783000000, 783000000)),), {"MCC": (231,), "MNC": (1,)}),
+    rules.Rule("Filter_pre_231-02_Slovak_Telekom_s_O2_zdielane.txt", ((("MCC", 231, 231), ("MNC", 6, 6), ("Frequency", 796000000, 796000000)),), {"MCC": (231,), "MNC": (2,)}),
+    rules.Rule("Filter_pre_231-03_SWAN_zdielane_s Orange.txt", ((("MCC", 231, 231), ("MNC", 1, 1), ("Frequency", 1827500000, 1827500000)),), {"MCC": (231,), "MNC": (3,)}),
+    rules.Rule("Filter_pre_231-06_O2_zdielane_s_Slovak_Telekom.txt", ((("MCC", 231, 231), ("MNC", 2, 2), ("Frequency", 3500000000, 3500000000)),), {"MCC": (231,), "MNC": (6,)}),
+    rules.Rule("Filter_pre_231-01_Orange.txt", ((("Frequency", 778000000, 788000000),),), {"MCC": (231,), "MNC": (1,)}),
+    rules.Rule("Filter_pre_231-02_Slovak_Telekom.txt", ((("Frequency", 791000000, 801000000),),), {"MCC": (231,), "MNC": (2,)}),
+    rules.Rule("Filter_pre_231-03_SWAN.txt", ((("Frequency", 1825000000, 1843000000),),), {"MCC": (231,), "MNC": (3, 6)}),
+]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+_M = adapter.MEASUREMENTS.format(**adapter.DUCKDB)
+WITH_M = f"WITH m AS ({_M})"
+_GRID = ", g AS (SELECT *, floor(x / 100) * 100.0 AS zone_x, floor(y / 100) * 100.0 AS zone_y FROM {rows})"
+_STATS = """, s AS (SELECT zone_x, zone_y, mcc, mnc, frequency, pci, CAST(sum(rsrp_c) AS DOUBLE) / count(*) / 100 AS rsrp,
+ CAST(sum(sinr_c) AS DOUBLE) / nullif(count(sinr_c), 0) / 100 AS sinr, count(*) AS n,
+ CASE max(CASE nr WHEN 'yes' THEN 2 WHEN 'no' THEN 1 ELSE 0 END) WHEN 2 THEN 'yes' WHEN 1 THEN 'no' ELSE '' END AS nr, min(seq) AS first_seq
+ FROM g GROUP BY ALL)"""
+_BEST = """, b AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY zone_x, zone_y, mcc, mnc ORDER BY
+ (rsrp >= -90 AND coalesce(sinr >= 5, false)) DESC, rsrp DESC, n DESC, CAST(frequency AS DOUBLE), frequency, CAST(pci AS DOUBLE), pci) AS r FROM s) WHERE r = 1)"""
+WITH_B = WITH_M + _GRID.format(rows="m") + _STATS + _BEST
+WITH_SPARSE = WITH_M + f", sp AS (SELECT * FROM m WHERE {SPARSE})" + _GRID.format(rows="sp") + _STATS + _BEST
+_GOOD = "(rsrp >= -90 AND coalesce(sinr >= 5, true))"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _stats(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    rows = adapter.measurements(spark, sf_dir)
+    rows = rows.filter(where) if where else rows
+    return zones.frequency_stats(zones.grid(filters.grouped_keys(rows), SIZE))
+
+
+def _best(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    return zones.best_frequency(_stats(spark, sf_dir, where), RSRP, SINR)
+
+
+@query(WITH_M + _GRID.format(rows="m") + " SELECT seq, zone_x, zone_y FROM g")
+def grid_zones(spark, sf_dir):
+    return zones.grid(adapter.measurements(spark, sf_dir), SIZE).select("seq", F.col("zone_x"), F.col("zone_y"))
+
+
+@query(WITH_M + _GRID.format(rows="m") + _STATS + " SELECT * FROM s")
+def zone_freq_agg(spark, sf_dir):
+    return _stats(spark, sf_dir)
+
+
+@query(WITH_B + " SELECT * FROM b")
+def best_frequency(spark, sf_dir):
+    return _best(spark, sf_dir)
+
+
+@query(WITH_B + f" SELECT mcc, mnc, count(*) FILTER ({_GOOD}) AS good, count(*) FILTER (NOT {_GOOD}) AS bad FROM b GROUP BY mcc, mnc")
+def operator_stats(spark, sf_dir):
+    return zones.operator_stats(_best(spark, sf_dir), zones.good(RSRP, SINR))
+
+
+@query(
+    WITH_SPARSE + f" SELECT mcc, mnc, count(*) FILTER ({_GOOD}) AS good, count(*) FILTER (NOT {_GOOD}) + (SELECT count(*) FROM (SELECT DISTINCT zone_x, zone_y FROM b)) - count(*) AS bad FROM b GROUP BY mcc, mnc"
+)
+def operator_stats_dense(spark, sf_dir):
+    best = _best(spark, sf_dir, SPARSE)
+    return zones.operator_stats(best, zones.good(RSRP, SINR), total_zones=best.select("zone_x", "zone_y").distinct())
+
+
+@query(
+    WITH_B + """, c AS (SELECT count(DISTINCT (zone_x, zone_y)) AS unique_zones, count(DISTINCT (mcc, mnc)) AS unique_operators, count(*) AS zone_rows,
+ min(zone_x) AS min_x, max(zone_x) AS max_x, min(zone_y) AS min_y, max(zone_y) AS max_y,
+ (max(zone_x) - min(zone_x) + 100) / 100 * ((max(zone_y) - min(zone_y) + 100) / 100) AS theoretical FROM b) SELECT *, unique_zones / theoretical * 100 AS coverage_pct FROM c"""
+)
+def coverage_summary(spark, sf_dir):
+    return zones.coverage_summary(_best(spark, sf_dir), SIZE)
+
+
+@query(WITH_B + " SELECT b.zone_x, b.zone_y, b.mcc, b.mnc, b.first_seq, m.time_ms AS sample_time_ms, m.lon AS sample_lon, m.lat AS sample_lat FROM b JOIN m ON m.seq = b.first_seq")
+def zone_sample_row(spark, sf_dir):
+    rows = adapter.measurements(spark, sf_dir)
+    return zones.sample_rows(_best(spark, sf_dir), rows, ["time_ms", "lon", "lat"]).select("zone_x", "zone_y", "mcc", "mnc", "first_seq", "sample_time_ms", "sample_lon", "sample_lat")
+
+
+@query(WITH_B + " SELECT zone_x, zone_y, mcc, mnc, pci, frequency, round(rsrp * 100) AS rsrp_c, CASE WHEN nr = 'yes' THEN 'yes' ELSE 'no' END AS nr, n AS rows_in_zone, frequency AS frequencies FROM b")
+def zones_export(spark, sf_dir):
+    out = sinks.zones_table(_best(spark, sf_dir).withColumn("rsrp_c", F.round(F.col("rsrp") * 100)))
+    keyed = _best(spark, sf_dir).select("zone_x", "zone_y", "mcc", "mnc", F.round(F.col("rsrp") * 100).alias("rsrp_c"))
+    return out.drop("rsrp", "sinr").join(keyed, ["zone_x", "zone_y", "mcc", "mnc"]).orderBy(*sinks.zone_order(out))
+
+
+@query(
+    WITH_SPARSE + """, t AS (SELECT mcc, mnc, min(seq) AS template_seq FROM sp GROUP BY mcc, mnc), z AS (SELECT DISTINCT zone_x, zone_y FROM b)
+ SELECT zone_x, zone_y, mcc, mnc, template_seq, -174.0 AS rsrp, 'no' AS nr, 0 AS n FROM z CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.zone_x = z.zone_x AND b.zone_y = z.zone_y AND b.mcc = t.mcc AND b.mnc = t.mnc)"""
+)
+def empty_zones(spark, sf_dir):
+    rows = adapter.measurements(spark, sf_dir).filter(SPARSE)
+    return densify.empty_zones(_best(spark, sf_dir, SPARSE), densify.operators_of(rows)).withColumn("rsrp", F.col("rsrp").cast("double"))
+
+
+CUSTOM = "231:03:30, 231:9 231:04:7;231:9:1"
+
+
+@query(WITH_SPARSE + " SELECT zone_x, zone_y, mcc, mnc, pci, -174.0 AS rsrp, 'no' AS nr FROM (SELECT DISTINCT zone_x, zone_y FROM b) CROSS JOIN (VALUES ('231', '9', ''), ('231', '04', '7')) o(mcc, mnc, pci)")
+def custom_operators(spark, sf_dir):
+    added = spark.createDataFrame(densify.custom_list(CUSTOM), "mcc string, mnc string, pci string")
+    return densify.custom_zones(added, _best(spark, sf_dir, SPARSE)).select("zone_x", "zone_y", "mcc", "mnc", "pci", "rsrp", "nr")
+
+
+_TEXTS = """CASE event_id % 8 WHEN 0 THEN ' 12,5 ' WHEN 1 THEN '1.5e2' WHEN 2 THEN '1d' WHEN 3 THEN '0x10' WHEN 4 THEN '' WHEN 5 THEN CAST(event_id AS {s}) || '.0' WHEN 6 THEN '-' || CAST(user_id AS {s}) || ',25' ELSE event_type END"""
+_NUM = "CASE WHEN regexp_matches(replace(trim(t), ',', '.'), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(replace(trim(t), ',', '.') AS DOUBLE) END"
+
+
+def _texts(spark: SparkSession, sf_dir: str, expression: str = _TEXTS) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.expr(expression.format(s="STRING")).alias("t"))
+
+
+def _texts_sql(expression: str = _TEXTS) -> str:
+    return f"WITH x AS (SELECT event_id AS seq, {expression.format(s='VARCHAR')} AS t FROM events)"
+
+
+_HEADERS = "'  ' || event_type || ' [dBm] ' || CAST(user_id % 9 AS {s}) || '-É'"
+
+
+@query(_texts_sql(_HEADERS) + " SELECT seq, regexp_replace(lower(trim(t)), '[^a-z0-9]', '', 'g') AS token FROM x")
+def header_tokens(spark, sf_dir):
+    return _texts(spark, sf_dir, _HEADERS).select("seq", scalars.header_token(F.col("t")).alias("token"))
+
+
+@query(_texts_sql() + f" SELECT seq, {_NUM} AS number FROM x")
+def parse_numbers(spark, sf_dir):
+    return _texts(spark, sf_dir).select("seq", scalars.parse_number(F.col("t")).alias("number"))
+
+
+_SHORT = "CASE WHEN n = floor(n) THEN CAST(CAST(n AS BIGINT) AS VARCHAR) WHEN n IS NOT NULL THEN CAST(n AS VARCHAR) ELSE t END"
+
+
+@query(_texts_sql() + f", y AS (SELECT *, {_NUM} AS n FROM x) SELECT seq, {_SHORT} AS short FROM y")
+def int_like(spark, sf_dir):
+    return _texts(spark, sf_dir).select("seq", scalars.int_like(F.col("t")).alias("short"))
+
+
+_CODES = "CASE event_id % 4 WHEN 0 THEN '0' || CAST(user_id % 10 AS {s}) WHEN 1 THEN CAST(user_id % 10 AS {s}) || '.0' WHEN 2 THEN ' ' || CAST(user_id % 10 AS {s}) ELSE 'x.50' END"
+
+
+@query(_texts_sql(_CODES) + f", y AS (SELECT *, {_NUM} AS n FROM x) SELECT seq, CASE WHEN n IS NULL THEN 'x.5' ELSE CAST(CAST(n AS BIGINT) AS VARCHAR) END AS code FROM y")
+def op_keys(spark, sf_dir):
+    return _texts(spark, sf_dir, _CODES).select("seq", scalars.operator_code(F.col("t")).alias("code"))
+
+
+_STATES = "CASE event_id % 7 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'ÁNO' WHEN 2 THEN '0' WHEN 3 THEN 'False' WHEN 4 THEN 'unknown' WHEN 5 THEN '' ELSE NULL END"
+
+
+@query(_texts_sql(_STATES) + " SELECT seq, CASE WHEN lower(trim(t)) IN ('yes','true','1','y','t','a','ano','áno') THEN 'yes' WHEN lower(trim(t)) IN ('no','false','0','n','f') THEN 'no' ELSE '' END AS nr FROM x")
+def nr_normalise(spark, sf_dir):
+    return _texts(spark, sf_dir, _STATES).select("seq", scalars.nr_state(F.col("t")).alias("nr"))
+
+
+@query(WITH_M + " SELECT seq, CAST(CASE seq % 4 WHEN 0 THEN time_ms // 1000 * 1000 ELSE time_ms END AS BIGINT) AS ms FROM m")
+def epoch_units(spark, sf_dir):
+    """The same instants written as seconds, milli-, micro- and nanoseconds, read back."""
+    ms = F.col("time_ms").cast("double")
+    number = F.expr("case seq % 4 when 0 then cast(time_ms div 1000 as double) when 1 then cast(time_ms as double) when 2 then time_ms * 1e3 else time_ms * 1e6 end")
+    rows = adapter.measurements(spark, sf_dir).filter(ms.isNotNull())
+    return rows.select("seq", scalars.epoch_ms(number).alias("ms"))
+
+
+_CLOCK = "CASE seq % 3 WHEN 0 THEN strftime(make_timestamp(time_ms * 1000), '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(make_timestamp(time_ms * 1000), '%-d.%-m.%Y %-H:%M:%S') ELSE strftime(make_timestamp(time_ms * 1000), '%Y-%m-%dT%H:%M') END"
+
+
+@query(WITH_M + f", c AS (SELECT seq, {_CLOCK} AS t, CASE seq % 3 WHEN 2 THEN time_ms // 60000 * 60000 ELSE time_ms // 1000 * 1000 END AS wall FROM m) SELECT seq, t, CAST(epoch_ms(make_timestamp(wall * 1000) AT TIME ZONE 'Europe/Bratislava') AS BIGINT) AS ms FROM c")
+def parse_times(spark, sf_dir):
+    """Wall-clock texts in three forms, read as local time."""
+    rows = adapter.measurements(spark, sf_dir).withColumn("ts", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, time_ms div 1000)"))
+    written = F.when(F.col("seq") % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("seq") % 3 == 1, F.date_format("ts", "d.M.yyyy H:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm"))
+    return rows.select("seq", written.alias("t")).withColumn("ms", scalars.datetime_ms(F.col("t")))
+
+
+_SIGNAL = "CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(user_id AS {s}) || ',5' END AS rsrp, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE '48.1' END AS lat, CASE WHEN event_id % 17 = 0 THEN '' ELSE '17,2' END AS lon"
+
+
+@query("SELECT event_id AS seq FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0")
+def usable_rows(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS seq", *[f"{x.strip()}" for x in _SIGNAL.format(s="STRING").replace(", CASE", "\x00CASE").split("\x00")])
+    return filters.usable(rows).select("seq")
+
+
+@query(WITH_M + ", r AS (SELECT min(time_ms) AS a FROM m) SELECT seq FROM m, r WHERE NOT (time_ms BETWEEN a AND a + 3600000) AND NOT (time_ms BETWEEN a + 7200000 AND a + 10800000)")
+def exclude_windows(spark, sf_dir):
+    rows = adapter.measurements(spark, sf_dir)
+    a = rows.agg(F.min("time_ms")).first()[0]
+    return filters.exclude_windows(rows, [(a, a + 3600000), (a + 7200000, a + 10800000)]).select("seq")
+
+
+@query(WITH_M + " SELECT seq FROM m WHERE seq % 10 <> 3")
+def exclude_rows(spark, sf_dir):
+    rows = adapter.measurements(spark, sf_dir)
+    return filters.exclude_rows(rows, rows.filter("seq % 10 = 3").select("seq"), "seq").select("seq")
+
+
+@query(WITH_M + " SELECT seq FROM m WHERE nr = 'yes'")
+def nr_yes_only(spark, sf_dir):
+    return filters.nr_yes(adapter.measurements(spark, sf_dir)).select("seq")
+
+
+@query(WITH_M + " SELECT seq, CASE WHEN seq % 5 = 0 THEN 'k' || CAST(seq AS VARCHAR) ELSE CAST(row_number() OVER (ORDER BY seq) AS VARCHAR) END AS row_id FROM m")
+def row_ids(spark, sf_dir):
+    rows = adapter.measurements(spark, sf_dir).select("seq", F.expr("case when seq % 5 = 0 then ' k' || seq || ' ' else ' ' end").alias("old"))
+    return order.row_ids(rows, "old").select("seq", "row_id")
+
+
+_NULLED = "CASE WHEN seq % 7 = 0 THEN NULL ELSE time_ms END"
+
+
+@query(WITH_M + f" SELECT seq, row_number() OVER (ORDER BY {_NULLED} ASC NULLS LAST, seq) - 1 AS sorted_seq FROM m")
+def time_sort(spark, sf_dir):
+    rows = adapter.measurements(spark, sf_dir).select("seq", F.expr(_NULLED).alias("time_ms"))
+    return order.time_sort(rows).select("seq", "sorted_seq")
+
+
+@query(WITH_M + f", t AS (SELECT {_NULLED} AS ms FROM m) SELECT count(*) AS total, count(ms) AS timed, min(ms) AS first_ms, max(ms) AS last_ms FROM t")
+def time_profile(spark, sf_dir):
+    rows = adapter.measurements(spark, sf_dir).select(F.expr(_NULLED).alias("ms"))
+    return rows.agg(F.count("*").alias("total"), F.count("ms").alias("timed"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+
+
+def _rule_values() -> str:
+    rows = []
+    for r in RULES:
+        for k, g in enumerate(r.groups):
+            at = {f: (a, b) for f, a, b in g}
+            eq = lambda f, at=at: str(at[f][0]) if f in at else "NULL"
+            rows.append(f"('{r.name}', {k}, {len(g)}, {eq('MCC')}, {eq('MNC')}, {at['Frequency'][0]}, {at['Frequency'][1]})")
+    return ", ".join(rows)
+
+
+_RULED = WITH_M + f""", r AS (SELECT * FROM (VALUES {_rule_values()}) v(rule, g, n, mcc_eq, mnc_eq, lo, hi)),
+ hit AS (SELECT m.seq, r.rule, row_number() OVER (PARTITION BY m.seq ORDER BY r.n DESC, r.rule) AS k FROM m JOIN r ON (r.mcc_eq IS NULL OR CAST(m.mcc AS DOUBLE) = r.mcc_eq)
+ AND (r.mnc_eq IS NULL OR CAST(m.mnc AS DOUBLE) = r.mnc_eq) AND (CASE WHEN r.lo = r.hi THEN CAST(m.frequency AS DOUBLE) = r.lo ELSE CAST(m.frequency AS DOUBLE) >= r.lo AND CAST(m.frequency AS DOUBLE) < r.hi END)),
+ ruled AS (SELECT m.*, hit.rule FROM m LEFT JOIN hit ON hit.seq = m.seq AND hit.k = 1)"""
+
+
+@query(_RULED + " SELECT seq, rule FROM ruled")
+def rule_match(spark, sf_dir):
+    return rules.match(adapter.measurements(spark, sf_dir), RULES).select("seq", "rule")
+
+
+@query(
+    _RULED
+    + " SELECT seq, 0 AS pos, mcc, mnc FROM ruled UNION ALL SELECT seq, v.pos, v.mcc, v.mnc FROM ruled JOIN (VALUES "
+    + ", ".join(f"('{r.name}', {k}, '{int(c['MCC'])}', '{int(c['MNC'])}')" for r in RULES for k, c in enumerate(r.combinations(), 1))
+    + ") v(rule, pos, mcc, mnc) ON v.rule = ruled.rule"
+)
+def rule_expand(spark, sf_dir):
+    rows = rules.match(adapter.measurements(spark, sf_dir), RULES)
+    return rules.expand(rows, RULES, keep_original=True).select("seq", "pos", "mcc", "mnc")
+
+
+_SYNC = """, p AS (SELECT * FROM m WHERE nr <> ''), q AS (SELECT seq, source_idx, time_ms, {mcc} AS mcc, mnc FROM m WHERE nr = ''),
+ j AS (SELECT q.seq, count(*) FILTER (p.nr = 'yes') AS yes_n, count(*) FILTER (p.nr = 'no') AS no_n FROM q JOIN p ON ({on}) AND p.time_ms BETWEEN q.time_ms - 60000 AND q.time_ms + 60000 GROUP BY q.seq),
+ y AS (SELECT q.seq, q.source_idx, q.time_ms, CASE WHEN coalesce(yes_n, 0) > 0 THEN 'yes' ELSE 'no' END AS nr, coalesce(yes_n, 0) AS yes_n, coalesce(no_n, 0) AS no_n, q.mcc = '' AS fallback FROM q LEFT JOIN j USING (seq))"""
+_SYNC_ON = "p.mcc = q.mcc AND p.mnc = q.mnc"
+_SYNCED = WITH_M + _SYNC.format(mcc="mcc", on=_SYNC_ON)
+_FALLEN = WITH_M + _SYNC.format(mcc="CASE WHEN seq % 3 = 0 THEN '' ELSE mcc END", on=f"q.mcc = '' OR ({_SYNC_ON})")
+
+
+def _synced(spark: SparkSession, sf_dir: str, drop: bool = False) -> DataFrame:
+    rows = adapter.measurements(spark, sf_dir)
+    own = rows.filter("nr = ''")
+    if drop:
+        own = own.withColumn("mcc", F.expr("case when seq % 3 = 0 then '' else mcc end"))
+    return sync.sync(own, rows.filter("nr <> ''"), TOLERANCE)
+
+
+@query(_SYNCED + " SELECT seq, nr, yes_n, no_n FROM y")
+def nr_sync(spark, sf_dir):
+    return _synced(spark, sf_dir).select("seq", "nr", "yes_n", "no_n")
+
+
+@query(_FALLEN + " SELECT seq, nr, yes_n, no_n, fallback FROM y")
+def nr_sync_fallback(spark, sf_dir):
+    return _synced(spark, sf_dir, drop=True).select("seq", "nr", "yes_n", "no_n", "fallback")
+
+
+@query(
+    _FALLEN + " SELECT count(*) AS total, count(*) FILTER (nr = 'yes') AS yes, count(*) FILTER (nr = 'no') AS \"no\", count(*) FILTER (yes_n + no_n > 0) AS matched, count(*) FILTER (yes_n > 0 AND no_n > 0) AS conflicts, count(*) FILTER (fallback) AS fallback_rows FROM y"
+)
+def nr_sync_stats(spark, sf_dir):
+    return sync.sync_stats(_synced(spark, sf_dir, drop=True))
+
+
+@query(_SYNCED + " SELECT source_idx, count(*) AS \"rows\", count(time_ms) AS timed, count(*) FILTER (yes_n + no_n > 0) AS matched FROM y GROUP BY source_idx")
+def sync_source_check(spark, sf_dir):
+    return sync.source_check(_synced(spark, sf_dir))
+
+
+@query(WITH_M + " SELECT source_idx, count(*) AS \"rows\", count(*) FILTER (nr <> '') AS usable, count(*) FILTER (nr = 'yes') AS yes FROM m GROUP BY source_idx")
+def lte_source_check(spark, sf_dir):
+    return sync.state_check(adapter.measurements(spark, sf_dir))
+
+
+_FILE = "CAST(source_idx AS BIGINT) * 100000 + seq // 5000"
+
+
+@query(
+    WITH_M + """ SELECT mcc, mnc, pci, frequency, CAST(rsrp_c AS VARCHAR) AS rsrp, CASE WHEN source_idx = 1 THEN coalesce(CAST(sinr_c AS VARCHAR), '') ELSE '' END AS sinr, CASE WHEN source_idx = 2 THEN 'r;"' || CAST(seq AS VARCHAR) || '"' ELSE '' END AS note, count(*) AS n FROM m GROUP BY ALL"""
+)
+def union_by_name(spark, sf_dir):
+    """Measurements written as exports of three layouts, read back and united by name."""
+    table = text.read(spark, exports.written(spark, sf_dir))
+    return table.groupBy(F.col("MCC").alias("mcc"), F.col("MNC").alias("mnc"), F.col("PCI").alias("pci"), F.col("Frequency").alias("frequency"), F.col("RSRP").alias("rsrp"), F.col("SINR").alias("sinr"), F.col("note")).agg(F.count("*").alias("n"))
+
+
+@query(WITH_M + f", f AS (SELECT DISTINCT source_idx, {_FILE} AS file FROM m) SELECT source_idx AS layout, 'utf-8' AS encoding, CASE source_idx WHEN 2 THEN 2 ELSE 0 END AS header_line, CASE source_idx WHEN 2 THEN '5g' ELSE 'unknown' END AS technology, count(*) AS files FROM f GROUP BY source_idx")
+def preview_schema(spark, sf_dir):
+    seen = text.preview(spark, exports.written(spark, sf_dir))
+    layout = F.when(F.array_contains("columns", "SINR"), 1).when(F.array_contains("columns", "note"), 2).otherwise(0)
+    return seen.groupBy(layout.alias("layout"), "encoding", "header_line", "technology").agg(F.count("*").alias("files"))
+
+
+@query(WITH_M + f", f AS (SELECT DISTINCT source_idx, {_FILE} AS file FROM m) SELECT field, CASE source_idx WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS own_name, a AS common, count(*) AS files FROM f CROSS JOIN (VALUES ('latitude', 'Latitude', 'Lat', 'latitude'), ('longitude', 'Longitude', 'Lng', 'longitude'), ('frequency', 'Frequency', 'freq', 'NR-ARFCN'), ('rsrp', 'RSRP', 'rsrp', 'SSS-RSRP')) v(field, a, b, c) GROUP BY ALL")
+def alias_union(spark, sf_dir):
+    """The name each file uses for a field, and the one it has in the union."""
+    meta = text.inspect(spark, exports.written(spark, sf_dir))
+    names = text.canonical(meta)
+    rows = [(f, c, names[m.path][c]) for m in meta for f in ("latitude", "longitude", "frequency", "rsrp") for c in m.columns if text.token(c) in text.FIELDS[f]]
+    return spark.createDataFrame(rows, "field string, own_name string, common string").groupBy("field", "own_name", "common").agg(F.count("*").alias("files"))
+
+
+@query(WITH_M + f" SELECT source_idx AS layout, count(DISTINCT {_FILE}) AS files, 'rsrp' AS token FROM m WHERE source_idx = 1 GROUP BY source_idx")
+def header_ambiguity(spark, sf_dir):
+    """Files in which two columns mean the same by their letters; the second layout is written with one more RSRP column."""
+    found = text.ambiguous(text.inspect(spark, exports.written(spark, sf_dir, twice=True)))
+    return spark.createDataFrame([(1, t, p) for p, t in found], "layout int, token string, path string").groupBy("layout", "token").agg(F.count("*").alias("files"))
+
+
+@query(WITH_M + f" SELECT 'pci' AS field, count(DISTINCT {_FILE}) AS files FROM m WHERE source_idx = 0")
+def required_columns(spark, sf_dir):
+    """Files without a required field; the first layout is written without PCI."""
+    found = text.missing_fields(text.inspect(spark, exports.written(spark, sf_dir, without_pci=True)))
+    return spark.createDataFrame(found, "path string, field string").groupBy("field").agg(F.count("*").alias("files"))
+
+
+_CUM = f"""WITH rp AS ({adapter.ROUTE_POINTS}), st AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM rp WINDOW w AS (PARTITION BY source_idx ORDER BY seq)),
+ cu AS (SELECT *, sum(coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0.0)) OVER (PARTITION BY source_idx ORDER BY seq) AS cum FROM st),
+ c AS (SELECT *, lag(cum) OVER (PARTITION BY source_idx ORDER BY seq) AS pcum FROM cu)"""
+
+
+def _cum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.cumulative(adapter.route_points(spark, sf_dir), chunk=500)
+
+
+@query(_CUM + " SELECT source_idx, seq, cum FROM c")
+def cum_distance(spark, sf_dir):
+    return _cum(spark, sf_dir).select("source_idx", "seq", "cum")
+
+
+@query(_CUM + " SELECT source_idx, count(*) AS points, max(cum) AS length FROM c GROUP BY source_idx")
+def track_lengths(spark, sf_dir):
+    return route.tracks(_cum(spark, sf_dir)).select("source_idx", "points", "length")
+
+
+@query(_CUM + " SELECT source_idx, seq, CAST(floor((cum + 1e-9) / 100) AS BIGINT) AS segment_id FROM c")
+def segment_ids(spark, sf_dir):
+    return route.single(_cum(spark, sf_dir)).select("source_idx", "seq", route.segment_id(F.col("distance"), SIZE).alias("segment_id"))
+
+
+_CROSS = """ k AS (SELECT *, CAST(floor((least(pcum, cum) + 1e-9) / 100) AS BIGINT) + 1 AS lo, CAST(floor((greatest(pcum, cum) + 1e-9) / 100) AS BIGINT) AS hi FROM {rows} WHERE pcum IS NOT NULL),
+ e AS (SELECT *, unnest(generate_series(lo, hi)) AS segment_id FROM k WHERE lo <= hi),
+ h AS (SELECT *, least(1.0, greatest(0.0, (segment_id * 100 - pcum) / (cum - pcum))) AS f FROM e)"""
+
+
+@query(
+    _CUM + "," + _CROSS.format(rows="c") + """, u AS (SELECT segment_id, 0 AS p, source_idx, seq, px + (x - px) * f AS sx, py + (y - py) * f AS sy FROM h UNION ALL
+ SELECT CAST(floor((cum + 1e-9) / 100) AS BIGINT), 1, source_idx, seq, x, y FROM c) SELECT segment_id, sx AS x, sy AS y FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY p, source_idx, seq) AS r FROM u) WHERE r = 1"""
+)
+def segment_starts(spark, sf_dir):
+    return route.segment_starts(route.single(_cum(spark, sf_dir)), SIZE).select("segment_id", "x", "y")
+
+
+#: Segment length and stretches (metres) taken out of the route in the gap query.
+GAP_SIZE = 20.0
+_HOLES = " AND ".join(f"(distance < {a} OR distance > {a + 70})" for a in (60, 1700))
+
+
+@query(
+    _CUM + f""", d AS (SELECT *, CAST(NULL AS DOUBLE) AS nothing FROM c WHERE {_HOLES.replace('distance', 'cum')}), v AS (SELECT DISTINCT cum, x, y FROM d),
+ l AS (SELECT cum, x, y, lag(cum) OVER o AS pcum, lag(x) OVER o AS px, lag(y) OVER o AS py FROM v WINDOW o AS (ORDER BY cum, x, y)),""" + _CROSS.format(rows="l").replace("100", "20") + f""",
+ own AS (SELECT DISTINCT CAST(floor((cum + 1e-9) / 20) AS BIGINT) AS s FROM d),
+ kc AS (SELECT CAST(floor((least(pcum, cum) + 1e-9) / 20) AS BIGINT) + 1 AS lo, CAST(floor((greatest(pcum, cum) + 1e-9) / 20) AS BIGINT) AS hi FROM d WHERE pcum IS NOT NULL),
+ inner_ids AS (SELECT DISTINCT unnest(generate_series(lo, hi)) AS s FROM kc WHERE lo <= hi)
+ SELECT segment_id, px + (x - px) * f AS x, py + (y - py) * f AS y FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY cum, x, y) AS r FROM h) WHERE r = 1 AND segment_id NOT IN (SELECT s FROM own) AND segment_id NOT IN (SELECT s FROM inner_ids)"""
+)
+def gap_segments(spark, sf_dir):
+    """Two stretches are taken out of the route; their segments are found again between their ends."""
+    kept = route.single(_cum(spark, sf_dir)).filter(_HOLES)
+    return route.gap_segments(kept, GAP_SIZE, strip=1000.0).select("segment_id", "x", "y")
+
+
+_SAMPLED = _CUM + f""", t AS (SELECT source_idx, count(*) AS n, least(count(*), {SAMPLES}) AS m, max(cum) AS len, max(seq) AS last FROM c GROUP BY source_idx),
+ pre AS (SELECT c.*, m, len, last, lag(seq) OVER (PARTITION BY c.source_idx ORDER BY seq) AS pseq FROM c JOIN t USING (source_idx)),
+ g AS (SELECT source_idx, m, len, unnest(generate_series(0, m - 1)) AS k FROM t),
+ hits AS (SELECT g.source_idx, g.k, g.len * g.k / (g.m - 1) AS target, pre.* EXCLUDE (source_idx, m, len) FROM g JOIN pre ON pre.source_idx = g.source_idx AND pre.cum >= g.len * g.k / (g.m - 1) AND (pre.pcum IS NULL OR pre.pcum < g.len * g.k / (g.m - 1))),
+ pick AS (SELECT source_idx, k, CASE WHEN pcum IS NOT NULL AND abs(pcum - target) < abs(cum - target) THEN px ELSE x END AS x, CASE WHEN pcum IS NOT NULL AND abs(pcum - target) < abs(cum - target) THEN py ELSE y END AS y,
+ CASE WHEN pcum IS NOT NULL AND abs(pcum - target) < abs(cum - target) THEN pcum ELSE cum END AS cum FROM hits UNION ALL SELECT source_idx, m, x, y, cum FROM pre WHERE seq = last),
+ ld AS (SELECT *, lag(cum) OVER (PARTITION BY source_idx ORDER BY k) AS pc, lag(x) OVER (PARTITION BY source_idx ORDER BY k) AS lx, lag(y) OVER (PARTITION BY source_idx ORDER BY k) AS ly FROM pick),
+ sm AS (SELECT source_idx, k, x, y, cum FROM ld WHERE pc IS NULL OR NOT (abs(cum - pc) <= 1e-6 AND sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly)) <= 1e-6))"""
+_PAIRED = _SAMPLED + """, pr AS (SELECT a.source_idx AS known, b.source_idx AS unknown, a.k AS known_k, b.k AS unknown_k, a.cum AS known_cum, b.cum AS unknown_cum FROM sm a JOIN sm b ON a.source_idx <> b.source_idx AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 75)"""
+
+
+@query(_SAMPLED + " SELECT source_idx, k, x, y, cum FROM sm")
+def track_samples(spark, sf_dir):
+    return route.samples(_cum(spark, sf_dir), SAMPLES).select("source_idx", "k", "x", "y", "cum")
+
+
+@query(_PAIRED + " SELECT known, unknown, known_k, unknown_k FROM pr")
+def track_proximity(spark, sf_dir):
+    return route.proximity(route.samples(_cum(spark, sf_dir), SAMPLES)).select("known", "unknown", "known_k", "unknown_k")
+
+
+@query(
+    _PAIRED + """, dl AS (SELECT known, unknown, known_k, unknown_k, r.reversed, known_cum - CASE WHEN r.reversed THEN t.len - unknown_cum ELSE unknown_cum END AS delta FROM pr JOIN t ON t.source_idx = pr.unknown CROSS JOIN (VALUES (false), (true)) r(reversed)),
+ md AS (SELECT known, unknown, reversed, quantile_cont(delta, 0.5) AS "offset", count(*) AS n, count(DISTINCT known_k) AS a, count(DISTINCT unknown_k) AS b FROM dl GROUP BY ALL),
+ ma AS (SELECT dl.known, dl.unknown, dl.reversed, quantile_cont(abs(delta - md."offset"), 0.5) AS mad FROM dl JOIN md ON md.known = dl.known AND md.unknown = dl.unknown AND md.reversed = dl.reversed GROUP BY ALL)
+ SELECT md.known, md.unknown, md.reversed, round(md."offset", 6) AS "offset", md.n, round(ma.mad, 6) AS mad FROM md JOIN ma ON md.known = ma.known AND md.unknown = ma.unknown AND md.reversed = ma.reversed WHERE a >= 2 AND b >= 2 AND mad <= 75"""
+)
+def track_alignment(spark, sf_dir):
+    cum = _cum(spark, sf_dir)
+    points = route.samples(cum, SAMPLES)
+    return route.alignment(route.proximity(points), route.tracks(cum), points).select("known", "unknown", "reversed", F.round("offset", 6).alias("offset"), "n", F.round("mad", 6).alias("mad"))
+
+
+@query()
+def track_placement(spark, sf_dir):
+    return route.common_route(adapter.route_points(spark, sf_dir), SIZE, SAMPLES).select("source_idx", "seq", F.round("distance", 6).alias("distance"), "segment_id")
+
+
+@query()
+def reproject(spark, sf_dir):
+    rows = geo.reproject(adapter.measurements(spark, sf_dir).select("seq", "lon", "lat"))
+    return rows.select("seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query()
+def zone_centres(spark, sf_dir):
+    """Centres of the distinct zones of projected measurements, in degrees."""
+    projected = geo.reproject(adapter.measurements(spark, sf_dir).select("seq", "lon", "lat"))
+    found = zones.grid(projected, SIZE).select("zone_x", "zone_y").distinct()
+    x, y = zones.zone_centre(SIZE)
+    return found.withColumn("c", geo.unproject(x, y)).select("zone_x", "zone_y", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
