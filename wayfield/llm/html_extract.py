@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass decides what it can
 from where a block stands, its length, the share of its characters inside links and
 the share of stop words among its words; short or middling blocks stay open. The
-second pass gives an open block the label of the nearest decided block of its region.
+second pass gives an open block the label of the nearest decided block of its region;
+outside articles the ends of the page count as decided against.
 """
 
 from __future__ import annotations
@@ -166,8 +167,11 @@ def classify(blocks: list[Block]) -> None:
         if b.good is not None:
             marked.append(b.good)
             continue
-        near = [(abs(i - k), not d.good, d.good) for k, d in _around(decided, i, b.region)]
-        marked.append(min(near)[2] if near else bool(b.region))
+        # On a tie a block of an article is kept and any other is not; outside, the page's ends count as decided.
+        near = [(abs(i - k), d.good != bool(b.region), d.good) for k, d in _around(decided, i, b.region)]
+        if not b.region:
+            near += [(i + 1, False, False), (len(blocks) - i, False, False)]
+        marked.append(min(near)[2] if near else True)
     for b, good in zip(blocks, marked, strict=True):
         b.good = good
 
