@@ -23,13 +23,13 @@ SAMPLES = 200
 
 #: Operator sharing rules (fixed values): name, conditions (MCC, MNC, frequency range), operator set.
 RULES = [
-    rules.Rule("Filter_pre_231-01_Orange_s_SWAN_zdielane.txt", ((("MCC", 231, 231), ("MNC", 3, 3), ("Frequency", 783000000, 783000000)),), {"MCC": (231,), "MNC": (1,)}),
-    rules.Rule("Filter_pre_231-02_Slovak_Telekom_s_O2_zdielane.txt", ((("MCC", 231, 231), ("MNC", 6, 6), ("Frequency", 796000000, 796000000)),), {"MCC": (231,), "MNC": (2,)}),
-    rules.Rule("Filter_pre_231-03_SWAN_zdielane_s Orange.txt", ((("MCC", 231, 231), ("MNC", 1, 1), ("Frequency", 1827500000, 1827500000)),), {"MCC": (231,), "MNC": (3,)}),
-    rules.Rule("Filter_pre_231-06_O2_zdielane_s_Slovak_Telekom.txt", ((("MCC", 231, 231), ("MNC", 2, 2), ("Frequency", 3500000000, 3500000000)),), {"MCC": (231,), "MNC": (6,)}),
-    rules.Rule("Filter_pre_231-01_Orange.txt", ((("Frequency", 778000000, 788000000),),), {"MCC": (231,), "MNC": (1,)}),
-    rules.Rule("Filter_pre_231-02_Slovak_Telekom.txt", ((("Frequency", 791000000, 801000000),),), {"MCC": (231,), "MNC": (2,)}),
-    rules.Rule("Filter_pre_231-03_SWAN.txt", ((("Frequency", 1825000000, 1843000000),),), {"MCC": (231,), "MNC": (3, 6)}),
+    rules.Rule("share 1 with 3", ((("MCC", 231, 231), ("MNC", 3, 3), ("Frequency", 783000000, 783000000)),), {"MCC": (231,), "MNC": (1,)}),
+    rules.Rule("share 2 with 6", ((("MCC", 231, 231), ("MNC", 6, 6), ("Frequency", 796000000, 796000000)),), {"MCC": (231,), "MNC": (2,)}),
+    rules.Rule("share 3 with 1", ((("MCC", 231, 231), ("MNC", 1, 1), ("Frequency", 1827500000, 1827500000)),), {"MCC": (231,), "MNC": (3,)}),
+    rules.Rule("share 6 with 2", ((("MCC", 231, 231), ("MNC", 2, 2), ("Frequency", 3500000000, 3500000000)),), {"MCC": (231,), "MNC": (6,)}),
+    rules.Rule("band of 1", ((("Frequency", 778000000, 788000000),),), {"MCC": (231,), "MNC": (1,)}),
+    rules.Rule("band of 2", ((("Frequency", 791000000, 801000000),),), {"MCC": (231,), "MNC": (2,)}),
+    rules.Rule("band of 3", ((("Frequency", 1825000000, 1843000000),),), {"MCC": (231,), "MNC": (3, 6)}),
 ]
 
 QUERIES: dict = {}
