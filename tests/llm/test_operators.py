@@ -446,6 +446,12 @@ def test_pages_without_article():
     assert html_extract.extract(page) == "\n\n".join([body.strip(), "Tiny one.", body.strip()])
 
 
+def test_article_known_by_name():
+    page = """<body><div id="main-menu"><a href=1>One</a></div><div class="page-content"><ul><li><a href=2>Two</a></ul><h2>Title</h2>
+    <p>aab | ccd | eef | ggh | iij | kkl | mmn | oop | qqr | sst | uuv | wwx | yyz | aab | ccd</p><p>Short.</p><div class="cookie-notice">We use them</div></div><div>other</div></body>"""
+    assert html_extract.extract(page).split("\n\n") == ["Title", "aab | ccd | eef | ggh | iij | kkl | mmn | oop | qqr | sst | uuv | wwx | yyz | aab | ccd", "Short."]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("<>/=\"'&;! abpdivscrlenty-\n", max_size=200))
 def test_broken_markup_does_no_harm(page):

@@ -49,7 +49,9 @@ ASIDE_NAME = re.compile(
     r"share|sharing|social|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|comments?|replies|reply|disqus|respond|pagination|pager|login|signup|search|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: Words in class, id, role or itemprop that mark the article where no tag does.
+REGION_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|entry|story)(?:$|[\s_-])", re.I)
+_NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 
 
@@ -59,6 +61,7 @@ class Block:
     aside: bool
     text: str
     linked: int = 0
+    named: bool = False  # the region is known by a name only
     good: bool | None = None
 
 
@@ -67,13 +70,14 @@ class _Page:
     blocks: list[Block] = field(default_factory=list)
     open: list[tuple[str, bool, int]] = field(default_factory=list)  # tag, aside, region
     parts: list[tuple[str, bool]] = field(default_factory=list)  # text, linked
+    named: set[int] = field(default_factory=set)  # regions known by a name only
 
     def end_block(self) -> None:
         text = " ".join("".join(t for t, _ in self.parts).split())
         if text:
             _, aside, region = self.open[-1] if self.open else ("", False, 0)
             linked = sum(len(" ".join(t.split())) for t, link in self.parts if link)
-            self.blocks.append(Block(region, aside, text, linked))
+            self.blocks.append(Block(region, aside, text, linked, region in self.named))
         self.parts.clear()
 
     def close(self, tag: str) -> None:
@@ -133,9 +137,11 @@ def blocks_of(page: str) -> list[Block]:
                 named = " ".join(next(filter(None, m), "") for m in _NAMES.findall(names)) if names else ""
                 if tag in ASIDE or tag == "header" and not region or named and tag not in REGION and tag not in ("body", "html") and ASIDE_NAME.search(named):
                     aside = True
-                elif tag in REGION and not region and not aside:
+                elif not aside and (tag in REGION and (not region or region in state.named) or not region and named and tag not in ("body", "html") and REGION_NAME.search(named)):
                     regions += 1
                     region = regions
+                    if tag not in REGION:
+                        state.named.add(region)
                 state.open.append((tag, aside, region))
     state.end_block()
     return state.blocks
@@ -152,6 +158,8 @@ def classify(blocks: list[Block]) -> None:
         size, links = len(b.text), b.linked / len(b.text)
         if b.aside:
             b.good = False
+        elif b.named and links > LINKS:
+            b.good = False
         elif b.region:
             b.good = True if size >= SHORT and links <= LINKS else None
         elif links > LINKS:
