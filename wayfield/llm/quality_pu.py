@@ -174,7 +174,12 @@ def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col:
     trusted = trusted.filter(order < share(trusted, POSITIVES))
     texts = docs.filter(F.col(text_col).isNotNull()).select(id_col, text_col)
     some = texts.filter(order < share(texts.select(id_col), UNLABELLED))
-    got = lambda rows: np.array([r.x for r in rows.select(id_col, _measured(F.col(text_col)).alias("x")).orderBy(id_col, "x").collect()], float).reshape(-1, len(NAMES))
+
+    def got(rows: DataFrame) -> np.ndarray:
+        """Statistics of the rows, one for an id, however often it occurs."""
+        found = rows.select(id_col, _measured(F.col(text_col)).alias("x")).groupBy(id_col).agg(F.min("x").alias("x")).collect()
+        return np.array([r.x for r in sorted(found, key=lambda r: (r[0] is None, r[0] or 0))], float).reshape(-1, len(NAMES))
+
     return fit_rows(got(texts.join(F.broadcast(trusted), id_col, "left_semi")), got(some))
 
 

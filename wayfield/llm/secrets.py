@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_i
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     near = [F.when((F.col("label") == v) & (F.col("h") < int(SPAN * min(1.0, 2 * FINDINGS / n))), True) for v, n in counts.items()]
     picked = rows.filter(F.coalesce(*near, F.lit(False)) if near else F.lit(False))
-    picked = picked.select("label", "h", features(F.col("f"), transitions, common).alias("x")).collect()
+    # Copies of a finding count once.
+    picked = picked.dropDuplicates(["label", "h"]).select("label", "h", features(F.col("f"), transitions, common).alias("x")).collect()
     both = [sorted(((r.h, tuple(r.x)) for r in picked if r.label == v))[:FINDINGS] for v in (0, 1)]
     x = np.array([v for side in both for _, v in side], float).reshape(-1, len(FEATURES))
     y = np.array([0] * len(both[0]) + [1] * len(both[1]))
