@@ -172,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Columns: id, item_id, place (first word of the best matching window in the
     document), agreed (agreeing words of that window), words (its length), and
     ``keep``. Items of fewer than SPAN words are too short to tell and never match;
-    items between SPAN and WINDOW words must agree in all but two words. Null and empty
+    items between SPAN and WINDOW words must agree in all their words. Null and empty
     texts leak nothing; ids may be null; rows repeated under one id come out once for
     each item. Other columns are not read.
     """
@@ -196,7 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     same = F.transform(F.sequence("first", "last"), lambda q: (F.get("item", q) == F.get("x.tokens", q + F.col("shift") - F.col("x.start"))).cast("int"))
     pairs = pairs.withColumn("same", same).withColumn("words", F.least(F.lit(WINDOW), F.size("item"))).filter(F.size("same") >= F.col("words"))
     sums = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("words")), lambda i: F.struct(F.aggregate(F.slice("same", i + 1, F.col("words")), F.lit(0), lambda a, b: a + b).alias("agreed"), (-i).alias("at")))
-    best = pairs.withColumn("best", F.array_max(sums)).filter(F.col("best.agreed") >= F.col("words") - (WINDOW - AGREE))
+    best = pairs.withColumn("best", F.array_max(sums)).filter(F.col("best.agreed") >= F.when(F.col("words") < WINDOW, F.col("words")).otherwise(AGREE))
     place = F.col("first") - F.col("best.at") + F.col("shift")
     names = [c for c in found.columns if c not in ("x", "no")]
     per_pair = best.select(*names, "item_id", place.alias("place"), F.col("best.agreed").alias("agreed"), "words")
