@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
-from ..operators import densify, filters, order, route, rules, sync, zones
+from ..operators import densify, filters, order, route, rules, sync, timeops, zones
 from ..sources import adapter, sinks, text
 from . import exports
 
@@ -250,10 +250,29 @@ def time_sort(spark, sf_dir):
     return order.time_sort(rows).select("seq", "sorted_seq")
 
 
-@query(WITH_M + f", t AS (SELECT {_NULLED} AS ms FROM m) SELECT count(*) AS total, count(ms) AS timed, min(ms) AS first_ms, max(ms) AS last_ms FROM t")
+_WALL = "epoch_ms(make_timestamp(time_ms // 1000 * 1000000) AT TIME ZONE 'Europe/Bratislava')"
+
+
+@query(
+    WITH_M + f", t AS (SELECT CASE seq % 4 WHEN 0 THEN {_WALL} WHEN 1 THEN time_ms WHEN 2 THEN {_WALL} END AS ms FROM m) SELECT count(*) AS total, count(ms) AS timed, CAST(min(ms) AS BIGINT) AS first_ms, CAST(max(ms) AS BIGINT) AS last_ms, 'date_time_with_utc_fallback' AS strategy FROM t"
+)
 def time_profile(spark, sf_dir):
-    rows = adapter.measurements(spark, sf_dir).select(F.expr(_NULLED).alias("ms"))
-    return rows.agg(F.count("*").alias("total"), F.count("ms").alias("timed"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+    """Times written in a date and a time cell, as a UTC number, as a UTC text, or not at all."""
+    rows = adapter.measurements(spark, sf_dir).withColumn("ts", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, time_ms div 1000)"))
+    cell = lambda k, c: F.when(F.col("seq") % 4 == k, c).otherwise(F.lit(""))
+    utc = F.when(F.col("seq") % 4 == 1, F.col("time_ms").cast("string")).when(F.col("seq") % 4 == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("")
+    return timeops.profile(timeops.timed(rows.select("seq", cell(0, F.date_format("ts", "dd.MM.yyyy")).alias("d"), cell(0, F.date_format("ts", "HH:mm:ss")).alias("t"), utc.alias("u")), F.col("d"), F.col("t"), F.col("u")))
+
+
+@query(
+    WITH_M + """, p AS (SELECT DISTINCT mnc, frequency FROM m) SELECT 'mnc' || mnc || '_' || frequency || '.txt' AS rule, 0 AS group_id, 2 AS n_conditions, 'MNC' AS set_field, CAST(mnc AS DOUBLE) AS set_value, 'Frequency' AS field, CAST(frequency AS DOUBLE) - 100 AS low, CAST(frequency AS DOUBLE) + 100 AS high FROM p
+ UNION ALL SELECT 'mnc' || mnc || '_' || frequency || '.txt', 0, 2, 'MNC', CAST(mnc AS DOUBLE), 'MCC', 231.0, 231.0 FROM p"""
+)
+def rules_table(spark, sf_dir):
+    """Rule files written for the operators and frequencies of the measurements, read back as a table."""
+    table = text.read_rules(spark, exports.rule_files(spark, sf_dir))
+    rows = table.select("rule", "group_id", "n_conditions", F.explode("assignments").alias("a"), "conditions").select("*", F.explode("conditions").alias("c"))
+    return rows.select("rule", "group_id", "n_conditions", F.col("a.field").alias("set_field"), F.col("a.low").alias("set_value"), "c.field", "c.low", "c.high")
 
 
 def _rule_values() -> str:

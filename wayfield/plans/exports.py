@@ -19,6 +19,23 @@ LAYOUTS = {
 }
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; one of our own only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/wayfield"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def rule_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a rule file for each operator and frequency measured."""
+    pairs = adapter.measurements(spark, sf_dir).select("mnc", "frequency").distinct()
+    center = F.col("frequency").cast("bigint")
+    body = F.concat(F.lit('<Query>\n"MNC" = '), "mnc", F.lit('; ("MCC" = 231 AND "Frequency" = '), (center + 100).cast("string"), F.lit("-"), (center - 100).cast("string"), F.lit(")\n</Query>"))
+    path = _folder(spark, "rules")
+    named = pairs.select(F.concat(F.lit("mnc"), "mnc", F.lit("_"), "frequency").alias("rule"), body.alias("value"))
+    named.repartition("rule").write.partitionBy("rule").text(path)
+    return path
+
+
 def written(spark: SparkSession, sf_dir: str, twice: bool = False, without_pci: bool = False) -> list[str]:
     """Paths of export files of the measurement view; three layouts by source.
 
@@ -40,7 +57,6 @@ def written(spark: SparkSession, sf_dir: str, twice: bool = False, without_pci:
     lines = rows.select("source_idx", file.alias("file"), "seq", line.alias("line"))
     whole = lines.groupBy("source_idx", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"]), "\n").alias("body"))
     content: DataFrame = whole.select("file", F.concat(head, F.lit("\n"), "body").alias("value"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/wayfield"
-    path = f"{folder.rstrip('/')}/exports-{uuid.uuid4().hex}"
+    path = _folder(spark, "exports")
     content.repartition("file").write.partitionBy("file").text(path)
     return [path]

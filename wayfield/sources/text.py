@@ -268,7 +268,11 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     parentheses are groups of conditions. Ranges may be given from either end. A file
     without assignments or groups, or with a range in an assignment, has an ``error``.
     """
-    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("rule"), "value")
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
+    # Named by the file, or by the folder that stands for it where Spark has written it.
+    file = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
+    folder = F.regexp_extract("_metadata.file_path", r"/rule=([^/]+)/[^/]+$", 1)
+    text = raw.select(F.when(folder != "", F.concat(folder, F.lit(".txt"))).otherwise(F.url_decode(file)).alias("rule"), "value")
     body = F.coalesce(F.nullif(F.regexp_extract("value", r"(?is)<Query>(.*?)</Query>", 1), F.lit("")), F.col("value"))
     item = r'"([^"]+)"\s*=\s*(-?[0-9.,]+(?:\s*-\s*-?[0-9.,]+)?)'
     number = lambda c: F.replace(F.trim(c), F.lit(","), F.lit(".")).try_cast("double")
