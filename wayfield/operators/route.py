@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import checkpointed
+
 CHUNK = 100_000
 SLACK = 1e-9
 #: Fixed values of the alignment: samples of a track, metres between matching samples, metres that count as none.
@@ -205,30 +207,35 @@ def single(cum: DataFrame) -> DataFrame:
     return cum.withColumns({"distance": F.col("cum"), "prev_distance": F.col("prev_cum")})
 
 
-def crossings(steps: DataFrame, size: float) -> DataFrame:
-    """Segment starts inside steps: rows (…, segment_id, sx, sy) where a step crosses a boundary.
+def crossed(size: float) -> Column:
+    """array<struct<id, x, y>> of the segment starts inside a step, empty if it crosses no boundary.
 
     A step has x, y, distance and the same of its previous point.
     """
     low, high = F.least("prev_distance", "distance"), F.greatest("prev_distance", "distance")
     first, last = segment_id(low, size) + 1, segment_id(high, size)
-    crossed = F.when(first <= last, F.sequence(first, last))
-    rows = steps.drop("segment_id").select("*", F.explode(crossed).alias("segment_id"))
-    share = (F.col("segment_id") * size - F.col("prev_distance")) / (F.col("distance") - F.col("prev_distance"))
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
-    return rows.withColumns({"sx": F.col("prev_x") + (F.col("x") - F.col("prev_x")) * share, "sy": F.col("prev_y") + (F.col("y") - F.col("prev_y")) * share})
+
+    def start(k: Column) -> Column:
+        share = (k * size - F.col("prev_distance")) / (F.col("distance") - F.col("prev_distance"))
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
+        at = lambda c: F.col(f"prev_{c}") + (F.col(c) - F.col(f"prev_{c}")) * share
+        return F.struct(k.alias("id"), at("x").alias("x"), at("y").alias("y"))
+
+    none = F.array().cast("array<struct<id:bigint,x:double,y:double>>")
+    return F.coalesce(F.when(first <= last, F.transform(F.sequence(first, last), start)), none)
 
 
 def segment_starts(route: DataFrame, size: float) -> DataFrame:
     """(campaign, segment_id, x, y): where each measured segment begins.
 
     The first crossing in track order counts; a segment that no step enters begins at
-    its first point.
+    its first point. One pass: every point offers its step's crossings and itself.
     """
-    entered = crossings(route.filter(F.col("prev_distance").isNotNull()), size).select("campaign", "segment_id", F.lit(0).alias("p"), "source_idx", "seq", "sx", "sy")
-    own = route.select("campaign", segment_id(F.col("distance"), size).alias("segment_id"), F.lit(1).alias("p"), "source_idx", "seq", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    every = entered.union(own)
-    return every.groupBy("campaign", "segment_id").agg(F.min_by(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct("p", "source_idx", "seq")).alias("s")).select("campaign", "segment_id", "s.x", "s.y")
+    entered = F.transform(crossed(size), lambda c: F.struct(c["id"].alias("id"), F.lit(0).alias("p"), c["x"].alias("x"), c["y"].alias("y")))
+    own = F.struct(segment_id(F.col("distance"), size).alias("id"), F.lit(1).alias("p"), F.col("x").alias("x"), F.col("y").alias("y"))
+    every = route.select("campaign", "source_idx", "seq", F.explode(F.concat(entered, F.array(own))).alias("o"))
+    first = F.min_by(F.struct("o.x", "o.y"), F.struct("o.p", "source_idx", "seq"))
+    return every.groupBy("campaign", F.col("o.id").alias("segment_id")).agg(first.alias("s")).select("campaign", "segment_id", "s.x", "s.y")
 
 
 def gap_segments(route: DataFrame, size: float, strip: float = 10_000.0) -> DataFrame:
@@ -247,14 +254,16 @@ def gap_segments(route: DataFrame, size: float, strip: float = 10_000.0) -> Data
     lasts = lasts.withColumn("_before", F.lag("_last").over(Window.partitionBy("campaign").orderBy("_strip"))).select("campaign", "_strip", "_before")
     steps = lags.join(lasts, ["campaign", "_strip"]).withColumn("_p", F.coalesce("_p", "_before")).filter("_p is not null")
     steps = steps.withColumns({"prev_distance": F.col("_p.distance"), "prev_x": F.col("_p.x"), "prev_y": F.col("_p.y")})
-    found = crossings(steps, size).groupBy("campaign", "segment_id").agg(F.min_by(F.struct(F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct("distance", "x", "y")).alias("s"))
+    found = steps.select("campaign", "distance", "x", "y", F.explode(crossed(size)).alias("c"))
+    found = found.groupBy("campaign", F.col("c.id").alias("segment_id")).agg(F.min_by(F.struct("c.x", "c.y"), F.struct("distance", "x", "y")).alias("s"))
     known = segment_starts(route, size).select("campaign", "segment_id")
     return found.select("campaign", "segment_id", "s.x", "s.y").join(known, ["campaign", "segment_id"], "left_anti")
 
 
 def common_route(df: DataFrame, size: float, most: int = SAMPLES) -> DataFrame:
     """Points of all tracks with their distance on the campaign's common route and their segment."""
-    cum = cumulative(df)
+    # Read five times below, so written once.
+    cum = checkpointed(cumulative(df))
     table = tracks(cum)
     points = samples(cum, most)
     placed = placements(alignment(proximity(points), table, points), table, size)
