@@ -23,11 +23,11 @@ def zone_columns(df: DataFrame) -> list[str]:
     return ["segment_id"] if "segment_id" in df.columns else ["zone_x", "zone_y"]
 
 
-def frequency_stats(df: DataFrame, by: tuple[str, ...] = (), row_id: str | None = None) -> DataFrame:
+def frequency_stats(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Means and counts for each zone, operator, frequency and PCI.
 
     rsrp_c and sinr_c are hundredths; sinr is null where no row has one. first_seq is
-    the first row of the group; with ``row_id`` the rows' ids are listed in order.
+    the first row of the group, whose rows ``members`` lists.
     """
     keys = [*by, *zone_columns(df), *OPERATOR, "frequency", "pci"]
     out = [
@@ -37,11 +37,18 @@ def frequency_stats(df: DataFrame, by: tuple[str, ...] = (), row_id: str | None
         nr_of_score(F.max(nr_score(F.col("nr")))).alias("nr"),
         F.min("seq").alias("first_seq"),
     ]
-    if row_id:
-        out.append(F.transform(F.array_sort(F.collect_list(F.struct("seq", row_id))), lambda r: r[row_id]).alias("row_ids"))
     return df.groupBy(*keys).agg(*out)
 
 
+def members(df: DataFrame, chosen: DataFrame, row_id: str = "row_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """The original rows of each chosen group, one line each: group keys, seq and row id.
+
+    A table instead of a list in one cell, since a group may hold a large part of all rows.
+    """
+    keys = [*by, *zone_columns(df), *OPERATOR, "frequency", "pci"]
+    return df.select(*keys, "seq", row_id).join(chosen.select(*keys), keys, "left_semi")
+
+
 def qualified(rsrp_threshold: float, sinr_threshold: float) -> Column:
     """Both thresholds met; a group without SINR never qualifies."""
     return (F.col("rsrp") >= rsrp_threshold) & F.coalesce(F.col("sinr") >= sinr_threshold, F.lit(False))

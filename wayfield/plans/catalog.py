@@ -114,6 +114,13 @@ def zone_sample_row(spark, sf_dir):
     return zones.sample_rows(_best(spark, sf_dir), rows, ["time_ms", "lon", "lat"]).select("zone_x", "zone_y", "mcc", "mnc", "first_seq", "sample_time_ms", "sample_lon", "sample_lat")
 
 
+@query(WITH_B + " SELECT g.zone_x, g.zone_y, g.mcc, g.mnc, g.frequency, g.pci, g.seq, 'r' || CAST(g.seq AS VARCHAR) AS row_id FROM g JOIN b ON g.zone_x = b.zone_x AND g.zone_y = b.zone_y AND g.mcc = b.mcc AND g.mnc = b.mnc AND g.frequency = b.frequency AND g.pci = b.pci")
+def zone_rows(spark, sf_dir):
+    """The measurements behind each zone's chosen frequency."""
+    rows = zones.grid(adapter.measurements(spark, sf_dir), SIZE).withColumn("row_id", F.concat(F.lit("r"), F.col("seq").cast("string")))
+    return zones.members(rows, _best(spark, sf_dir))
+
+
 @query(WITH_B + " SELECT zone_x, zone_y, mcc, mnc, pci, frequency, round(rsrp * 100) AS rsrp_c, CASE WHEN nr = 'yes' THEN 'yes' ELSE 'no' END AS nr, n AS rows_in_zone, frequency AS frequencies FROM b")
 def zones_export(spark, sf_dir):
     out = sinks.zones_table(_best(spark, sf_dir).withColumn("rsrp_c", F.round(F.col("rsrp") * 100)))
