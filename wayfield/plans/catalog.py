@@ -493,7 +493,36 @@ def track_placement(spark, sf_dir):
     return route.common_route(adapter.route_points(spark, sf_dir), SIZE, SAMPLES).select("source_idx", "seq", F.round("distance", 6).alias("distance"), "segment_id")
 
 
-@query()
+def _reproject_sql() -> str:
+    """The projection's steps as nested SQL."""
+    g, b, c, (tx, ty, tz) = geo.GLOBE, geo.LOCAL, geo.CONE, geo.SHIFT_M
+    turn = [" + ".join(f"({float(v)!r}) * {a}" for v, a in zip(row, ("gx", "gy", "gz"), strict=True)) for row in geo.TURN_BACK]
+    second, e, q = (b.a**2 - b.b**2) / b.b**2, b.e, geo.QUARTER
+    refine = [{"n": f"{b.a!r} / sqrt(1 - {b.e2!r} * pow(sin(f), 2))"}, {"h": "p / cos(f) - n"}, {"f": f"atan2(z, p * (1 - {b.e2!r} * (n / (n + h))))"}]
+    steps = [
+        {"l": "radians(lon)", "f": "radians(lat)"},
+        {"n": f"{g.a!r} / sqrt(1 - {g.e2!r} * pow(sin(f), 2))"},
+        {"gx": f"n * cos(f) * cos(l) - {tx}", "gy": f"n * cos(f) * sin(l) - {ty}", "gz": f"n * (1 - {g.e2!r}) * sin(f) - {tz}"},
+        dict(zip("xyz", turn, strict=True)),
+        {"p": "sqrt(x * x + y * y)", "l": "atan2(y, x)"},
+        {"t": f"atan2(z * {b.a!r}, p * {b.b!r})"},
+        {"f": f"atan2(z + {second * b.b!r} * pow(sin(t), 3), p - {b.e2 * b.a!r} * pow(cos(t), 3))"},
+        *refine * 3,
+        {"gf": f"pow((1 + {e!r} * sin(f)) / (1 - {e!r} * sin(f)), {c['alpha'] * e / 2!r})"},
+        {"u": f"2 * (atan({c['k']!r} * pow(tan(f / 2 + {q!r}), {c['alpha']!r}) / gf) - {q!r})", "v": f"(radians({geo.CENTRE_LON!r}) - l) * {c['alpha']!r}"},
+        {"s": f"asin(least(1.0, greatest(-1.0, cos({c['tilt']!r}) * sin(u) + sin({c['tilt']!r}) * cos(u) * cos(v))))"},
+        {"d": f"{c['n']!r} * asin(least(1.0, greatest(-1.0, cos(u) * sin(v) / cos(s))))"},
+        {"r": f"{c['rho0']!r} * pow(tan({c['s0'] / 2!r} + {q!r}), {c['n']!r}) / pow(tan(s / 2 + {q!r}), {c['n']!r})"},
+    ]
+    sql, known = "SELECT seq, lon, lat FROM m", {"seq": "", "lon": "", "lat": ""}
+    for step in steps:
+        kept = [k for k in known if k not in step]
+        known |= step
+        sql = f"SELECT {', '.join(kept)}, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({sql})"
+    return f"{WITH_M} SELECT seq, round(-r * sin(d), 3) AS x, round(-r * cos(d), 3) AS y FROM ({sql})"
+
+
+@query(_reproject_sql())
 def reproject(spark, sf_dir):
     rows = geo.reproject(adapter.measurements(spark, sf_dir).select("seq", "lon", "lat"))
     return rows.select("seq", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
