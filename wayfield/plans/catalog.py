@@ -130,7 +130,7 @@ def zones_export(spark, sf_dir):
 
 @query(
     WITH_SPARSE + """, t AS (SELECT mcc, mnc, min(seq) AS template_seq FROM sp GROUP BY mcc, mnc), z AS (SELECT DISTINCT zone_x, zone_y FROM b)
- SELECT zone_x, zone_y, mcc, mnc, template_seq, -174.0 AS rsrp, 'no' AS nr, 0 AS n FROM z CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.zone_x = z.zone_x AND b.zone_y = z.zone_y AND b.mcc = t.mcc AND b.mnc = t.mnc)"""
+ SELECT zone_x, zone_y, mcc, mnc, template_seq, CAST(-174 AS DOUBLE) AS rsrp, 'no' AS nr, CAST(0 AS BIGINT) AS n FROM z CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.zone_x = z.zone_x AND b.zone_y = z.zone_y AND b.mcc = t.mcc AND b.mnc = t.mnc)"""
 )
 def empty_zones(spark, sf_dir):
     rows = adapter.measurements(spark, sf_dir).filter(SPARSE)
@@ -140,7 +140,7 @@ def empty_zones(spark, sf_dir):
 CUSTOM = "231:03:30, 231:9 231:04:7;231:9:1"
 
 
-@query(WITH_SPARSE + " SELECT zone_x, zone_y, mcc, mnc, pci, -174.0 AS rsrp, 'no' AS nr FROM (SELECT DISTINCT zone_x, zone_y FROM b) CROSS JOIN (VALUES ('231', '9', ''), ('231', '04', '7')) o(mcc, mnc, pci)")
+@query(WITH_SPARSE + " SELECT zone_x, zone_y, mcc, mnc, pci, CAST(-174 AS DOUBLE) AS rsrp, 'no' AS nr FROM (SELECT DISTINCT zone_x, zone_y FROM b) CROSS JOIN (VALUES ('231', '9', ''), ('231', '04', '7')) o(mcc, mnc, pci)")
 def custom_operators(spark, sf_dir):
     added = spark.createDataFrame(densify.custom_list(CUSTOM), "mcc string, mnc string, pci string")
     return densify.custom_zones(added, _best(spark, sf_dir, SPARSE)).select("zone_x", "zone_y", "mcc", "mnc", "pci", "rsrp", "nr")
@@ -369,7 +369,7 @@ def union_by_name(spark, sf_dir):
     return table.groupBy(F.col("MCC").alias("mcc"), F.col("MNC").alias("mnc"), F.col("PCI").alias("pci"), F.col("Frequency").alias("frequency"), F.col("RSRP").alias("rsrp"), F.col("SINR").alias("sinr"), F.col("note")).agg(F.count("*").alias("n"))
 
 
-@query(WITH_M + f", f AS (SELECT DISTINCT source_idx, {_FILE} AS file FROM m) SELECT source_idx AS layout, 'utf-8' AS encoding, CASE source_idx WHEN 2 THEN 2 ELSE 0 END AS header_line, CASE source_idx WHEN 2 THEN '5g' ELSE 'unknown' END AS technology, count(*) AS files FROM f GROUP BY source_idx")
+@query(WITH_M + f", f AS (SELECT DISTINCT source_idx, {_FILE} AS file FROM m) SELECT source_idx AS layout, 'utf-8' AS encoding, CAST(CASE source_idx WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS header_line, CASE source_idx WHEN 2 THEN '5g' ELSE 'unknown' END AS technology, count(*) AS files FROM f GROUP BY source_idx")
 def preview_schema(spark, sf_dir):
     seen = text.preview(spark, exports.written(spark, sf_dir))
     layout = F.when(F.array_contains("columns", "SINR"), 1).when(F.array_contains("columns", "note"), 2).otherwise(0)
