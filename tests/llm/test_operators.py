@@ -159,6 +159,20 @@ def test_leaks_with_substitutions(spark, odd, empty):
     assert kept.count() == len(ODD) - 2 and kept.columns == odd.columns
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_leaks_against_sql(spark, sf):
+    import duckdb
+
+    from wayfield.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{sf}/{t}.parquet'")
+    got = QUERIES["op3_decontamination"](spark, f"/root/testdata/{sf}")
+    assert got.columns == ["doc_id", "item_id", "place", "agreed", "words"]
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLES["op3_decontamination"]).fetchall())
+
+
 # ---- SimHash
 
 

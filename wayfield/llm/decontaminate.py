@@ -201,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     names = [c for c in found.columns if c not in ("x", "no")]
     per_pair = best.select(*names, "item_id", place.alias("place"), F.col("best.agreed").alias("agreed"), "words")
     per_pair = per_pair.groupBy(*names, "item_id").agg(F.max(F.struct("agreed", (-F.col("place")).alias("at"), "words")).alias("b"))
-    return per_pair.select(F.col("id").alias(id_col), F.col("item_id"), (-F.col("b.at")).alias("place"), F.col("b.agreed").alias("agreed"), F.col("b.words").alias("words"), *[c for c in names if c != "id"])
+    return per_pair.select(F.col("id").alias(id_col), F.col("item_id"), (-F.col("b.at")).cast("long").alias("place"), F.col("b.agreed").alias("agreed"), F.col("b.words").alias("words"), *[c for c in names if c != "id"])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

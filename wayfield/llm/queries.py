@@ -1,8 +1,8 @@
 """Registered queries of the numbered operators.
 
-No SQL is given for them: hash functions, models, regular expressions over markup and
-tokenizers are beyond DuckDB's SQL, or too slow there on whole tables. The tests hold
-each against a brute-force version, a round trip or held-out labels.
+SQL is given for decontamination. For the others hash functions, models, markup and
+tokenizers are beyond it; the tests hold each against a brute-force version, a round
+trip or held-out labels.
 """
 
 from __future__ import annotations
@@ -74,4 +74,21 @@ QUERIES = {
         op6_bpe, op7_quality_classifier, op8_token_counts, op9_secrets, op10_html_extraction,
     )
 }
-ORACLES: dict[str, str] = {}
+
+#: Eleven of thirteen agreeing words hold three in a row, so alignments are found by equal word triples.
+LEAKS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+ b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+ dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM d),
+ bt AS (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p, len(w) AS n FROM b WHERE len(w) >= 9),
+ d3 AS (SELECT *, lead(t) OVER o AS t1, lead(t, 2) OVER o AS t2 FROM dt WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+ b3 AS (SELECT *, lead(t) OVER o AS t1, lead(t, 2) OVER o AS t2 FROM bt WINDOW o AS (PARTITION BY item_id ORDER BY p)),
+ shifts AS (SELECT DISTINCT d3.doc_id, b3.item_id, d3.p - b3.p AS shift FROM d3 JOIN b3 ON d3.t = b3.t AND d3.t1 = b3.t1 AND d3.t2 = b3.t2),
+ words AS (SELECT s.doc_id, s.item_id, s.shift, bt.p AS q, bt.n, CAST(dt.t = bt.t AS INT) AS same FROM shifts s JOIN bt ON bt.item_id = s.item_id JOIN dt ON dt.doc_id = s.doc_id AND dt.p = bt.p + s.shift),
+ sums AS (SELECT *, sum(same) OVER w13 AS a13, count(*) OVER w13 AS n13, sum(same) OVER alls AS a, count(*) OVER alls AS c FROM words
+  WINDOW w13 AS (PARTITION BY doc_id, item_id, shift ORDER BY q ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING), alls AS (PARTITION BY doc_id, item_id, shift)),
+ hits AS (SELECT doc_id, item_id, q + shift AS place, a13 AS agreed, 13 AS words FROM sums WHERE n >= 13 AND n13 = 13 AND a13 >= 11
+  UNION ALL SELECT doc_id, item_id, q + shift, a, n FROM sums WHERE n < 13 AND c = n AND a = n AND q = 0)
+SELECT doc_id, item_id, CAST(place AS BIGINT) AS place, CAST(agreed AS INT) AS agreed, CAST(words AS INT) AS words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreed DESC, place) AS r FROM hits) WHERE r = 1
+"""
+ORACLES: dict[str, str] = {"op3_decontamination": LEAKS_SQL}
