@@ -28,7 +28,7 @@ SAMPLE = 500
 SPAN = 1 << 40
 CLUSTERS = 4
 #: A text is rejected if its distance exceeds this multiple of the largest usual training distance.
-SLACK = 1.3
+SLACK = 1.45
 REJECTED = "und"
 
 
