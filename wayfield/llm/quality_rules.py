@@ -193,8 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     few = marks.filter(order < int(SPAN * min(1.0, 2 * SAMPLE / max(1, count)))).orderBy(order).limit(SAMPLE)
     # At most SAMPLE ids of a few bytes each.
     rows = statistics(docs.select(id_col, text_col).join(F.broadcast(few), id_col), text_col)
-    got = rows.filter(~base_failed()).select(F.col("bad"), *[c.alias(f"r{i}") for i, c in enumerate(ratios().values())]).limit(4 * SAMPLE).collect()
-    got = sorted(map(tuple, got))
+    # One row for an id, however often it occurs. base_failed is sifted out on the driver: as a
+    # filter it would be pushed below the join and count every text.
+    seen = [F.min(c).alias(f"r{i}") for i, c in enumerate(ratios().values())]
+    got = rows.groupBy(id_col).agg(F.max(base_failed()).alias("failed"), F.max("bad").alias("bad"), *seen).collect()
+    got = sorted(tuple(r)[2:] for r in got if not r.failed)
     x = np.array([r[1:] for r in got], float).reshape(-1, len(RATIOS))
     return learn(x, np.array([r[0] for r in got], bool))
 
