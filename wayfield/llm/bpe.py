@@ -31,6 +31,8 @@ END = "</w>"
 #: Words kept encoded between batches in a Python worker. When there are more, those of
 #: the last such span are kept for one more.
 CACHE = 300_000
+#: Steps and token pairs kept by the trie's walk; caches too.
+STEPS, PAIRS = 400_000, 1_000_000
 
 
 def default_path() -> str:
@@ -65,6 +67,7 @@ class Trie:
                 self.tokens.add(a + b)
         self.starts = {t[:n] for t in self.tokens for n in range(1, len(t.removesuffix(END)) + 1)} | self.tokens
         self.follows: dict[str, dict[str, bool]] = {t: {} for t in self.tokens}
+        self.pairs = 0
         self.steps: dict[str, tuple[str, list]] = {}
 
     def spine(self, token: str, side: int) -> list[tuple[str, float]]:
@@ -101,13 +104,17 @@ class Trie:
         text = suffix + symbol
         start = next(i for i in range(len(text) + 1) if text[i:] in self.starts or i == len(text))
         ends = [(text[i:], len(text) - i - len(symbol) + 1, self.follows[text[i:]]) for i in range(start, len(text) - len(symbol) + 1) if text[i:] in self.tokens]
-        if len(self.steps) > 400_000:
-            self.steps.clear()
         found = self.steps[text] = (text[start:], ends)
         return found
 
     def encode(self, words: set[str]) -> dict[str, list[str]]:
         """The tokens of each word, by one walk over the words' trie."""
+        if len(self.steps) > STEPS:
+            self.steps.clear()
+        if self.pairs > PAIRS:
+            self.pairs = 0
+            for known in self.follows.values():
+                known.clear()
         root: dict = {}
         for word in words:
             node = root
@@ -129,6 +136,7 @@ class Trie:
                 fits = follows.get(left)
                 if fits is None:
                     fits = follows[left] = self.apart(left, token)
+                    self.pairs += 1
                 if fits:
                     break
             else:
