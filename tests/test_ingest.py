@@ -139,3 +139,16 @@ def test_windows_in_local_time(spark):
     assert [r.time_ms for r in kept.collect()] == [1714557600000, 1714564800000, None]
     with pytest.raises(ValueError):
         filters.window_bounds(rows, [("2024-05-01 14:00", "2024-05-01 13:30")])
+
+
+def test_templates_and_positions(spark):
+    from wayfield.operators import zones
+
+    rows = spark.createDataFrame([(0, "231", "01", -573650.0, "a"), (1, "231", "1", -573550.0, "b"), (2, "231", "2", -573550.0, "c")], "seq long, mcc string, mnc string, x double, note string").withColumn("y", F.lit(-1280250.0))
+    zoned = zones.grid(rows, 100.0)
+    empty = densify.empty_zones(zoned, densify.operators_of(rows))
+    got = [(r.zone_x, r.mnc, r.note) for r in densify.with_templates(empty, rows, ["note"]).collect()]
+    assert got == [(-573700.0, "2", "c")]
+    at = zones.with_positions(empty, 100.0).first()
+    x = geo.reproject(spark.createDataFrame([(at.lon, at.lat)], "lon double, lat double")).first()
+    assert abs(x.x + 573650) < 1e-3 and abs(x.y + 1280250) < 1e-3

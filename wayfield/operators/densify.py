@@ -36,6 +36,16 @@ def empty_zones(best: DataFrame, templates: DataFrame, zones: DataFrame | None =
     return missing.select(*keys, F.col("op_mcc").alias("mcc"), F.col("op_mnc").alias("mnc"), "template_seq", F.lit(EMPTY_RSRP).alias("rsrp"), F.lit("no").alias("nr"), F.lit(0).cast("long").alias("n"))
 
 
+def with_templates(empty: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``empty`` with other columns of the first row of its operator.
+
+    One template row for each operator, so the side joined in is as short as their list.
+    """
+    seqs = empty.select("template_seq").distinct()
+    found = rows.select(F.col("seq").alias("template_seq"), *columns).join(seqs, "template_seq", "left_semi")
+    return empty.join(found, "template_seq", "left")
+
+
 def custom_list(text: str) -> list[tuple[str, str, str]]:
     """MCC:MNC[:PCI] tokens separated by blanks, commas or semicolons; the first of an operator counts."""
     out: dict[tuple[str, str], tuple[str, str, str]] = {}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import unproject
 from ..functions.scalars import nr_of_score, nr_score, parse_number
 
 OPERATOR = ("mcc", "mnc")
@@ -112,3 +113,19 @@ def sample_rows(best: DataFrame, rows: DataFrame, columns: list[str]) -> DataFra
 def zone_centre(size: float) -> tuple[Column, Column]:
     """Middle of a grid zone in metres."""
     return F.col("zone_x") + size / 2, F.col("zone_y") + size / 2
+
+
+def with_positions(zoned: DataFrame, size: float, starts: DataFrame | None = None) -> DataFrame:
+    """``zoned`` with lon and lat: a grid zone's centre, or where its segment starts.
+
+    Only distinct zones are projected back; ``starts`` are (segment_id, x, y).
+    """
+    keys = zone_columns(zoned)
+    places = zoned.select(*keys).distinct()
+    if starts is not None:
+        places = places.join(starts.select("segment_id", "x", "y"), "segment_id")
+    else:
+        x, y = zone_centre(size)
+        places = places.withColumns({"x": x, "y": y})
+    found = places.withColumn("_c", unproject(F.col("x"), F.col("y"))).select(*keys, F.col("_c.lon").alias("lon"), F.col("_c.lat").alias("lat"))
+    return zoned.join(found, keys, "left")
