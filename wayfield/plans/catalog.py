@@ -46,6 +46,7 @@ _BEST = """, b AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTI
  (rsrp >= -90 AND coalesce(sinr >= 5, false)) DESC, rsrp DESC, n DESC, CAST(frequency AS DOUBLE), frequency, CAST(pci AS DOUBLE), pci) AS r FROM s) WHERE r = 1)"""
 WITH_B = WITH_M + _GRID.format(rows="m") + _STATS + _BEST
 WITH_SPARSE = WITH_M + f", sp AS (SELECT * FROM m WHERE {SPARSE})" + _GRID.format(rows="sp") + _STATS + _BEST
+WITH_WIDE = f"WITH m AS ({adapter.WIDE.format(**adapter.DUCKDB)})" + _GRID.format(rows="m") + _STATS + _BEST
 _GOOD = "(rsrp >= -90 AND coalesce(sinr >= 5, true))"
 
 
@@ -99,6 +100,20 @@ def operator_stats_dense(spark, sf_dir):
     return zones.operator_stats(best, zones.good(RSRP, SINR), total_zones=best.select("zone_x", "zone_y").distinct())
 
 
+def _best_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapter.measurements(spark, sf_dir, adapter.WIDE)
+    return zones.best_frequency(zones.frequency_stats(zones.grid(filters.grouped_keys(rows), SIZE)), RSRP, SINR)
+
+
+@query(
+    WITH_WIDE + f" SELECT mcc, mnc, count(*) FILTER ({_GOOD}) AS good, count(*) FILTER (NOT {_GOOD}) + (SELECT count(*) FROM (SELECT DISTINCT zone_x, zone_y FROM b)) - count(*) AS bad FROM b GROUP BY mcc, mnc"
+)
+def operator_stats_dense_wide(spark, sf_dir):
+    """All rows, in positions that leave gaps."""
+    best = _best_wide(spark, sf_dir)
+    return zones.operator_stats(best, zones.good(RSRP, SINR), total_zones=best.select("zone_x", "zone_y").distinct())
+
+
 @query(
     WITH_B + """, c AS (SELECT count(DISTINCT (zone_x, zone_y)) AS unique_zones, count(DISTINCT (mcc, mnc)) AS unique_operators, count(*) AS zone_rows,
  min(zone_x) AS min_x, max(zone_x) AS max_x, min(zone_y) AS min_y, max(zone_y) AS max_y,
@@ -137,6 +152,15 @@ def empty_zones(spark, sf_dir):
     return densify.empty_zones(_best(spark, sf_dir, SPARSE), densify.operators_of(rows)).withColumn("rsrp", F.col("rsrp").cast("double"))
 
 
+@query(
+    WITH_WIDE + """, t AS (SELECT mcc, mnc, min(seq) AS template_seq FROM m GROUP BY mcc, mnc), z AS (SELECT DISTINCT zone_x, zone_y FROM b)
+ SELECT zone_x, zone_y, mcc, mnc, template_seq, CAST(-174 AS DOUBLE) AS rsrp, 'no' AS nr, CAST(0 AS BIGINT) AS n FROM z CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.zone_x = z.zone_x AND b.zone_y = z.zone_y AND b.mcc = t.mcc AND b.mnc = t.mnc)"""
+)
+def empty_zones_wide(spark, sf_dir):
+    rows = adapter.measurements(spark, sf_dir, adapter.WIDE)
+    return densify.empty_zones(_best_wide(spark, sf_dir), densify.operators_of(rows)).withColumn("rsrp", F.col("rsrp").cast("double"))
+
+
 CUSTOM = "231:03:30, 231:9 231:04:7;231:9:1"
 
 
@@ -146,6 +170,12 @@ def custom_operators(spark, sf_dir):
     return densify.custom_zones(added, _best(spark, sf_dir, SPARSE)).select("zone_x", "zone_y", "mcc", "mnc", "pci", "rsrp", "nr")
 
 
+@query(WITH_WIDE + " SELECT zone_x, zone_y, mcc, mnc, pci, CAST(-174 AS DOUBLE) AS rsrp, 'no' AS nr FROM (SELECT DISTINCT zone_x, zone_y FROM b) CROSS JOIN (VALUES ('231', '9', ''), ('231', '04', '7')) o(mcc, mnc, pci)")
+def custom_operators_wide(spark, sf_dir):
+    added = spark.createDataFrame(densify.custom_list(CUSTOM), "mcc string, mnc string, pci string")
+    return densify.custom_zones(added, _best_wide(spark, sf_dir)).select("zone_x", "zone_y", "mcc", "mnc", "pci", "rsrp", "nr")
+
+
 _TEXTS = """CASE event_id % 8 WHEN 0 THEN ' 12,5 ' WHEN 1 THEN '1.5e2' WHEN 2 THEN '1d' WHEN 3 THEN '0x10' WHEN 4 THEN '' WHEN 5 THEN CAST(event_id AS {s}) || '.0' WHEN 6 THEN '-' || CAST(user_id AS {s}) || ',25' ELSE event_type END"""
 _NUM = "CASE WHEN regexp_matches(replace(trim(t), ',', '.'), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(replace(trim(t), ',', '.') AS DOUBLE) END"
 

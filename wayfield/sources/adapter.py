@@ -22,6 +22,12 @@ SELECT e.event_id AS seq, CAST(e.user_id % 3 AS INT) AS source_idx, {ms} AS time
 FROM events e
 """
 
+#: The same with positions that spread as the table grows: a column of zones spans at most
+#: three users, hence three of the four operators, so zones have gaps at every size.
+WIDE = MEASUREMENTS.replace("CAST(e.user_id % 25 AS DOUBLE)", "CAST(e.user_id AS DOUBLE)").replace(
+    "CAST(e.event_id % 40 AS DOUBLE) * CAST(12.5 AS DOUBLE)", "CAST(e.event_id AS DOUBLE) * CAST(0.25 AS DOUBLE)"
+)
+
 ROUTE_POINTS = """
 SELECT event_id AS seq, CAST(user_id % 3 AS INT) AS source_idx,
  CAST(CASE user_id % 3 WHEN 0 THEN event_id WHEN 1 THEN event_id + 4000 ELSE n - event_id END AS DOUBLE) * CAST(0.25 AS DOUBLE) AS x,
@@ -33,8 +39,8 @@ SPARK = {"ms": "CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:0
 DUCKDB = {"ms": "epoch_us(e.ts)//1000", "string": "VARCHAR"}
 
 
-def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(MEASUREMENTS.format(**SPARK).replace("FROM events e", "FROM {events} e"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+def measurements(spark: SparkSession, sf_dir: str, view: str = MEASUREMENTS) -> DataFrame:
+    return spark.sql(view.format(**SPARK).replace("FROM events e", "FROM {events} e"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
