@@ -520,7 +520,28 @@ def track_alignment(spark, sf_dir):
 
 @query()
 def track_placement(spark, sf_dir):
-    return route.common_route(adapter.route_points(spark, sf_dir), SIZE, SAMPLES).select("source_idx", "seq", F.round("distance", 6).alias("distance"), "segment_id")
+    return route.common_route(adapter.route_points(spark, sf_dir), SIZE).select("source_idx", "seq", F.round("distance", 6).alias("distance"), "segment_id")
+
+
+# The route queries with as many samples as a run takes. Their SQL above compares all pairs of
+# samples and stops at SAMPLES, so tests hold these to brute force.
+
+
+@query()
+def track_samples_full(spark, sf_dir):
+    return route.samples(_cum(spark, sf_dir)).select("source_idx", "k", "x", "y", "cum")
+
+
+@query()
+def track_proximity_full(spark, sf_dir):
+    return route.proximity(route.samples(_cum(spark, sf_dir))).select("known", "unknown", "known_k", "unknown_k")
+
+
+@query()
+def track_alignment_full(spark, sf_dir):
+    cum = _cum(spark, sf_dir)
+    points = route.samples(cum)
+    return route.alignment(route.proximity(points), route.tracks(cum), points).select("known", "unknown", "reversed", F.round("offset", 6).alias("offset"), "n", F.round("mad", 6).alias("mad"))
 
 
 def _reproject_sql() -> str:
