@@ -1,0 +1,53 @@
+"""Secrets without quotes, in a URL's query, and short ones."""
+
+import random
+
+from wayfield.llm import secrets
+
+FORMS = [
+    "password={}", "export API_TOKEN={}", "https://example.com/a?x=1&access_token={}&y=2", "MY_LONG_SERVICE_API_TOKEN={}",
+    'MY_LONG_SERVICE_SECRET="{}"', "db_password: {}", 'token = "{}"',
+]
+SHORT = 'password: "{}"'
+
+
+def texts():
+    rng = random.Random(4)
+    prose = "the of and with chachaulichengeheitheit in token thisonwhbleon author to internationalisation".split()
+    value = lambda n, chars: "".join(rng.choices(chars, k=n - 2)) + "7a"
+    rows = []
+    for i in range(400):
+        w = rng.choices(prose, k=40)
+        kind = i % 10
+        secret = None
+        if kind < 7:
+            secret = value(rng.choice([18, 24, 40]), "0123456789abcdef")
+            w.insert(20, FORMS[kind].format(secret))
+        elif kind == 7:
+            secret = value(9, "abcdefgh23456789") + "!"
+            w.insert(20, SHORT.format(secret))
+        elif kind == 8:
+            w.insert(20, f"commit {value(40, '0123456789abcdef')} path=/usr/share/internationalisation/data")
+        text = " ".join(w)
+        rows.append((i, text, text.index(secret) if secret else None, len(secret or "")))
+    return rows
+
+
+def test_forms_are_found_and_redacted(spark):
+    rows = texts()
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    scanner = secrets.fit(df)
+    got = {(r.doc_id, r.start, r.length) for r in secrets.scan(df, scanner).collect()}
+    assert got == {(i, at, n) for i, _, at, n in rows if at is not None}
+    left = {r.doc_id: r.text for r in secrets.redact(df, scanner).collect()}
+    assert left == {i: t if at is None else t[:at] + secrets.MARKER + t[at + n :] for i, t, at, n in rows}
+
+
+def test_values_and_what_stands_before(spark):
+    cases = {
+        "password=Sup3rS3cretValue99": ("password=", "Sup3rS3cretValue99"), "export API_TOKEN=ghp_0123456789abcdef0123": ("export API_TOKEN=", "ghp_0123456789abcdef0123"),
+        "/a?access_token=9f86d081884c7d65": ("/a?access_token=", "9f86d081884c7d65"), 'password: "hunter2x9!"': ('password: "', "hunter2x9!"), "x QUJDREVGR0hJSktMTU5PUA== y": ("x ", "QUJDREVGR0hJSktMTU5PUA=="),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    got = {r.text: [(f.before, f.value) for f in r.f] for r in df.select("text", secrets.found(df.text).alias("f")).collect()}
+    assert got == {t: [v] for t, v in cases.items()}

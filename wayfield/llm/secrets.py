@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of ``LEAST`` or more characters that tokens are made of. The
+A candidate is a run of ``LEAST`` or more characters that tokens are made of, or a
+value of ``LEAST_GIVEN`` or more right after a credential's name and an assignment. The
 forest sees its length and character classes, how usual its character transitions
 are, how much of it common words cover, whether it lies in a path or address, and
 what stands beside it. Everything runs inside the row as Spark expressions: finding,
@@ -21,8 +22,20 @@ from pyspark.sql import functions as F
 from . import forest
 
 LEAST = 16
+#: Shortest value right after a credential's name and an assignment.
+LEAST_GIVEN = 6
 CHARS = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{CHARS}])[{CHARS}]{{{LEAST},}}+"
+_RUN = "A-Za-z0-9+/_-"
+_NAME = r"(?i:token|secret|passw|pwd|api.?key|access.?key|private.?key|auth(?!or)|credential)"
+_ASSIGNED = r"""["'`]?\s{0,3}[=:]\s{0,3}["'`]?"""
+#: What may follow a name: anything up to a blank, quote or separator, but no address. The short look behind spares most places the long one.
+_GIVEN_VALUE = (
+    r"""(?<=[=:]\s{0,3}["'`]?)""" + rf"(?<={_NAME}[A-Za-z0-9_-]{{0,24}}{_ASSIGNED})"
+    r"(?![a-z]{2,8}://)" + rf"""[^\s"'`<>,;&=:][^\s"'`<>,;&]{{{LEAST_GIVEN - 2},}}[^\s"'`<>,;&.)]"""
+)
+#: Any other run of token characters, without a name that is assigned to; '=' only as padding.
+_LONG = rf"(?<![{_RUN}])(?![{_RUN}]{{0,64}}?{_NAME}[{_RUN}]{{0,64}}{_ASSIGNED}[{_RUN}])[{_RUN}]{{{LEAST},}}+(?:={{1,2}}(?![{CHARS}]))?"
+CANDIDATE = f"(?:{_GIVEN_VALUE}|{_LONG})"
 TEXTS = 2000
 FINDINGS = 2000
 WORDS = 120
@@ -150,10 +163,11 @@ def structural_label(f: Column) -> Column:
     """Label of a finding where no reviewed ones are given.
 
     Positive if a credential's name and an assignment stand before it and it mixes
-    letters and digits like a key; negative otherwise.
+    letters and digits like a key (one digit is enough in a short value); negative otherwise.
     """
     keyed = f["before"].rlike(CREDENTIAL) & f["before"].rlike(GIVEN) & ~f["before"].rlike(DIGEST)
-    return (keyed & f["value"].rlike("[0-9].*[0-9].*[0-9]") & f["value"].rlike("[A-Za-z]")).cast("int")
+    digits = f["value"].rlike("[0-9].*[0-9].*[0-9]") | (F.length(f["value"]) < LEAST) & f["value"].rlike("[0-9]")
+    return (keyed & digits & f["value"].rlike("[A-Za-z]")).cast("int")
 
 
 def fit(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
