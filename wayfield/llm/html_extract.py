@@ -34,13 +34,13 @@ STOPS_HIGH = 0.3
 LINKS = 0.5
 
 #: Tags whose content is no text of the page.
-SKIPPED = frozenset("head script style noscript template textarea select option button svg math iframe object embed canvas audio video map form datalist".split())
+SKIPPED = frozenset("head script style noscript template textarea select option button svg math iframe object embed canvas audio video map datalist label".split())
 #: Of those, the ones whose content isn't markup.
 RAW = frozenset("script style textarea noscript template iframe".split())
 ASIDE = frozenset("nav footer aside menu dialog".split())
 REGION = frozenset("article main".split())
 BLOCK = REGION | ASIDE | frozenset(
-    "address blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li ol p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "address blockquote body caption center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark what isn't the article.
@@ -68,16 +68,17 @@ class Block:
 @dataclass
 class _Page:
     blocks: list[Block] = field(default_factory=list)
-    open: list[tuple[str, bool, int]] = field(default_factory=list)  # tag, aside, region
+    open: list[tuple[str, int, int]] = field(default_factory=list)  # tag, aside (1 by a name only, 2 by tag or inside a region), region
     parts: list[tuple[str, bool]] = field(default_factory=list)  # text, linked
     named: set[int] = field(default_factory=set)  # regions known by a name only
+    below: set[int] = field(default_factory=set)  # regions below what only a name marks as aside
 
     def end_block(self) -> None:
         text = " ".join("".join(t for t, _ in self.parts).split())
         if text:
-            _, aside, region = self.open[-1] if self.open else ("", False, 0)
+            _, aside, region = self.open[-1] if self.open else ("", 0, 0)
             linked = sum(len(" ".join(t.split())) for t, link in self.parts if link)
-            self.blocks.append(Block(region, aside, text, linked, region in self.named))
+            self.blocks.append(Block(region, aside > 0, text, linked, region in self.named))
         self.parts.clear()
 
     def close(self, tag: str) -> None:
@@ -90,7 +91,9 @@ class _Page:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order; text in skipped tags is left out."""
     state, at, regions, links = _Page(), 0, 0, 0
-    skipped = 0  # depth inside skipped tags that hold markup
+    skipped: list[str] = []  # open skipped tags that hold markup
+    last: dict[str, int] = {}  # where the last end tag of a skipped tag stands
+    lower = page.lower()
     size = len(page)
     while at < size:
         found = _TAG.search(page, at)
@@ -111,14 +114,21 @@ def blocks_of(page: str) -> list[Block]:
                 at = stop.end() if stop else size
             elif tag not in VOID:
                 if not closing and not names.rstrip().endswith("/"):
-                    if not skipped:
-                        state.end_block()
-                    skipped += 1
-                elif closing and skipped:
-                    skipped -= 1
+                    if tag not in last:
+                        last[tag] = lower.rfind(f"</{tag}")
+                    if tag == "option" and skipped and skipped[-1] == "option":
+                        skipped.pop()
+                    # A tag that is never closed hides nothing, but a head ends at the body and an option with its list.
+                    if last[tag] >= at or tag == "head" or tag == "option" and skipped:
+                        if not skipped:
+                            state.end_block()
+                        skipped.append(tag)
+                elif closing and tag in skipped:
+                    while skipped.pop() != tag:
+                        pass
             continue
-        if tag == "body" and skipped:
-            skipped = 0  # a head that was never closed
+        if skipped and not closing and (tag == "body" or tag in REGION or skipped[0] == "head" and tag in BLOCK and tag not in ("title", "html")):
+            skipped.clear()  # a head, or another tag, that was never closed
         if skipped:
             continue
         if tag == "br":
@@ -133,10 +143,18 @@ def blocks_of(page: str) -> list[Block]:
             elif tag not in VOID:
                 while state.open and state.open[-1][0] == "p" or state.open and tag == "li" and state.open[-1][0] == "li":
                     state.open.pop()
-                _, aside, region = state.open[-1] if state.open else ("", False, 0)
+                _, aside, region = state.open[-1] if state.open else ("", 0, 0)
                 named = " ".join(next(filter(None, m), "") for m in _NAMES.findall(names)) if names else ""
-                if tag in ASIDE or tag == "header" and not region or named and tag not in REGION and tag not in ("body", "html") and ASIDE_NAME.search(named):
-                    aside = True
+                if tag == "form" and not aside:
+                    region = 0  # its blocks are judged by density, wherever it stands
+                if tag in REGION and aside == 1 and not ASIDE_NAME.search(named):
+                    regions += 1
+                    aside, region = 0, regions
+                    state.below.add(region)
+                elif tag in ASIDE or tag == "header" and not region:
+                    aside = 2
+                elif named and tag not in REGION and tag not in ("body", "html") and ASIDE_NAME.search(named):
+                    aside = max(aside, 2 if region else 1)
                 elif not aside and (tag in REGION and (not region or region in state.named) or not region and named and tag not in ("body", "html") and REGION_NAME.search(named)):
                     regions += 1
                     region = regions
@@ -144,6 +162,10 @@ def blocks_of(page: str) -> list[Block]:
                         state.named.add(region)
                 state.open.append((tag, aside, region))
     state.end_block()
+    # An article below such a wrapper counts unless one stands outside; then it is a teaser or the like.
+    if any(b.region and not b.aside and not b.named and b.region not in state.below for b in state.blocks):
+        for b in state.blocks:
+            b.aside = b.aside or b.region in state.below
     return state.blocks
 
 
