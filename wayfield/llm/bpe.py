@@ -1,11 +1,16 @@
 """BPE encoding and decoding by a prefix-sharing trie.
 
-The distinct words of a batch that were not met before go into a trie whose nodes
-are prefixes. Every prefix of a BPE encoding is itself the encoding of the text it
-covers, so one state a node is enough: the last token of its prefix. A depth-first
-walk finds it from the states of shorter prefixes: it is the one vocabulary entry
-ending there that may follow the last token of what precedes it. Shared prefixes are
-thus encoded once, and a word's tokens are read off by following last tokens back.
+The distinct words that were not met before are inserted into a trie whose nodes are
+prefixes. Every prefix of a BPE encoding is itself the encoding of the text it covers,
+so one state a node is enough: the last token of its prefix. A depth-first walk finds
+it from the states of shorter prefixes: it is the one vocabulary entry ending there
+that may follow the last token of what precedes it. Shared prefixes are thus encoded
+once, and a word's tokens are read off by following last tokens back. The trie is held
+as the words in order, each with the length it shares with the one before: that order
+is the walk's, so the states of one path are all that is kept of the nodes.
+
+A worker's memory is bounded by bytes: texts are encoded in runs of ``RUN`` characters,
+and what is known about words and tokens is dropped beyond ``KNOWN``, ``STEPS`` and ``PAIRS``.
 
 Texts are split into words as the tokenizer file says (NFC, blanks, lower case, the
 word pattern). Common Latin text is split here; anything else goes through the
@@ -18,6 +23,8 @@ import json
 import re
 import struct
 import unicodedata
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,14 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import batch_limits
+from .common import batch_limits, free_name
 
 END = "</w>"
-#: Words kept encoded between batches in a Python worker. When there are more, those of
-#: the last such span are kept for one more.
-CACHE = 300_000
-#: Steps and token pairs kept by the trie's walk; caches too.
-STEPS, PAIRS = 400_000, 1_000_000
+#: Stands for END inside the trie: one symbol that no word holds.
+STOP = "\n"
+#: Characters of text encoded at once; a longer text is cut at blanks.
+RUN = 1 << 20
+#: About as many bytes of encoded words are kept between runs in a Python worker. When
+#: there are more, those of the last such span are kept for one more.
+KNOWN = 24 << 20
+#: Steps and token pairs (of about 200 bytes each) kept by the trie's walk.
+STEPS, PAIRS = 60_000, 120_000
 
 
 def default_path() -> str:
@@ -53,35 +64,50 @@ class Trie:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.ids = vocab
-        self.rank = {tuple(pair): k for k, pair in enumerate(merges)}
-        self.parts = {a + b: (a, b) for a, b in map(tuple, merges)}
-        if len(self.parts) != len(merges):
-            raise ValueError("two merges make the same token")
-        made = {t: self.rank[p] for t, p in self.parts.items()}
-        if any(made.get(x, -1) > made[t] for t, p in self.parts.items() for x in p):
-            raise ValueError("a merge comes before its parts")
+        if max(vocab.values(), default=0) >= 1 << 20:
+            raise ValueError("too many tokens")
+        self.rank: dict[int, int] = {}  # of a pair, left << 20 | right
+        self.parts: dict[int, tuple[int, int]] = {}
+        for k, (a, b) in enumerate(merges):
+            left, right, made = vocab[a], vocab[b], vocab[a + b]
+            if made in self.parts:
+                raise ValueError("two merges make the same token")
+            if self.made(left) > k or self.made(right) > k:
+                raise ValueError("a merge comes before its parts")
+            self.parts[made] = (left, right)
+            self.rank[left << 20 | right] = k
         # Tokens that encode as themselves: their halves do, and may stand side by side until the last merge.
-        self.tokens = {t for t in vocab if len(t.removesuffix(END)) == 1}
-        for k, (a, b) in enumerate(map(tuple, merges)):
-            if a in self.tokens and b in self.tokens and self.apart(a, b, k):
-                self.tokens.add(a + b)
-        self.starts = {t[:n] for t in self.tokens for n in range(1, len(t.removesuffix(END)) + 1)} | self.tokens
-        self.follows: dict[str, dict[str, bool]] = {t: {} for t in self.tokens}
-        self.pairs = 0
+        whole = {x for t, x in vocab.items() if len(t.removesuffix(END)) == 1}
+        for k, (a, b) in enumerate(merges):
+            if vocab[a] in whole and vocab[b] in whole and self.apart(vocab[a], vocab[b], k):
+                whole.add(vocab[a + b])
+        self.tokens = {t.removesuffix(END) + STOP if t.endswith(END) else t: x for t, x in vocab.items() if x in whole}
+        self.ordered = sorted(self.tokens)
+        self.forget()
+
+    def made(self, token: int) -> int:
+        """The rank of the merge that makes a token; -1 for a symbol."""
+        pair = self.parts.get(token)
+        return -1 if pair is None else self.rank[pair[0] << 20 | pair[1]]
+
+    def forget(self) -> None:
+        self.states: dict[str, tuple[str, list]] = {}
         self.steps: dict[str, tuple[str, list]] = {}
+        self.follows: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
 
-    def spine(self, token: str, side: int) -> list[tuple[str, float]]:
+    def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The symbols that are in turn the token's first (0) or last (1), each with the rank that ends it."""
-        out: list[tuple[str, float]] = []
+        out: list[tuple[int, float]] = []
         until = float("inf")
         while True:
             out.append((token, until))
-            if token not in self.parts:
+            pair = self.parts.get(token)
+            if pair is None:
                 return out
-            pair = self.parts[token]
-            until, token = self.rank[pair], pair[side]
+            until, token = self.rank[pair[0] << 20 | pair[1]], pair[side]
 
-    def apart(self, left: str, right: str, below: float = float("inf")) -> bool:
+    def apart(self, left: int, right: int, below: float = float("inf")) -> bool:
         """Whether no merge of a rank under ``below`` crosses the border of two tokens.
 
         Merges apply in the order of rank, equal ones from the left: on a tie the pair
@@ -90,70 +116,73 @@ class Trie:
         edge = self.spine(right, 0)
         for x, x_until in self.spine(left, 1):
             for y, y_until in edge:
-                rank = self.rank.get((x, y))
+                rank = self.rank.get(x << 20 | y)
                 if rank is not None and rank < below and rank < x_until and rank <= y_until:
                     return False
         return True
 
-    def step(self, suffix: str, symbol: str) -> tuple[str, list]:
-        """After one more symbol: the longest end of the prefix that begins a token, and the tokens ending here.
+    def begins(self, text: str) -> bool:
+        """Whether a token begins with ``text``."""
+        at = bisect_left(self.ordered, text)
+        return at < len(self.ordered) and self.ordered[at].startswith(text)
+
+    def step(self, text: str) -> tuple[str, list]:
+        """For the longest end of the last prefix and one more symbol: the longest end of ``text`` that begins a token, and the tokens ending there.
 
         Tokens come longest first, each with its length in symbols and what is known
         about tokens before it.
         """
-        text = suffix + symbol
-        start = next(i for i in range(len(text) + 1) if text[i:] in self.starts or i == len(text))
-        ends = [(text[i:], len(text) - i - len(symbol) + 1, self.follows[text[i:]]) for i in range(start, len(text) - len(symbol) + 1) if text[i:] in self.tokens]
-        found = self.steps[text] = (text[start:], ends)
-        return found
-
-    def encode(self, words: set[str]) -> dict[str, list[str]]:
-        """The tokens of each word, by one walk over the words' trie."""
-        if len(self.steps) > STEPS:
-            self.steps.clear()
-        if self.pairs > PAIRS:
-            self.pairs = 0
-            for known in self.follows.values():
-                known.clear()
-        root: dict = {}
-        for word in words:
-            node = root
-            for symbol in word[:-1]:
-                node = node.setdefault(symbol, {})
-            node[word[-1] + END] = word
-        out: dict[str, list[str]] = {}
-        last: list[str] = []  # at depth d: the last token of the prefix of d + 1 symbols
-        size: list[int] = []  # and how many symbols it has
-        stack = [(child, 0, "", symbol) for symbol, child in root.items()]
-        steps = self.steps
-        while stack:
-            node, depth, suffix, symbol = stack.pop()
-            suffix, ends = steps.get(suffix + symbol) or self.step(suffix, symbol)
-            for token, n, follows in ends:
-                if n > depth:
-                    break
-                left = last[depth - n]
-                fits = follows.get(left)
-                if fits is None:
-                    fits = follows[left] = self.apart(left, token)
-                    self.pairs += 1
-                if fits:
+        suffix = next((text[i:] for i in range(len(text)) if self.begins(text[i:])), "")
+        state = self.states.get(suffix)
+        if state is None:
+            last = 2 if suffix.endswith(STOP) else 1
+            ends = [(self.tokens[t], len(t) - last + 1, self.follows.setdefault(self.tokens[t], {})) for t in (suffix[i:] for i in range(len(suffix) - last + 1)) if t in self.tokens]
+            state = self.states[suffix] = (suffix, ends)
+        self.steps[text] = state
+        return state
+
+    def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each distinct word with its tokens, by one walk over the words' trie."""
+        if len(self.steps) > STEPS or self.pairs > PAIRS:
+            self.forget()
+        # The path walked to: for the prefix of d + 1 symbols its state, last token, and that token's symbols.
+        path: list[str] = []
+        last: list[int] = []
+        size: list[int] = []
+        before = ""
+        steps, get = self.steps, self.steps.get
+        for word in sorted(words):
+            depth = 0
+            for a, b in zip(before[:-1], word[:-1]):
+                if a != b:
                     break
-            else:
-                raise ValueError(f"no token for {symbol!r}")
-            if len(symbol) > 1:
-                found, at = [token], depth - n
-                while at >= 0:
-                    found.append(last[at])
-                    at -= size[at]
-                out[node] = found[::-1]
-            else:
-                last[depth:] = (token,)
-                size[depth:] = (n,)
                 depth += 1
-                for s, child in node.items():
-                    stack.append((child, depth, suffix, s))
-        return out
+            del path[depth:], last[depth:], size[depth:]
+            suffix = path[-1] if depth else ""
+            for symbol in (*word[depth:-1], word[-1] + STOP):
+                suffix, ends = get(suffix + symbol) or self.step(suffix + symbol)
+                for token, n, follows in ends:
+                    if n > depth:
+                        break
+                    left = last[depth - n]
+                    fits = follows.get(left)
+                    if fits is None:
+                        fits = follows[left] = self.apart(left, token)
+                        self.pairs += 1
+                    if fits:
+                        break
+                else:
+                    raise ValueError(f"no token for {symbol!r}")
+                path.append(suffix)
+                last.append(token)
+                size.append(n)
+                depth += 1
+            found, at = [], depth - 1
+            while at >= 0:
+                found.append(last[at])
+                at -= size[at]
+            yield word, found[::-1]
+            before = word
 
 
 def latin(pattern: str) -> str:
@@ -168,7 +197,8 @@ class Codec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model = spec["model"]
         if model["end_of_word_suffix"] != END or model["dropout"] or model["ignore_merges"] or model["continuing_subword_prefix"]:
             raise ValueError("only plain BPE with word ends")
@@ -176,7 +206,8 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.borders = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        library = Tokenizer.from_file(path)
+        # The library's own splitting, without its model.
+        library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         #: Any character for which the short way of words() may differ from the library.
         self.unusual = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]")
@@ -185,6 +216,7 @@ class Codec:
         self.bytes = {s: b for b, s in enumerate(self.symbols)}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # about the bytes of ``known``
 
     def words(self, text: str) -> list[str]:
         """The words that are encoded on their own, and special tokens."""
@@ -201,27 +233,30 @@ class Codec:
 
     def learn(self, fresh: set[str]) -> None:
         """Encode words that are not known yet."""
-        spelled = {}
+        known, spelled = self.known, {}
         for w in fresh:
             if w in self.special:
-                self.known[w] = struct.pack("<I", self.special[w])
+                known[w] = struct.pack("<I", self.special[w])
             elif w in self.older:
-                self.known[w] = self.older[w]
+                known[w] = self.older[w]
             else:
                 spelled[w if w.isascii() and w.isprintable() else "".join(map(self.symbols.__getitem__, w.encode("utf-8")))] = w
-        ids = self.trie.ids
-        for symbols, tokens in self.trie.encode(spelled.keys()).items():
-            self.known[spelled[symbols]] = struct.pack(f"<{len(tokens)}I", *map(ids.__getitem__, tokens))
+        for symbols, ids in self.trie.encode(spelled):
+            known[spelled[symbols]] = struct.pack(f"<{len(ids)}I", *ids)
+        self.held += sum(200 + len(w) + len(known[w]) for w in fresh)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        split = [self.words(t) for t in texts]
-        known = self.known
-        self.learn({w for ws in split for w in ws if w not in known})
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > CACHE:
-            self.known, self.older = {}, known
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        for run in runs(texts, RUN):
+            split = [(i, self.words(piece)) for i, piece in run]
+            known = self.known
+            self.learn({w for _, ws in split for w in ws if w not in known})
+            for i, ws in split:
+                out[i].append(b"".join(map(known.__getitem__, ws)))
+            if self.held > KNOWN:
+                self.known, self.older, self.held = {}, known, 0
+        return [b"".join(x) for x in out]
 
     def decode(self, ids: bytes) -> str:
         """Token strings joined by spaces, special tokens included: the file names no decoder."""
@@ -230,6 +265,30 @@ class Codec:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: Where a text may be cut without changing its words: before a blank that a plain character follows.
+_CUT = re.compile(r" (?=[A-Za-z0-9])")
+
+
+def runs(texts: list[str], size: int = RUN) -> Iterator[list[tuple[int, str]]]:
+    """Runs of about ``size`` characters: the texts, or pieces of longer ones, with their numbers."""
+    run, held = [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while len(text) - at > size:
+            cut = _CUT.search(text, at + size)
+            end = cut.start() if cut else len(text)
+            run.append((i, text[at:end]))
+            yield run
+            run, held, at = [], 0, end
+        run.append((i, text[at:] if at else text))
+        held += len(text) - at
+        if held >= size:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
 @lru_cache(2)
 def codec(path: str) -> Codec:
     """One codec for each Python worker and file."""
@@ -237,12 +296,14 @@ def codec(path: str) -> Codec:
 
 
 def encoded(text: Column, path: str | None = None) -> Column:
-    """Ids of a text column, packed as little-endian unsigned 32-bit integers; a null text is empty."""
+    """struct<ids: binary, decoded: string> of a text column, ids packed as little-endian unsigned 32-bit integers; a null text is empty."""
     path = path or default_path()
 
-    @arrow_udf("binary")
+    @arrow_udf("ids binary, decoded string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(codec(path).encode([t or "" for t in texts.to_pylist()]), pa.binary())
+        own = codec(path)
+        ids = own.encode([t or "" for t in texts.to_pylist()])
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.string())], ["ids", "decoded"])
 
     return run(text)
 
@@ -263,11 +324,12 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
     Columns of these names are replaced, all others kept. Null and empty texts give
     no ids and an empty decoded text; every row is kept; no table is too empty.
-    Nothing is shuffled: words are shared within a batch and a worker's cache.
+    Nothing is shuffled: words are shared within a run and a worker's cache.
     """
     batch_limits(docs.sparkSession)
-    with_ids = docs.withColumn("ids", encoded(F.col(text_col), path))
-    return with_ids.withColumns({"n_tokens": F.expr("octet_length(ids) div 4"), "decoded": decoded(F.col("ids"), path)})
+    both = free_name(docs, "both")
+    rows = docs.withColumn(both, encoded(F.col(text_col), path))
+    return rows.withColumns({"ids": F.col(both)["ids"], "n_tokens": (F.octet_length(F.col(both)["ids"]) / 4).cast("long"), "decoded": F.col(both)["decoded"]}).drop(both)
 
 
 def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name  # noqa: F401  taken from here by the operators
+
 #: What separates words: space and the control characters tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -53,5 +55,5 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 
 def batch_limits(spark: SparkSession) -> None:
     """Arrow batches of a bounded size, so that very long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
