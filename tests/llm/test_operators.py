@@ -68,6 +68,46 @@ def test_langid_odd_rows(docs, odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_langid_against_brute_force(spark, docs):
+    """Counts, weights and cosines again in plain Python, over the whole table."""
+    learn = langid.training_part()
+    model = langid.fit(docs.filter(learn))
+
+    def nearest(text):
+        c = [ord(x) for x in f" {text.lower()} "]
+        c = [32 if x < 65 or 90 < x < 97 or 122 < x < 128 else x for x in c]
+        c = [x for i, x in enumerate(c) if not i or x != 32 or c[i - 1] != 32]
+        counts, h = [0] * langid.DIM, [0] * len(c)
+        for n in range(3):
+            h = [(h[i] + c[i + n]) * 2654435761 % 2**32 for i in range(len(c) - n)]
+            h = [x ^ (x >> 15) for x in h]
+            for x in h:
+                counts[x % langid.DIM] += 1
+        v = [np.log1p(n) * w for n, w in zip(counts, model.idf.tolist())]
+        size = sum(x * x for x in v) ** 0.5
+        return max((sum(x * y for x, y in zip(v, row)) / size, model.langs[j]) for j, row in enumerate(model.vectors.tolist()))
+
+    rows = QUERIES["op1_language_id"](spark, DATA).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == len(text)
+    for r in rows:
+        if any(x.isalpha() for x in text[r.doc_id] or ""):
+            cosine, lang = nearest(text[r.doc_id])
+            assert r.lang_pred == lang and abs(r.score - cosine) < 1e-4
+        else:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+
+
+def test_langid_rejection_keeps_the_prediction(docs, odd):
+    model = langid.fit(docs)
+    rows = langid.identify(odd, model).collect()
+    assert {r.lang_pred for r in rows if any(c.isalpha() for c in r.text or "")} <= set(model.langs)
+    kept = langid.recognised(odd, model)
+    assert kept.columns == odd.columns and kept.count() == sum(not r.rejected for r in rows)
+    known = langid.identify(docs, model).filter("rejected and lang is not null").count()
+    assert known <= 0.005 * docs.count()
+
+
 def test_langid_rejects_what_is_far(docs):
     model = langid.fit(docs)
     assert langid.classify("продолжение следует завтра утром", model)[0] == "und"
@@ -369,7 +409,21 @@ def test_token_counts(spark, docs, odd, empty):
         assert cut == {x: (sum(y > x for y in n), sum(min(x, y) for y in n)) for x in limits}
         for q in (0.1, 0.5, 0.99, 1.0):
             assert token_counts.quantile(rows, q) == n[int(np.ceil(q * len(n))) - 1]
+        assert {(r.q, r.n_tokens) for r in token_counts.quantiles(rows, [0.07, 0.29, 0.5]).collect()} == {(q, n[-(-round(q * 100) * len(n) // 100) - 1]) for q in (0.07, 0.29, 0.5)}
     assert token_counts.histogram(empty).count() == 0
+    assert {(r.limit, r.docs, r.total) for r in token_counts.at_limits(token_counts.histogram(empty), spark.createDataFrame([(5,)], "limit long")).collect()} == {(5, 0, 0)}
+
+
+def test_token_report(spark, docs, empty):
+    """The registered query's rows: lengths and limits alike."""
+    n = sorted(len(token_counts.encoding(token_counts.default_path()).encode_ordinary(r.text or "")) for r in docs.collect())
+    rows = {r.n_tokens: r for r in QUERIES["op8_token_counts"](spark, DATA).collect()}
+    assert set(rows) == set(n) | set(token_counts.CONTEXTS)
+    for k, r in rows.items():
+        assert (r.n_docs, r.docs_at_least, r.longer, r.is_limit) == (n.count(k), sum(x >= k for x in n), sum(x > k for x in n), k in token_counts.CONTEXTS)
+        assert (r.tokens_at_least, r.truncated_total) == (sum(x for x in n if x >= k), sum(min(x, k) for x in n))
+        assert r.percentiles == [p for p in token_counts.PERCENTILES if n[-(-p * len(n) // 100) - 1] == k]
+    assert {(r.n_docs, r.truncated_total) for r in token_counts.report(empty).collect()} == {(0, 0)}
 
 
 # ---- secrets
@@ -497,6 +551,27 @@ def test_queries_run(spark, name):
         assert n == table(spark, DATA, "pages" if name.startswith("op10") else "documents").count()
 
 
+def brute_similar(rows):
+    """The smallest id of each row's group: five-word shingles alike by 0.8 or more, compared in full."""
+    def sets(t):
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    own, up = {d: sets(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(up)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if own[a] == own[b] or len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]):
+                up[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in ids}
+
+
 def test_pipeline_against_brute_force(spark, library):
     import corpus_pipeline
 
@@ -504,11 +579,8 @@ def test_pipeline_against_brute_force(spark, library):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     model = langid.fit(docs.filter(langid.training_part()))
     left = [(r.doc_id, r.text) for r in docs.collect() if r.text and langid.classify(r.text, model)[0] != "und"]
-    root = brute_groups([brute_fingerprint(t) for _, t in left])
-    first = {}
-    for d, t in sorted(left):
-        first.setdefault(root[brute_fingerprint(t)], (d, t))
-    left = sorted(first.values())
+    root = brute_similar(left)
+    left = sorted((d, t) for d, t in left if root[d] == d)
     leaking = {d for d, _ in brute_leaks(left, items)}
     left = [(d, re.sub(r'(?i)(?<=token = ")[0-9a-f]{40}', secrets.MARKER, t)) for d, t in left if d not in leaking]
     want = {}
@@ -520,6 +592,15 @@ def test_pipeline_against_brute_force(spark, library):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "bpe"]
 
 
+def test_pipeline_stages_on_an_empty_table(spark, odd):
+    import corpus_pipeline
+
+    frame = odd.filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, DATA)
+        assert frame.count() == 0
+
+
 def test_pipeline_stages_keep_columns_and_odd_rows(spark, odd):
     import corpus_pipeline
 

@@ -3,7 +3,9 @@
 Every text is encoded once and only its length kept. The histogram (length, number
 of documents) with suffix sums then answers, for every context limit at once: how
 many documents reach it, how many tokens there are, how many are left after
-truncation, and any quantile. Its size is the number of different lengths.
+truncation, and any quantile. Its size is the number of different lengths. A limit
+that is no length joins the histogram as a length of no documents, and gets its sums
+like any other; quantiles are those lengths at which the sums pass a share.
 """
 
 from __future__ import annotations
@@ -17,8 +19,12 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import batch_limits, checkpointed
 
-#: Lengths summed together before suffix sums run over the sums.
+#: Lengths summed together before suffix sums run over the sums: bounds the rows of a
+#: window; a text of 2 GB, the longest there can be, makes two million strips at most.
 STRIP = 1024
+#: Context limits of the registered query (parameters), and the percentiles it marks.
+CONTEXTS = (128, 512, 1024, 2048, 4096, 8192, 16384, 32768, 131072, 1048576)
+PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99, 100)
 
 
 def default_path() -> str:
@@ -52,17 +58,39 @@ def n_tokens(text: Column, path: str | None = None) -> Column:
     return run(text)
 
 
+def lengths(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(n_tokens, n_docs): how many texts have each encoded length; null and empty texts have length 0."""
+    batch_limits(docs.sparkSession)
+    return docs.select(n_tokens(F.col(text_col), path).alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+
+
 def histogram(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row for each encoded length that occurs.
 
     Columns: n_tokens, n_docs, docs_at_least, tokens_at_least (of documents this long
     or longer) and truncated_total (tokens left when every document is cut to
-    n_tokens). Null and empty texts have length 0. An empty table gives no rows.
-    Other columns are not read.
+    n_tokens). Null and empty texts have length 0. Repeated rows count each time. An
+    empty table gives no rows. Other columns are not read.
     """
-    batch_limits(docs.sparkSession)
-    counted = docs.select(n_tokens(F.col(text_col), path).alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
-    return suffix_sums(checkpointed(counted))
+    return suffix_sums(checkpointed(lengths(docs, text_col, path)))
+
+
+def report(docs: DataFrame, limits: tuple[int, ...] = CONTEXTS, percentiles: tuple[int, ...] = PERCENTILES, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The histogram with a row for each limit too, and marks of the quantiles.
+
+    Beside the histogram's columns: longer (documents longer than n_tokens), is_limit,
+    and percentiles, those of which n_tokens is the smallest length that as many
+    documents don't exceed. A limit that is no length has n_docs 0. An empty table gives
+    the limits alone, with zeros.
+    """
+    spark = docs.sparkSession
+    counted = checkpointed(lengths(docs, text_col, path))
+    rows = at_lengths(counted, spark.createDataFrame([(int(x),) for x in sorted(set(limits))], "limit long"))
+    marks = quantiles(rows, [p / 100 for p in percentiles])
+    marked = marks.groupBy("n_tokens").agg(F.sort_array(F.collect_list(F.round(F.col("q") * 100).cast("int"))).alias("percentiles"))
+    # As many rows as there are percentiles.
+    out = rows.join(F.broadcast(marked), "n_tokens", "left").withColumn("percentiles", F.coalesce("percentiles", F.array().cast("array<int>")))
+    return out.select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", "truncated_total", (F.col("docs_at_least") - F.col("n_docs")).alias("longer"), "is_limit", "percentiles")
 
 
 def suffix_sums(counted: DataFrame) -> DataFrame:
@@ -86,22 +114,40 @@ def suffix_sums(counted: DataFrame) -> DataFrame:
     return out.select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", (F.col("total") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_total"))
 
 
+def at_lengths(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    """Suffix sums of (n_tokens, n_docs) at its lengths and at every ``limit``, which is_limit tells."""
+    both = counted.select("n_tokens", "n_docs", F.lit(False).alias("is_limit")).union(limits.select(F.col("limit").cast("long"), F.lit(0).cast("long"), F.lit(True)).distinct())
+    merged = both.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"), F.bool_or("is_limit").alias("is_limit"))
+    return suffix_sums(merged.select("n_tokens", "n_docs")).join(merged.select("n_tokens", "is_limit"), "n_tokens")
+
+
 def at_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """For each ``limit``: documents longer than it, and tokens in all and after truncation.
+    """For each ``limit``: documents, those longer than it, and tokens in all and after truncation.
+
+    ``rows`` is a histogram. Null limits don't count, repeated ones count once; a limit
+    above all lengths truncates nothing; an empty histogram has zeros.
+    """
+    every = at_lengths(rows.select("n_tokens", "n_docs"), limits.filter("limit is not null").union(limits.sparkSession.createDataFrame([(0,)], "limit long")))
+    # The sums at length 0 are the totals: one row.
+    total = every.filter("n_tokens = 0").select(F.col("docs_at_least").alias("docs"), F.col("tokens_at_least").alias("total"))
+    asked = limits.select(F.col("limit").cast("long").alias("n_tokens")).distinct()
+    found = every.join(asked, "n_tokens", "left_semi").crossJoin(F.broadcast(total))
+    return found.select(F.col("n_tokens").alias("limit"), "docs", (F.col("docs_at_least") - F.col("n_docs")).alias("longer"), "total", "truncated_total")
+
+
+def quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
+    """(q, n_tokens): for each share the smallest length that at least as many documents don't exceed; no rows for no documents.
 
-    ``rows`` is a histogram. The first length at or above a limit has the sums needed;
-    a limit above all lengths truncates nothing.
+    ``rows`` is a histogram or ``at_lengths``.
     """
-    total = rows.agg(F.max("tokens_at_least").alias("total"), F.max("docs_at_least").alias("docs"))
-    cut = limits.select("limit").distinct().join(rows, F.col("n_tokens") > F.col("limit"), "left")
-    per = cut.groupBy("limit").agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("longer"), F.coalesce(F.sum((F.col("n_tokens") - F.col("limit")) * F.col("n_docs")), F.lit(0)).alias("lost"))
-    return per.join(F.broadcast(total)).select("limit", "docs", "longer", "total", (F.col("total") - F.col("lost")).alias("truncated_total"))
+    docs = rows.agg(F.max("docs_at_least").alias("docs"))  # one row
+    reached = rows.filter("n_docs > 0").crossJoin(F.broadcast(docs)).withColumn("upto", F.col("docs") - F.col("docs_at_least") + F.col("n_docs"))
+    least = reached.agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.lit(q * (1 - 1e-12)) * F.col("docs")), F.col("n_tokens"))).alias(f"q{i}") for i, q in enumerate(shares)])
+    pairs = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"q{i}").alias("n_tokens")) for i, q in enumerate(shares)]))
+    return least.select(pairs.alias("x")).select("x.*").filter("n_tokens is not null")
 
 
 def quantile(rows: DataFrame, q: float) -> int | None:
-    """The smallest length that at least a share ``q`` of the documents don't exceed."""
-    docs = rows.agg(F.max("docs_at_least")).first()[0]
-    if docs is None:
-        return None
-    reached = rows.filter(F.col("docs_at_least") - F.col("n_docs") <= docs - F.ceil(F.lit(q) * docs))
-    return reached.agg(F.min("n_tokens")).first()[0]
+    """The smallest length that at least a share ``q`` of the documents don't exceed; None without documents."""
+    found = quantiles(rows, [q]).first()
+    return found.n_tokens if found else None
