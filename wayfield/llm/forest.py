@@ -42,10 +42,12 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, tri
         return round(share, 4)
     _, f, cut = best
     low = x[:, f] <= cut
+    if low.all() or not low.any():  # neighbouring values whose middle is one of them
+        return round(share, 4)
     return f, cut, grow(x[low], y[low], rng, depth - 1, tries, least), grow(x[~low], y[~low], rng, depth - 1, tries, least)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 5, seed: int = 7) -> list[Tree]:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 21, depth: int = 6, seed: int = 7) -> list[Tree]:
     """Trees on bootstrap samples in which both classes weigh the same."""
     rng = np.random.default_rng(seed)
     if len(set(y.tolist())) < 2:
