@@ -1,17 +1,25 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides what it can
-from where a block stands, its length, the share of its characters inside links and
-the share of stop words among its words; short or middling blocks stay open. The
-second pass gives an open block the label of the nearest decided block of its region;
-outside articles the ends of the page count as decided against.
+A page is cut into blocks at block-level tags. The first pass classifies a block by the
+density of stop words among its words, its length and the share of its characters inside
+links. Markup is a prior: elements that HTML keeps for other content (nav, footer,
+aside ...) or that are named for it are out, and in an article a long block with
+few stop words is ambiguous instead of bad, since its language may have none listed.
+The second pass gives short and other ambiguous blocks the label of the nearest decided
+block; outside articles the ends of the page count as decided against.
+
+An element whose name is doubtful (a header, a sidebar) but which holds most of the
+page's good text is a wrapper, and its name doesn't count. All steps take time in
+proportion to the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,9 +36,9 @@ STOP_WORDS = frozenset(
     "al como con del el ella ellos entre era esta este ha las lo los más me mi muy no nos o para pero por se ser si sin sobre su sus también te una y ya".split()
 )
 SHORT = 70
-LONG = 200
-STOPS_LOW = 0.15
-STOPS_HIGH = 0.3
+LONG = 140
+STOPS_LOW = 0.1
+STOPS_HIGH = 0.2
 LINKS = 0.5
 
 #: Tags whose content is no text of the page.
@@ -43,16 +51,23 @@ BLOCK = REGION | ASIDE | frozenset(
     "address blockquote body caption center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark what isn't the article.
+#: Words in class, id or role that mark what isn't the article, and such as may also name a wrapper of all.
 ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|sidebar|side|widget|related|recommend\w*|"
-    r"share|sharing|social|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|comments?|replies|reply|disqus|respond|pagination|pager|login|signup|search|complementary|contentinfo)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w+|related|recommend\w*|share|sharing|social|breadcrumbs?|menu|nav|navbar|"
+    r"navigation|footer|comments?|replies|reply|disqus|respond|pagination|pager|login|signup|contentinfo|notice|alert)(?:$|[\s_-])",
     re.I,
 )
+WRAPPER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner|overlay|sidebar|side|widget|search|complementary)(?:$|[\s_-])", re.I)
+#: Names that speak of another element than their own.
+OTHER_NAME = re.compile(r"(?:^|\s)(?:has|no|with|without|hide|show|is)[_-]\S+", re.I)
 #: Words in class, id, role or itemprop that mark the article where no tag does.
 REGION_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|entry|story)(?:$|[\s_-])", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+#: Characters of a quoted attribute, beyond which a quote counts as never closed.
+_QUOTED = 20_000
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{{0,{_QUOTED}}}"|'[^']{{0,{_QUOTED}}}')*+)>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+#: Elements that hold text themselves; what holds these is a block's home.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre legend caption summary figcaption".split())
 
 
 @dataclass
@@ -62,35 +77,90 @@ class Block:
     text: str
     linked: int = 0
     named: bool = False  # the region is known by a name only
+    home: int = 0  # number of the element it stands in, paragraphs and the like apart
+    wrappers: tuple[int, ...] = ()  # elements around it with a doubtful name
+    stops: float = 0.0
     good: bool | None = None
 
 
+@dataclass
+class _Open:
+    tag: str
+    number: int
+    home: int
+    aside: int  # 1 by a name only, 2 by tag or inside a region
+    region: int
+    wrappers: tuple[int, ...] = ()
+
+
 @dataclass
 class _Page:
     blocks: list[Block] = field(default_factory=list)
-    open: list[tuple[str, int, int]] = field(default_factory=list)  # tag, aside (1 by a name only, 2 by tag or inside a region), region
+    open: list[_Open] = field(default_factory=list)
+    count: Counter = field(default_factory=Counter)  # of open tags
     parts: list[tuple[str, bool]] = field(default_factory=list)  # text, linked
     named: set[int] = field(default_factory=set)  # regions known by a name only
     below: set[int] = field(default_factory=set)  # regions below what only a name marks as aside
+    elements: int = 0
+    regions: int = 0
+
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else _Open("", 0, 0, 0, 0)
 
     def end_block(self) -> None:
         text = " ".join("".join(t for t, _ in self.parts).split())
         if text:
-            _, aside, region = self.open[-1] if self.open else ("", 0, 0)
+            at = self.top()
             linked = sum(len(" ".join(t.split())) for t, link in self.parts if link)
-            self.blocks.append(Block(region, aside > 0, text, linked, region in self.named))
+            self.blocks.append(Block(at.region, at.aside > 0, text, linked, at.region in self.named, at.home, at.wrappers, stop_share(text)))
         self.parts.clear()
 
+    def pop(self) -> str:
+        tag = self.open.pop().tag
+        self.count[tag] -= 1
+        return tag
+
     def close(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if self.count[tag] > 0:
+            while self.pop() != tag:
+                pass
+
+    def start(self, tag: str, attributes: str) -> None:
+        """Open a block-level element."""
+        while self.open and (self.open[-1].tag == "p" or tag == "li" and self.open[-1].tag == "li"):
+            self.pop()
+        above = self.top()
+        aside, region, wrappers = above.aside, above.region, above.wrappers
+        name = " ".join(next(filter(None, m), "") for m in _NAMES.findall(attributes)) if attributes else ""
+        name = OTHER_NAME.sub(" ", name) if tag not in ("body", "html") else ""
+        self.elements += 1
+        if tag == "form" and not aside:
+            region = 0  # its blocks are judged by density, wherever it stands
+        if tag in REGION and aside == 1 and not ASIDE_NAME.search(name):
+            self.regions += 1
+            aside, region = 0, self.regions
+            self.below.add(region)
+        elif tag in ASIDE or tag == "header" and not region:
+            aside = 2
+        elif name and tag not in REGION and ASIDE_NAME.search(name):
+            aside = max(aside, 2 if region else 1)
+        elif name and tag not in REGION and WRAPPER_NAME.search(name) and not region:
+            wrappers = (*wrappers[-7:], self.elements)
+        elif not aside and (tag in REGION and (not region or region in self.named) or not region and name and REGION_NAME.search(name)):
+            self.regions += 1
+            region = self.regions
+            if tag in REGION:
+                wrappers = ()
+            else:
+                self.named.add(region)
+        home = above.home if tag in TEXTUAL else self.elements
+        self.open.append(_Open(tag, self.elements, home, aside, region, wrappers))
+        self.count[tag] += 1
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order; text in skipped tags is left out."""
-    state, at, regions, links = _Page(), 0, 0, 0
+    state, at, links = _Page(), 0, 0
     skipped: list[str] = []  # open skipped tags that hold markup
     last: dict[str, int] = {}  # where the last end tag of a skipped tag stands
     lower = page.lower()
@@ -107,15 +177,17 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         closing = bool(found[1] or found[4])
-        names = found[3] or found[6] or ""
+        attributes = found[3] or found[6] or ""
         if tag in SKIPPED:
+            if tag not in last:
+                last[tag] = lower.rfind(f"</{tag}")
             if tag in RAW and not closing:
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else size
+                if last[tag] >= at:
+                    at = _raw_end(tag).search(page, at).end()
+                elif tag in ("script", "style"):
+                    at = size  # code to the end
             elif tag not in VOID:
-                if not closing and not names.rstrip().endswith("/"):
-                    if tag not in last:
-                        last[tag] = lower.rfind(f"</{tag}")
+                if not closing and not attributes.rstrip().endswith("/"):
                     if tag == "option" and skipped and skipped[-1] == "option":
                         skipped.pop()
                     # A tag that is never closed hides nothing, but a head ends at the body and an option with its list.
@@ -123,7 +195,7 @@ def blocks_of(page: str) -> list[Block]:
                         if not skipped:
                             state.end_block()
                         skipped.append(tag)
-                elif closing and tag in skipped:
+                elif closing and tag in skipped[-64:]:
                     while skipped.pop() != tag:
                         pass
             continue
@@ -134,90 +206,88 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "br":
             state.parts.append((" ", links > 0))
         elif tag == "a":
-            links = max(0, links - 1) if closing else 1
+            links = 0 if closing else 1
         elif tag in BLOCK:
             state.end_block()
             links = 0
             if closing:
                 state.close(tag)
             elif tag not in VOID:
-                while state.open and state.open[-1][0] == "p" or state.open and tag == "li" and state.open[-1][0] == "li":
-                    state.open.pop()
-                _, aside, region = state.open[-1] if state.open else ("", 0, 0)
-                named = " ".join(next(filter(None, m), "") for m in _NAMES.findall(names)) if names else ""
-                if tag == "form" and not aside:
-                    region = 0  # its blocks are judged by density, wherever it stands
-                if tag in REGION and aside == 1 and not ASIDE_NAME.search(named):
-                    regions += 1
-                    aside, region = 0, regions
-                    state.below.add(region)
-                elif tag in ASIDE or tag == "header" and not region:
-                    aside = 2
-                elif named and tag not in REGION and tag not in ("body", "html") and ASIDE_NAME.search(named):
-                    aside = max(aside, 2 if region else 1)
-                elif not aside and (tag in REGION and (not region or region in state.named) or not region and named and tag not in ("body", "html") and REGION_NAME.search(named)):
-                    regions += 1
-                    region = regions
-                    if tag not in REGION:
-                        state.named.add(region)
-                state.open.append((tag, aside, region))
+                state.start(tag, attributes)
     state.end_block()
     # An article below such a wrapper counts unless one stands outside; then it is a teaser or the like.
     if any(b.region and not b.aside and not b.named and b.region not in state.below for b in state.blocks):
         for b in state.blocks:
             b.aside = b.aside or b.region in state.below
+    judge_wrappers(state.blocks)
     return state.blocks
 
 
+@lru_cache(16)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I)
+
+
+def judge_wrappers(blocks: list[Block]) -> None:
+    """Blocks below an element with a doubtful name are aside, unless it holds most of the page's good text."""
+    held: Counter = Counter()
+    total = 0
+    for b in blocks:
+        if not b.aside and dense(b):
+            total += len(b.text)
+            held.update({w: len(b.text) for w in b.wrappers})
+    for b in blocks:
+        b.aside = b.aside or any(2 * held[w] <= total for w in b.wrappers)
+
+
 def stop_share(text: str) -> float:
     found = re.findall(r"\w+", text.lower())
     return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
 
 
+def dense(b: Block) -> bool | None:
+    """The first pass without any prior: by links, length and stop words; None if ambiguous."""
+    if b.linked > LINKS * len(b.text):
+        return False
+    if len(b.text) < SHORT:
+        return None
+    if b.stops >= STOPS_HIGH or len(b.text) >= LONG and b.stops >= STOPS_LOW:
+        return True
+    return False if b.stops < STOPS_LOW else None
+
+
 def classify(blocks: list[Block]) -> None:
     """Both passes, in place."""
     for b in blocks:
-        size, links = len(b.text), b.linked / len(b.text)
-        if b.aside:
-            b.good = False
-        elif b.named and links > LINKS:
-            b.good = False
-        elif b.region:
-            b.good = True if size >= SHORT and links <= LINKS else None
-        elif links > LINKS:
-            b.good = False
-        elif size < SHORT:
-            b.good = None
-        else:
-            stops = stop_share(b.text)
-            b.good = True if stops >= STOPS_HIGH or size >= LONG and stops >= STOPS_LOW else False if stops < STOPS_LOW else None
-    decided = [(i, b) for i, b in enumerate(blocks) if b.good is not None]
+        b.good = False if b.aside else dense(b)
+        if b.region and not b.aside and not b.good and b.linked <= LINKS * len(b.text):
+            # The language of an article need not be one with listed stop words, nor an article prose.
+            b.good = True if len(b.text) >= SHORT and b.stops >= STOPS_LOW else None
+    before, after = _decided(blocks, range(len(blocks))), _decided(blocks, range(len(blocks) - 1, -1, -1))
     marked: list[bool] = []
     for i, b in enumerate(blocks):
         if b.good is not None:
             marked.append(b.good)
             continue
-        # On a tie a block of an article is kept and any other is not; outside, the page's ends count as decided.
-        near = [(abs(i - k), d.good != bool(b.region), d.good) for k, d in _around(decided, i, b.region)]
+        # Of two as near, the one in the same element counts; else a block of an article is kept and any other is not.
+        near = [(abs(i - k), blocks[k].home != b.home, blocks[k].good != bool(b.region), blocks[k].good) for k in (before[i], after[i]) if k is not None]
         if not b.region:
-            near += [(i + 1, False, False), (len(blocks) - i, False, False)]
-        marked.append(min(near)[2] if near else True)
+            near += [(i + 1, True, False, False), (len(blocks) - i, True, False, False)]
+        marked.append(min(near)[3] if near else True)
     for b, good in zip(blocks, marked, strict=True):
         b.good = good
 
 
-def _around(decided: list[tuple[int, Block]], i: int, region: int):
-    """The nearest decided blocks before and after place ``i`` that lie in the region."""
-    import bisect
-
-    at = bisect.bisect_left(decided, i, key=lambda x: x[0])
-    for step, start in ((-1, at - 1), (1, at)):
-        k = start
-        while 0 <= k < len(decided):
-            if decided[k][1].region == region and not (region and decided[k][1].aside):
-                yield decided[k]
-                break
-            k += step
+def _decided(blocks: list[Block], order: range) -> list[int | None]:
+    """For each block the last decided one of its region before it in ``order``; in an article asides and lists of links tell nothing."""
+    last: dict[int, int] = {}
+    out: list[int | None] = [None] * len(blocks)
+    for i in order:
+        b = blocks[i]
+        out[i] = last.get(b.region)
+        if b.good is not None and (b.good or not b.region):
+            last[b.region] = i
+    return out
 
 
 def extract(page: str | None) -> str:
