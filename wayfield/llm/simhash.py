@@ -21,6 +21,8 @@ from pyspark.sql.functions import arrow_udf
 from .common import batch_limits, checkpointed, row_key
 
 RADIUS = 2
+#: Parts into which the members of a group are dealt where they look for their root.
+SALTS = 32
 
 
 def fingerprint_of(text: str | None, shingle: int = 3) -> int:
@@ -37,7 +39,15 @@ def fingerprint_of(text: str | None, shingle: int = 3) -> int:
     else:
         grams = list(map(b" ".join, zip(*(tokens[i:] for i in range(shingle)))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams))
+    return majority(np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams)))
+
+
+def majority(hashes) -> int:
+    """The signed 64-bit number with each bit that is set in over half the hashes; 0 for none."""
+    import numpy as np
+
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):  # bounds the unpacked bits
         block = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -86,8 +96,12 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         roots = state.select(F.col("node").alias("b"), F.col("root").alias("near"))
         best = both.join(roots, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         stepped = state.join(best, "node").select("node", "root", F.least("root", "near").alias("next"))
-        above = stepped.select(F.col("node").alias("next"), F.col("next").alias("up"))
-        jumped = stepped.join(above, "next", "left").select("node", F.coalesce(F.least("next", "up"), F.col("next")).alias("root"), (F.coalesce(F.least("next", "up"), F.col("next")) != F.col("root")).alias("moved"))
+        # Members of a large group share one root: they are spread over SALTS, and each node that is a root is copied as often.
+        above = stepped.select(F.col("node").alias("next"), F.col("next").alias("up")).join(stepped.select("next").distinct(), "next", "left_semi")
+        above = above.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = stepped.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        up = F.coalesce(F.least("next", "up"), F.col("next"))
+        jumped = spread.join(above, ["next", "salt"], "left").select("node", up.alias("root"), (up != F.col("root")).alias("moved"))
         jumped = checkpointed(jumped)
         moved = jumped.filter("moved").limit(1).count()
         state = jumped.select("node", "root")
