@@ -10,7 +10,7 @@ class CoverageConfig:
     """Thresholds are inclusive; a zone size of 0 or less means 100 m."""
 
     zone_size: float = 100.0
-    zone_mode: str = "grid"  # grid or segments
+    zone_mode: str = "grid"  # grid (or center), original (grid, with the coordinates as measured), or segments
     rsrp_threshold: float = -110.0
     sinr_threshold: float = -5.0
     densify: bool = False
@@ -28,8 +28,12 @@ class CoverageConfig:
     def size(self) -> float:
         return self.zone_size if self.zone_size > 0 else 100.0
 
+    @property
+    def segments(self) -> bool:
+        return self.zone_mode == "segments"
+
     def validate(self) -> None:
-        if self.zone_mode not in ("grid", "segments"):
+        if self.zone_mode not in ("grid", "center", "original", "segments"):
             raise ValueError(f"unknown zone mode {self.zone_mode!r}")
         if self.sync_tolerance_ms < 0:
             raise ValueError("the tolerance can't be negative")

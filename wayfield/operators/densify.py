@@ -26,11 +26,11 @@ def empty_zones(best: DataFrame, templates: DataFrame, zones: DataFrame | None =
 
     ``zones`` are the distinct zones (by default the measured ones; for segments pass
     the interpolated ones too). The product is zones times operators, as large as the
-    complete result; operators are the broadcast side.
+    complete result.
     """
     keys = zone_columns(best)
     every = (best if zones is None else zones).select(*keys).distinct()
-    wanted = every.crossJoin(F.broadcast(templates))
+    wanted = every.crossJoin(templates)  # Spark sends the smaller side around if it is small
     have = best.select(*keys, operator_code(F.col("mcc")).alias("op_mcc"), operator_code(F.col("mnc")).alias("op_mnc")).distinct()
     missing = wanted.join(have, [*keys, "op_mcc", "op_mnc"], "left_anti")
     return missing.select(*keys, F.col("op_mcc").alias("mcc"), F.col("op_mnc").alias("mnc"), "template_seq", F.lit(EMPTY_RSRP).alias("rsrp"), F.lit("no").alias("nr"), F.lit(0).cast("long").alias("n"))
@@ -60,13 +60,23 @@ def custom_list(text: str) -> list[tuple[str, str, str]]:
 def absent_operators(custom: DataFrame, best: DataFrame) -> DataFrame:
     """Added operators (mcc, mnc, pci) that have no measured zone, once each."""
     first = custom.withColumn("mnc", F.trim("mnc")).withColumn("mcc", F.trim("mcc")).groupBy(*OPERATOR).agg(F.first("pci").alias("pci"))
-    have = best.select(*[operator_code(F.col(c)).alias(f"_{c}") for c in OPERATOR]).distinct()
-    known = (operator_code(F.col("mcc")) == F.col("_mcc")) & (operator_code(F.col("mnc")) == F.col("_mnc"))
+    have = best.select(*[operator_code(F.col(c)).alias(f"own_{c}") for c in OPERATOR]).distinct()
+    known = (operator_code(F.col("mcc")) == F.col("own_mcc")) & (operator_code(F.col("mnc")) == F.col("own_mnc"))
     return first.join(have, known, "left_anti")
 
 
-def custom_zones(custom: DataFrame, best: DataFrame) -> DataFrame:
-    """A row for each measured zone and absent added operator."""
-    zones = best.select(*zone_columns(best)).distinct()
+def custom_zones(custom: DataFrame, best: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """A row for each zone (by default the measured ones) and absent added operator.
+
+    The product is as large as the result; added operators are a list written by hand.
+    """
+    every = (best if zones is None else zones).select(*zone_columns(best)).distinct()
     added = absent_operators(custom, best)
-    return zones.crossJoin(F.broadcast(added)).select("*", F.lit(EMPTY_RSRP).alias("rsrp"), F.lit("no").alias("nr"))
+    return every.crossJoin(added).select("*", F.lit(EMPTY_RSRP).alias("rsrp"), F.lit("no").alias("nr"))
+
+
+def with_placeholders(stats: DataFrame, custom: DataFrame, best: DataFrame, total_zones: DataFrame) -> DataFrame:
+    """Operators' counts with a row for each absent added operator, for which all zones are bad."""
+    total = total_zones.agg(F.count("*").alias("bad"))  # one row
+    added = absent_operators(custom, best).crossJoin(F.broadcast(total)).filter("bad > 0")
+    return stats.unionByName(added.select("mcc", "mnc", F.lit(0).cast("long").alias("good"), "bad"))

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that all executors share, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfield-"))
-    return df.checkpoint(eager=True)
+from ..functions.names import free_name
+from ..functions.shared import checkpointed
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
@@ -24,15 +16,17 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> D
     a partition, and the sizes of the partitions before it (one small row each). The
     sorted rows are checkpointed, so both levels see the same partitions.
     """
-    placed = checkpointed(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_mono": F.monotonically_increasing_id()}))
-    sizes = sorted((r._part, r.n) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    part, mono, offset = (free_name(df, c) for c in ("part", "mono", "offset"))
+    placed = checkpointed(df.orderBy(*order).withColumns({part: F.spark_partition_id(), mono: F.monotonically_increasing_id()}))
+    sizes = sorted((r[0], r.n) for r in placed.groupBy(part).agg(F.count("*").alias("n")).collect())
     before, rows = start, []
-    for part, n in sizes:
-        rows.append((part, before))
+    for number, n in sizes:
+        rows.append((number, before))
         before += n
-    offsets = df.sparkSession.createDataFrame(rows, "_part int, _before long")
-    place = F.col("_before") + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(offsets), "_part").withColumn(name, place).drop("_part", "_mono", "_before")
+    offsets = df.sparkSession.createDataFrame(rows, f"`{part}` int, `{offset}` long")
+    place = F.col(offset) + F.col(mono).bitwiseAND(F.lit((1 << 33) - 1))
+    # One row for each partition.
+    return placed.join(F.broadcast(offsets), part).withColumn(name, place).drop(*{part, mono, offset} - {name})
 
 
 def time_sort(df: DataFrame, time: str = "time_ms", seq: str = "seq", name: str = "sorted_seq") -> DataFrame:
@@ -40,10 +34,15 @@ def time_sort(df: DataFrame, time: str = "time_ms", seq: str = "seq", name: str
     return numbered(df, [F.col(time).asc_nulls_last(), F.col(seq).asc()], name)
 
 
+def with_ids(rows: DataFrame, number: Column, existing: str | None = None, name: str = "row_id") -> DataFrame:
+    """``rows`` with ``number`` (from 1) as text, or the filled cells of ``existing`` instead."""
+    text = number.cast("string")
+    if existing:
+        text = F.coalesce(F.when(F.trim(F.col(existing)) != "", F.trim(F.col(existing))), text)
+    return rows.withColumn(name, text)
+
+
 def row_ids(df: DataFrame, existing: str | None = None, seq: str = "seq", name: str = "row_id") -> DataFrame:
     """Row numbers from 1 in file order; filled cells of ``existing`` are kept instead."""
-    out = numbered(df, [F.col(seq).asc()], "_number", start=1)
-    number = F.col("_number").cast("string")
-    if existing:
-        number = F.coalesce(F.when(F.trim(F.col(existing)) != "", F.trim(F.col(existing))), number)
-    return out.withColumn(name, number).drop("_number")
+    number = free_name(df, "number")
+    return with_ids(numbered(df, [F.col(seq).asc()], number, start=1), F.col(number), existing, name).drop(number)

@@ -8,10 +8,13 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name
 from ..functions.scalars import header_token, number_text, parse_number
 
-#: Rules up to which matching is compiled into the plan; rules are settings, not data.
-MOST_GROUPS = 2000
+#: Groups up to which matching is one expression of the plan; more are looked up in a table.
+COMPILED = 48
+#: Rows of a table of rules up to which it is broadcast: settings read from files, well under 100 MB.
+BROADCAST_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -32,12 +35,16 @@ class Rule:
         return [dict(zip(names, values, strict=True)) for values in product(*(self.assignments[n] for n in names))]
 
 
-#: Other names of the fields that rules speak of, tried by header token (fixed values).
+#: Other names of the fields that rules speak of, by header token (fixed values).
 ALIASES = {
-    "frequency": ("earfcn", "nrarfcn", "arfcn", "frequency", "freq", "ssref"),
+    "latitude": ("latitude", "lat"),
+    "longitude": ("longitude", "lon"),
+    "frequency": ("frequency", "freq", "earfcn", "nrarfcn"),
+    "pci": ("pci",),
     "mcc": ("mcc",),
     "mnc": ("mnc",),
-    "pci": ("pci",),
+    "rsrp": ("rsrp",),
+    "sinr": ("sinr",),
 }
 
 
@@ -45,7 +52,8 @@ def resolve(names: list[str], columns: list[str], mapping: dict[str, str] | None
     """The column each rule field means.
 
     Exact name, then the same letters in another case, then equal header tokens, then
-    SSRef for frequency, then the column mapped to that logical field, else the name itself.
+    SSRef for a field named frequency, then the column mapped to that logical field, else
+    the name itself.
     """
     mapping = mapping or {}
     token = lambda s: "".join(ch for ch in s.lower() if ch.isascii() and ch.isalnum())
@@ -56,7 +64,7 @@ def resolve(names: list[str], columns: list[str], mapping: dict[str, str] | None
     out = {}
     for n in names:
         logical = next((k for k, others in ALIASES.items() if token(n) in others), None)
-        options = [n if n in columns else None, lower.get(n.lower()), tokens.get(token(n)), tokens.get("ssref") if logical == "frequency" else None, mapping.get(logical or "")]
+        options = [n if n in columns else None, lower.get(n.lower()), tokens.get(token(n)), tokens.get("ssref") if token(n) == "frequency" else None, mapping.get(logical or "")]
         out[n] = next((o for o in options if o), n)
     return out
 
@@ -69,27 +77,80 @@ def _holds(number: Column, low: float, high: float) -> Column:
 def match(df: DataFrame, rules: list[Rule], mapping: dict[str, str] | None = None) -> DataFrame:
     """``df`` with ``rule``: the one with the largest matching group, ties to the first name; null if none.
 
-    Compiled to one expression over the row, so no join is needed.
+    A few groups are compiled to one expression over the row. Of more, a row meets those
+    only that are keyed by one of its values.
     """
-    if sum(len(r.groups) for r in rules) > MOST_GROUPS:
-        raise ValueError("too many rules to compile")
-    names = sorted({c[0] for r in rules for g in r.groups for c in g})
-    column = resolve(names, df.columns, mapping)
     ordered = sorted(rules, key=lambda r: r.name)
-    numbers = {n: parse_number(F.col(column[n]).cast("string")) for n in names if column[n] in df.columns}
-    at = df.withColumns({f"_f_{i}": numbers[n] for i, n in enumerate(names) if n in numbers})
-    options = []
-    for k, rule in enumerate(ordered):
-        for group in rule.groups:
+    groups = [(len(g), -k, g) for k, r in enumerate(ordered) for g in r.groups]
+    if not groups:
+        return df.withColumn("rule", F.lit(None).cast("string"))
+    names = sorted({c[0] for _, _, g in groups for c in g})
+    column = resolve(names, df.columns, mapping)
+    numbers = [parse_number(F.col(f"`{column[n]}`").cast("string")) if column[n] in df.columns else F.lit(None).cast("double") for n in names]
+    held = free_name(df, "numbers")
+    at = df.withColumn(held, F.array(*numbers))
+    number = lambda f: F.get(F.col(held), F.lit(names.index(f)))
+    if len(groups) <= COMPILED:
+        options = []
+        for size, k, group in groups:
             test = F.lit(True)
             for f, low, high in group:
-                test = test & (_holds(F.col(f"_f_{names.index(f)}"), low, high) if f in numbers else F.lit(False))
-            options.append(F.when(test, F.struct(F.lit(len(group)).alias("size"), F.lit(-k).alias("k"))))
-    if not options:
-        return df.withColumn("rule", F.lit(None).cast("string"))
-    best = F.array_max(F.array(*options))
-    named = F.array(*[F.lit(r.name) for r in ordered])
-    return at.withColumn("rule", F.get(named, -best["k"])).drop(*[f"_f_{i}" for i in range(len(names))])
+                test = test & _holds(number(f), low, high)
+            options.append(F.when(test, F.struct(F.lit(size).alias("size"), F.lit(k).alias("k"))))
+        best = F.array_max(F.array(*options))
+        named = F.array(*[F.lit(r.name) for r in ordered])
+        return at.withColumn("rule", F.get(named, -best["k"])).drop(held)
+    return _looked_up(at, held, names, groups, ordered).drop(held)
+
+
+_GROUP = "struct<size: int, k: int, conditions: array<struct<f: int, low: double, high: double>>>"
+
+
+def _looked_up(at: DataFrame, held: str, names: list[str], groups: list[tuple], ordered: list[Rule]) -> DataFrame:
+    """``match`` by tables: groups with an exact condition are joined by its value, the others are tried on every row."""
+    spark = at.sparkSession
+    exact: dict[int, dict[float, list]] = {}
+    rest = []
+    values: dict[str, set[float]] = {}
+    for _, _, g in groups:
+        for f, low, high in g:
+            if low == high:
+                values.setdefault(f, set()).add(low)
+    for size, k, g in groups:
+        row = (size, k, [(names.index(f), float(low), float(high)) for f, low, high in g])
+        # The field with the most values tells groups apart best.
+        keys = [(len(values[f]), f, low) for f, low, high in g if low == high]
+        if keys:
+            _, f, low = max(keys)
+            exact.setdefault(names.index(f), {}).setdefault(float(low), []).append(row)
+        else:
+            rest.append(row)
+    tried, dropped = [], []
+    for f, by_value in sorted(exact.items()):
+        key, own = free_name(at, f"key_{f}"), free_name(at, f"groups_{f}")
+        table = spark.createDataFrame(sorted(by_value.items()), f"`{key}` double, `{own}` array<{_GROUP}>")
+        table = F.broadcast(table) if len(by_value) <= BROADCAST_ROWS else table
+        at = at.join(table, F.get(F.col(held), F.lit(f)) == F.col(key), "left")
+        tried.append(F.coalesce(F.col(own), F.array().cast(f"array<{_GROUP}>")))
+        dropped += [key, own]
+    if rest:
+        own = free_name(at, "groups_rest")
+        at = at.crossJoin(F.broadcast(spark.createDataFrame([(rest,)], f"`{own}` array<{_GROUP}>")))  # one row
+        tried.append(F.col(own))
+        dropped.append(own)
+    inside = lambda c: _holds_at(F.get(F.col(held), c["f"]), c)
+    fitting = F.filter(F.concat(*tried), lambda g: F.forall(g["conditions"], inside))
+    best = F.array_max(F.transform(fitting, lambda g: F.struct(g["size"].alias("size"), g["k"].alias("k"))))
+    number = free_name(at, "rule_no")
+    at = at.withColumn(number, -best["k"])
+    named = spark.createDataFrame([(k, r.name) for k, r in enumerate(ordered)], f"`{number}` int, `{number}_name` string")
+    named = F.broadcast(named) if len(ordered) <= BROADCAST_ROWS else named
+    return at.join(named, number, "left").withColumn("rule", F.col(f"{number}_name")).drop(*dropped, number, f"{number}_name")
+
+
+def _holds_at(number: Column, c: Column) -> Column:
+    inside = F.when(c["low"] == c["high"], number == c["low"]).otherwise((number >= c["low"]) & (number < c["high"]))
+    return F.coalesce(inside, F.lit(False))
 
 
 def expand(matched: DataFrame, rules: list[Rule], keep_original: bool = False, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -102,17 +163,23 @@ def expand(matched: DataFrame, rules: list[Rule], keep_original: bool = False, m
     names = sorted({n for r in rules for n in r.assignments})
     column = resolve(names, matched.columns, mapping)
     targets = sorted(set(column.values()))
-    combo = lambda values: F.struct(*[F.lit(values.get(t)).cast("double").alias(t) for t in targets])
-    none = combo({})
-    choices = F.array(none)
+    if not targets:
+        return matched.withColumn("pos", F.lit(0))
+    own, of = free_name(matched, "copies"), {c: n for n, c in column.items()}
+    kind = ", ".join(f"`{t}`: double" for t in targets)
+    of_rule = []
     for rule in rules:
-        copies = [combo({column[n]: v for n, v in c.items()}) for c in rule.combinations()]
-        choices = F.when(F.col("rule") == rule.name, F.array(*([none] if keep_original else []), *copies)).otherwise(choices)
-    rows = matched.select("*", F.posexplode(choices).alias("pos", "_set"))
+        copies = [tuple(float(c[n]) if n in c else None for n in (of[t] for t in targets)) for c in rule.combinations()]
+        of_rule.append((rule.name, [*([(None,) * len(targets)] if keep_original else []), *copies]))
+    table = matched.sparkSession.createDataFrame(of_rule, f"rule string, `{own}` array<struct<{kind}>>")
+    table = F.broadcast(table) if len(of_rule) <= BROADCAST_ROWS else table
+    none = F.array(F.struct(*[F.lit(None).cast("double").alias(t) for t in targets]))
+    joined = matched.join(table, "rule", "left")
+    rows = joined.select(*matched.columns, F.posexplode(F.coalesce(F.col(own), none)).alias("pos", own))
     for t in targets:
-        old = F.col(t) if t in matched.columns else F.lit(None).cast("string")
-        rows = rows.withColumn(t, F.coalesce(number_text(F.col(f"_set.{t}")), old.cast("string")))
-    return rows.drop("_set")
+        old = F.col(f"`{t}`") if t in matched.columns else F.lit(None).cast("string")
+        rows = rows.withColumn(t, F.coalesce(number_text(F.col(own)[t]), old.cast("string")))
+    return rows.drop(own)
 
 
 def header_tokens(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name
 from ..functions.scalars import operator_code
 
 #: Rows of one operator in a slice of time, several times the tolerance long, make a window's partition.
@@ -16,39 +17,43 @@ def sync(rows: DataFrame, states: DataFrame, tolerance_ms: int) -> DataFrame:
 
     ``rows`` has mcc, mnc, time_ms and its own columns; ``states`` has mcc, mnc,
     time_ms and nr. Any yes within [t - tol, t + tol] wins, then any no; unmatched rows
-    are ``no``. Rows without MCC or MNC are compared with all states.
+    are ``no``. Rows without MCC or MNC are compared with all states; states without
+    either count for none.
 
     Both sides meet in one frame over time, so pairs are never formed. Time is cut in
     slices; states near a slice's ends are copied to the neighbour, so that one operator
     with most rows is many partitions.
     """
     width = SLICE * (tolerance_ms + 1)
-    codes = lambda df: df.withColumns({"_mcc": F.coalesce(operator_code(F.col("mcc")), F.lit("")), "_mnc": F.coalesce(operator_code(F.col("mnc")), F.lit(""))})
+    mcc, mnc, yes, no, row, cut = (free_name(rows, c) for c in ("op_mcc", "op_mnc", "yes", "no", "row", "slice"))
+    codes = lambda df: df.withColumns({mcc: F.coalesce(operator_code(F.col("mcc")), F.lit("")), mnc: F.coalesce(operator_code(F.col("mnc")), F.lit(""))})
     keyed = codes(rows)
-    partial = (F.col("_mcc") == "") | (F.col("_mnc") == "")
-    keyed = keyed.withColumns({"_mcc": F.when(partial, "").otherwise(F.col("_mcc")), "_mnc": F.when(partial, "").otherwise(F.col("_mnc"))})
-    known = codes(states.filter(F.col("nr").isin("yes", "no") & F.col("time_ms").isNotNull()))
-    counted = known.groupBy("_mcc", "_mnc", "time_ms").agg(F.count_if(F.col("nr") == "yes").alias("_yes"), F.count_if(F.col("nr") == "no").alias("_no"))
+    partial = (F.col(mcc) == "") | (F.col(mnc) == "")
+    keyed = keyed.withColumns({mcc: F.when(partial, "").otherwise(F.col(mcc)), mnc: F.when(partial, "").otherwise(F.col(mnc))})
+    known = codes(states.select("mcc", "mnc", "time_ms", "nr").filter(F.col("nr").isin("yes", "no") & F.col("time_ms").isNotNull()))
+    known = known.filter((F.col(mcc) != "") & (F.col(mnc) != ""))
+    counted = known.groupBy(mcc, mnc, "time_ms").agg(F.count_if(F.col("nr") == "yes").alias(yes), F.count_if(F.col("nr") == "no").alias(no))
     # Rows without an operator see every state: an extra copy under the blank key, summed over operators.
-    every = counted.filter("_mcc <> '' or _mnc <> ''").union(counted.groupBy("time_ms").agg(F.sum("_yes").alias("_yes"), F.sum("_no").alias("_no")).select(F.lit("").alias("_mcc"), F.lit("").alias("_mnc"), "time_ms", "_yes", "_no"))
+    every = counted.union(counted.groupBy("time_ms").agg(F.sum(yes).alias(yes), F.sum(no).alias(no)).select(F.lit("").alias(mcc), F.lit("").alias(mnc), "time_ms", yes, no))
     near = F.array_distinct(F.array(*[F.floor((F.col("time_ms") + d) / width) for d in (-tolerance_ms, 0, tolerance_ms)]))
-    states_at = every.withColumn("_slice", F.explode(near))
-    own = keyed.withColumn("_slice", F.floor(F.col("time_ms") / width))
-    tagged = own.withColumns({"_yes": F.lit(0).cast("long"), "_no": F.lit(0).cast("long"), "_row": F.lit(True)})
-    both = tagged.unionByName(states_at.withColumn("_row", F.lit(False)), allowMissingColumns=True)
-    frame = Window.partitionBy("_mcc", "_mnc", "_slice").orderBy("time_ms").rangeBetween(-tolerance_ms, tolerance_ms)
-    timed = both.filter(F.col("time_ms").isNotNull()).withColumns({"yes_n": F.sum("_yes").over(frame), "no_n": F.sum("_no").over(frame)}).filter("_row")
+    states_at = every.withColumn(cut, F.explode(near))
+    own = keyed.withColumn(cut, F.floor(F.col("time_ms") / width))
+    tagged = own.withColumns({yes: F.lit(0).cast("long"), no: F.lit(0).cast("long"), row: F.lit(True)})
+    both = tagged.unionByName(states_at.withColumn(row, F.lit(False)), allowMissingColumns=True)
+    frame = Window.partitionBy(mcc, mnc, cut).orderBy("time_ms").rangeBetween(-tolerance_ms, tolerance_ms)
+    timed = both.filter(F.col("time_ms").isNotNull()).withColumns({"yes_n": F.sum(yes).over(frame), "no_n": F.sum(no).over(frame)}).filter(F.col(row))
     untimed = tagged.filter(F.col("time_ms").isNull()).withColumns({"yes_n": F.lit(0).cast("long"), "no_n": F.lit(0).cast("long")})
     out = timed.unionByName(untimed)
-    return out.withColumn("nr", F.when(F.col("yes_n") > 0, "yes").otherwise("no")).select(*[c for c in rows.columns if c != "nr"], "nr", "yes_n", "no_n", partial.alias("fallback"))
+    kept = [c for c in rows.columns if c not in ("nr", "yes_n", "no_n", "fallback")]
+    return out.withColumn("nr", F.when(F.col("yes_n") > 0, "yes").otherwise("no")).select(*kept, "nr", "yes_n", "no_n", partial.alias("fallback"))
 
 
 def sync_stats(synced: DataFrame) -> DataFrame:
-    """Counters of a sync: rows, yes, no, matched, conflicts, fallback rows."""
+    """Counters of a sync: rows, yes, no, matched, conflicts, and rows matched by time alone."""
     matched = (F.col("yes_n") > 0) | (F.col("no_n") > 0)
     return synced.agg(
         F.count("*").alias("total"), F.count_if(F.col("nr") == "yes").alias("yes"), F.count_if(F.col("nr") == "no").alias("no"),
-        F.count_if(matched).alias("matched"), F.count_if((F.col("yes_n") > 0) & (F.col("no_n") > 0)).alias("conflicts"), F.count_if("fallback").alias("fallback_rows"),
+        F.count_if(matched).alias("matched"), F.count_if((F.col("yes_n") > 0) & (F.col("no_n") > 0)).alias("conflicts"), F.count_if(F.col("fallback") & matched).alias("fallback_rows"),
     )
 
 
@@ -69,3 +74,9 @@ def require_sources(check: DataFrame, column: str, what: str) -> None:
     bad = [str(r[0]) for r in check.filter(F.col(column) == 0).select(check.columns[0]).orderBy(check.columns[0]).collect()]
     if bad:
         raise ValueError(f"no {what} in: {', '.join(bad)}")
+
+
+def require_yes(check: DataFrame) -> None:
+    """Raise if no usable row of any source of states says yes."""
+    if not check.filter("yes > 0").limit(1).count():
+        raise ValueError("no state says yes in any file")

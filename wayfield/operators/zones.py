@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import unproject
-from ..functions.scalars import nr_of_score, nr_score, parse_number
+from ..functions.scalars import nr_of_score, nr_score, number_text, numeric_then_text, parse_number
 
 OPERATOR = ("mcc", "mnc")
 
@@ -27,13 +27,17 @@ def zone_columns(df: DataFrame) -> list[str]:
 def frequency_stats(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Means and counts for each zone, operator, frequency and PCI.
 
-    rsrp_c and sinr_c are hundredths; sinr is null where no row has one. first_seq is
-    the first row of the group, whose rows ``members`` lists.
+    Signal is rsrp_v and sinr_v as measured, or rsrp_c and sinr_c in whole hundredths
+    where a view has those; it isn't rounded before the mean. sinr is null where no row
+    has one. first_seq is the first row of the group, whose rows ``members`` lists.
     """
     keys = [*by, *zone_columns(df), *OPERATOR, "frequency", "pci"]
+    if "rsrp_v" in df.columns:
+        means = [F.avg("rsrp_v").alias("rsrp"), F.avg("sinr_v").alias("sinr")]
+    else:
+        means = [(F.sum("rsrp_c").cast("double") / F.count("*") / 100).alias("rsrp"), (F.sum("sinr_c").cast("double") / F.nullif(F.count("sinr_c"), F.lit(0)) / 100).alias("sinr")]
     out = [
-        (F.sum("rsrp_c").cast("double") / F.count("*") / 100).alias("rsrp"),
-        (F.sum("sinr_c").cast("double") / F.nullif(F.count("sinr_c"), F.lit(0)) / 100).alias("sinr"),
+        *means,
         F.count("*").alias("n"),
         nr_of_score(F.max(nr_score(F.col("nr")))).alias("nr"),
         F.min("seq").alias("first_seq"),
@@ -110,6 +114,13 @@ def sample_rows(best: DataFrame, rows: DataFrame, columns: list[str]) -> DataFra
     return best.join(wanted, "first_seq")
 
 
+def zone_first_order(df: DataFrame) -> list[Column]:
+    """The zone's key as text, then the operator's, then MCC, MNC and PCI with numbers before texts."""
+    keys = zone_columns(df)
+    zone = F.concat(F.lit("segment_"), F.col("segment_id").cast("string")) if keys == ["segment_id"] else F.concat_ws("_", *[number_text(F.col(k)) for k in keys])
+    return [zone.asc(), F.concat_ws("_", *map(F.col, OPERATOR)).asc(), *[F.asc(k) for k in keys], *[o for c in (*OPERATOR, "pci") for o in numeric_then_text(F.col(c))]]
+
+
 def zone_centre(size: float) -> tuple[Column, Column]:
     """Middle of a grid zone in metres."""
     return F.col("zone_x") + size / 2, F.col("zone_y") + size / 2

@@ -12,14 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import geo, scalars
 from ..operators import densify, filters, order, route, rules, sync, timeops, zones
 from ..sources import adapter, sinks, text
-from . import exports
+from . import exports, outputs
 
 SIZE, RSRP, SINR = 100.0, -90.0, 5.0
 TOLERANCE = 60_000
-#: Rows of the densify queries: a sparse view, as the full one has no gaps.
-SPARSE = "seq % 97 = 0"
-#: Samples of a track in the route queries.
-SAMPLES = 200
 
 #: Operator sharing rules (fixed values): name, conditions (MCC, MNC, frequency range), operator set.
 RULES = [
@@ -45,7 +41,7 @@ _STATS = """, s AS (SELECT zone_x, zone_y, mcc, mnc, frequency, pci, CAST(sum(rs
 _BEST = """, b AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY zone_x, zone_y, mcc, mnc ORDER BY
  (rsrp >= -90 AND coalesce(sinr >= 5, false)) DESC, rsrp DESC, n DESC, CAST(frequency AS DOUBLE), frequency, CAST(pci AS DOUBLE), pci) AS r FROM s) WHERE r = 1)"""
 WITH_B = WITH_M + _GRID.format(rows="m") + _STATS + _BEST
-WITH_SPARSE = WITH_M + f", sp AS (SELECT * FROM m WHERE {SPARSE})" + _GRID.format(rows="sp") + _STATS + _BEST
+WITH_SPREAD = f"WITH m AS ({adapter.SPREAD.format(**adapter.DUCKDB)})" + _GRID.format(rows="m") + _STATS + _BEST
 WITH_WIDE = f"WITH m AS ({adapter.WIDE.format(**adapter.DUCKDB)})" + _GRID.format(rows="m") + _STATS + _BEST
 _GOOD = "(rsrp >= -90 AND coalesce(sinr >= 5, true))"
 
@@ -62,14 +58,12 @@ def query(sql: str | None = None):
     return add
 
 
-def _stats(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    rows = adapter.measurements(spark, sf_dir)
-    rows = rows.filter(where) if where else rows
-    return zones.frequency_stats(zones.grid(filters.grouped_keys(rows), SIZE))
+def _stats(spark: SparkSession, sf_dir: str, view: str = adapter.MEASUREMENTS) -> DataFrame:
+    return zones.frequency_stats(zones.grid(filters.grouped_keys(adapter.measurements(spark, sf_dir, view)), SIZE))
 
 
-def _best(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    return zones.best_frequency(_stats(spark, sf_dir, where), RSRP, SINR)
+def _best(spark: SparkSession, sf_dir: str, view: str = adapter.MEASUREMENTS) -> DataFrame:
+    return zones.best_frequency(_stats(spark, sf_dir, view), RSRP, SINR)
 
 
 @query(WITH_M + _GRID.format(rows="m") + " SELECT seq, zone_x, zone_y FROM g")
@@ -82,6 +76,20 @@ def zone_freq_agg(spark, sf_dir):
     return _stats(spark, sf_dir)
 
 
+_FINE = "rsrp_c / 100.0 - (seq % 7) * 0.001"
+
+
+@query(
+    WITH_M + _GRID.format(rows="m") + f""", s AS (SELECT zone_x, zone_y, mcc, mnc, frequency, pci, avg(CAST({_FINE} AS DOUBLE)) AS rsrp, count(*) AS n FROM g GROUP BY ALL)
+ SELECT zone_x, zone_y, mcc, mnc, frequency, pci, round(rsrp, 6) AS rsrp, n FROM s"""
+)
+def zone_means(spark, sf_dir):
+    """Means of signals with thousandths, which are not rounded before."""
+    rows = adapter.measurements(spark, sf_dir).withColumns({"rsrp_v": F.expr(_FINE).cast("double"), "sinr_v": F.lit(None).cast("double")})
+    found = zones.frequency_stats(zones.grid(rows, SIZE))
+    return found.select("zone_x", "zone_y", "mcc", "mnc", "frequency", "pci", F.round("rsrp", 6).alias("rsrp"), "n")
+
+
 @query(WITH_B + " SELECT * FROM b")
 def best_frequency(spark, sf_dir):
     return _best(spark, sf_dir)
@@ -93,16 +101,15 @@ def operator_stats(spark, sf_dir):
 
 
 @query(
-    WITH_SPARSE + f" SELECT mcc, mnc, count(*) FILTER ({_GOOD}) AS good, count(*) FILTER (NOT {_GOOD}) + (SELECT count(*) FROM (SELECT DISTINCT zone_x, zone_y FROM b)) - count(*) AS bad FROM b GROUP BY mcc, mnc"
+    WITH_SPREAD + f" SELECT mcc, mnc, count(*) FILTER ({_GOOD}) AS good, count(*) FILTER (NOT {_GOOD}) + (SELECT count(*) FROM (SELECT DISTINCT zone_x, zone_y FROM b)) - count(*) AS bad FROM b GROUP BY mcc, mnc"
 )
 def operator_stats_dense(spark, sf_dir):
-    best = _best(spark, sf_dir, SPARSE)
+    best = _best(spark, sf_dir, adapter.SPREAD)
     return zones.operator_stats(best, zones.good(RSRP, SINR), total_zones=best.select("zone_x", "zone_y").distinct())
 
 
 def _best_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapter.measurements(spark, sf_dir, adapter.WIDE)
-    return zones.best_frequency(zones.frequency_stats(zones.grid(filters.grouped_keys(rows), SIZE)), RSRP, SINR)
+    return _best(spark, sf_dir, adapter.WIDE)
 
 
 @query(
@@ -136,20 +143,20 @@ def zone_rows(spark, sf_dir):
     return zones.members(rows, _best(spark, sf_dir))
 
 
-@query(WITH_B + " SELECT zone_x, zone_y, mcc, mnc, pci, frequency, round(rsrp * 100) AS rsrp_c, CASE WHEN nr = 'yes' THEN 'yes' ELSE 'no' END AS nr, n AS rows_in_zone, frequency AS frequencies FROM b")
+@query(WITH_B + " SELECT zone_x, zone_y, mcc, mnc, pci, frequency, round(rsrp * 100) AS rsrp_c, round(sinr * 100) AS sinr_c, CASE WHEN nr = 'yes' THEN 'yes' ELSE 'no' END AS nr, n AS rows_in_zone, frequency AS frequencies FROM b")
 def zones_export(spark, sf_dir):
-    out = sinks.zones_table(_best(spark, sf_dir).withColumn("rsrp_c", F.round(F.col("rsrp") * 100)))
-    keyed = _best(spark, sf_dir).select("zone_x", "zone_y", "mcc", "mnc", F.round(F.col("rsrp") * 100).alias("rsrp_c"))
-    return out.drop("rsrp", "sinr").join(keyed, ["zone_x", "zone_y", "mcc", "mnc"]).orderBy(*sinks.zone_order(out))
+    out = sinks.zones_table(_best(spark, sf_dir))
+    hundredths = out.withColumns({"rsrp_c": F.round(F.col("rsrp") * 100), "sinr_c": F.round(F.col("sinr") * 100)})
+    return hundredths.drop("rsrp", "sinr").orderBy(*sinks.zone_order(out))
 
 
 @query(
-    WITH_SPARSE + """, t AS (SELECT mcc, mnc, min(seq) AS template_seq FROM sp GROUP BY mcc, mnc), z AS (SELECT DISTINCT zone_x, zone_y FROM b)
+    WITH_SPREAD + """, t AS (SELECT mcc, mnc, min(seq) AS template_seq FROM m GROUP BY mcc, mnc), z AS (SELECT DISTINCT zone_x, zone_y FROM b)
  SELECT zone_x, zone_y, mcc, mnc, template_seq, CAST(-174 AS DOUBLE) AS rsrp, 'no' AS nr, CAST(0 AS BIGINT) AS n FROM z CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.zone_x = z.zone_x AND b.zone_y = z.zone_y AND b.mcc = t.mcc AND b.mnc = t.mnc)"""
 )
 def empty_zones(spark, sf_dir):
-    rows = adapter.measurements(spark, sf_dir).filter(SPARSE)
-    return densify.empty_zones(_best(spark, sf_dir, SPARSE), densify.operators_of(rows)).withColumn("rsrp", F.col("rsrp").cast("double"))
+    rows = adapter.measurements(spark, sf_dir, adapter.SPREAD)
+    return densify.empty_zones(_best(spark, sf_dir, adapter.SPREAD), densify.operators_of(rows)).withColumn("rsrp", F.col("rsrp").cast("double"))
 
 
 @query(
@@ -164,10 +171,10 @@ def empty_zones_wide(spark, sf_dir):
 CUSTOM = "231:03:30, 231:9 231:04:7;231:9:1"
 
 
-@query(WITH_SPARSE + " SELECT zone_x, zone_y, mcc, mnc, pci, CAST(-174 AS DOUBLE) AS rsrp, 'no' AS nr FROM (SELECT DISTINCT zone_x, zone_y FROM b) CROSS JOIN (VALUES ('231', '9', ''), ('231', '04', '7')) o(mcc, mnc, pci)")
+@query(WITH_SPREAD + " SELECT zone_x, zone_y, mcc, mnc, pci, CAST(-174 AS DOUBLE) AS rsrp, 'no' AS nr FROM (SELECT DISTINCT zone_x, zone_y FROM b) CROSS JOIN (VALUES ('231', '9', ''), ('231', '04', '7')) o(mcc, mnc, pci)")
 def custom_operators(spark, sf_dir):
     added = spark.createDataFrame(densify.custom_list(CUSTOM), "mcc string, mnc string, pci string")
-    return densify.custom_zones(added, _best(spark, sf_dir, SPARSE)).select("zone_x", "zone_y", "mcc", "mnc", "pci", "rsrp", "nr")
+    return densify.custom_zones(added, _best(spark, sf_dir, adapter.SPREAD)).select("zone_x", "zone_y", "mcc", "mnc", "pci", "rsrp", "nr")
 
 
 @query(WITH_WIDE + " SELECT zone_x, zone_y, mcc, mnc, pci, CAST(-174 AS DOUBLE) AS rsrp, 'no' AS nr FROM (SELECT DISTINCT zone_x, zone_y FROM b) CROSS JOIN (VALUES ('231', '9', ''), ('231', '04', '7')) o(mcc, mnc, pci)")
@@ -176,6 +183,39 @@ def custom_operators_wide(spark, sf_dir):
     return densify.custom_zones(added, _best_wide(spark, sf_dir)).select("zone_x", "zone_y", "mcc", "mnc", "pci", "rsrp", "nr")
 
 
+_CELLS = {
+    "Latitude": "CAST(seq % 90 AS {s}) || ',5'", "Longitude": "CAST(seq % 80 AS {s}) || '.25'", "Frequency": "frequency", "PCI": "pci || '.0'", "MCC": "mcc", "MNC": "'0' || mnc", "RSRP": "CAST(rsrp_c AS {s})",
+    "SINR": "coalesce(CAST(sinr_c AS {s}), '')", "5G NR": "nr", "Note": "'n;' || CAST(seq AS {s})",
+}
+
+
+def _zones_file_sql() -> str:
+    cells = ", ".join(f'{x.format(s="VARCHAR")} AS "{c}"' for c, x in _CELLS.items())
+    float_sinr = """CASE WHEN k."SINR" = '' THEN '' ELSE CAST(CAST(k."SINR" AS DOUBLE) AS VARCHAR) END"""
+    made = f"""NULL AS "Latitude", NULL AS "Longitude", k."Frequency", {{pci}} AS "PCI", {{o}}.mcc AS "MCC", {{mnc}} AS "MNC", '-174' AS "RSRP", {float_sinr} AS "SINR", 'no' AS "5G NR", k."Note", '' AS "Riadky_v_zone", '{{note}}' AS Frekvencie_v_zone"""
+    short = "CAST(CAST(CAST({c} AS DOUBLE) AS BIGINT) AS VARCHAR)"
+    return (
+        WITH_SPREAD + f""", k AS (SELECT seq, {cells} FROM m), t AS (SELECT mcc, mnc, min(seq) AS seq FROM m GROUP BY mcc, mnc), z AS (SELECT DISTINCT zone_x, zone_y FROM b), o(mcc, mnc, pci) AS (VALUES ('231', '9', ''), ('231', '04', '7'))
+ SELECT 0 AS part, zone_x, zone_y, replace(k."Latitude", ',', '.') AS "Latitude", k."Longitude", b.frequency AS "Frequency", b.pci AS "PCI", k."MCC", {short.format(c='k."MNC"')} AS "MNC", printf('%.2f', b.rsrp) AS "RSRP",
+ CASE WHEN b.sinr IS NULL THEN k."SINR" ELSE printf('%.2f', b.sinr) END AS "SINR", CASE WHEN b.nr = 'yes' THEN 'yes' ELSE 'no' END AS "5G NR", k."Note", CAST(b.n AS VARCHAR) AS "Riadky_v_zone", b.frequency || ' # Meraní: ' || CAST(b.n AS VARCHAR) AS "Frekvencie_v_zone" FROM b JOIN k ON k.seq = b.first_seq
+ UNION ALL SELECT 1, zone_x, zone_y, {made.format(o="t", pci=short.format(c='k."PCI"'), mnc="t.mnc", note=outputs.EMPTY_NOTES[False])} FROM z CROSS JOIN t JOIN k ON k.seq = t.seq WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.zone_x = z.zone_x AND b.zone_y = z.zone_y AND b.mcc = t.mcc AND b.mnc = t.mnc)
+ UNION ALL SELECT 2, zone_x, zone_y, {made.format(o="o", pci="o.pci", mnc=short.format(c="o.mnc"), note=outputs.ADDED_NOTES[False])} FROM z CROSS JOIN o JOIN k ON k.seq = (SELECT min(seq) FROM m)"""
+    )
+
+
+@query(_zones_file_sql())
+def zones_file(spark, sf_dir):
+    """The zones file's rows in the input's columns; where zones are made, their projected coordinates are left out of the comparison."""
+    rows = adapter.measurements(spark, sf_dir, adapter.SPREAD)
+    cells = rows.selectExpr("seq", *[f"{x.format(s='STRING')} AS `{c}`" for c, x in _CELLS.items()])
+    best = order.checkpointed(_best(spark, sf_dir, adapter.SPREAD))
+    custom = outputs.added_operators(spark, tuple(densify.custom_list(CUSTOM)))
+    every = best.select("zone_x", "zone_y").distinct()
+    placed = [outputs.positions(r, SIZE) for r in (best, densify.empty_zones(best, densify.operators_of(rows), every), outputs.added_rows(best, every, custom, rows))]
+    made = outputs.zones_file(*placed, cells, outputs.layout_of(cells, {}), measured_coordinates=True)
+    return made.withColumns({c: F.when(F.col("part") == 0, F.col(c)) for c in ("Latitude", "Longitude")})
+
+
 _TEXTS = """CASE event_id % 8 WHEN 0 THEN ' 12,5 ' WHEN 1 THEN '1.5e2' WHEN 2 THEN '1d' WHEN 3 THEN '0x10' WHEN 4 THEN '' WHEN 5 THEN CAST(event_id AS {s}) || '.0' WHEN 6 THEN '-' || CAST(user_id AS {s}) || ',25' ELSE event_type END"""
 _NUM = "CASE WHEN regexp_matches(replace(trim(t), ',', '.'), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(replace(trim(t), ',', '.') AS DOUBLE) END"
 
@@ -209,10 +249,10 @@ def int_like(spark, sf_dir):
     return _texts(spark, sf_dir).select("seq", scalars.int_like(F.col("t")).alias("short"))
 
 
-_CODES = "CASE event_id % 4 WHEN 0 THEN '0' || CAST(user_id % 10 AS {s}) WHEN 1 THEN CAST(user_id % 10 AS {s}) || '.0' WHEN 2 THEN ' ' || CAST(user_id % 10 AS {s}) ELSE 'x.50' END"
+_CODES = "CASE event_id % 4 WHEN 0 THEN '0' || CAST(user_id % 10 AS {s}) WHEN 1 THEN CAST(user_id % 10 AS {s}) || '.0' WHEN 2 THEN ' ' || CAST(user_id % 10 AS {s}) ELSE 'x.50' || CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN '7' ELSE '.0' END END"
 
 
-@query(_texts_sql(_CODES) + f", y AS (SELECT *, {_NUM} AS n FROM x) SELECT seq, CASE WHEN n IS NULL THEN 'x.5' ELSE CAST(CAST(n AS BIGINT) AS VARCHAR) END AS code FROM y")
+@query(_texts_sql(_CODES) + f", y AS (SELECT *, {_NUM} AS n FROM x) SELECT seq, CASE WHEN n IS NOT NULL THEN CAST(CAST(n AS BIGINT) AS VARCHAR) WHEN contains(t, '.') THEN rtrim(rtrim(trim(t), '0'), '.') ELSE trim(t) END AS code FROM y")
 def op_keys(spark, sf_dir):
     return _texts(spark, sf_dir, _CODES).select("seq", scalars.operator_code(F.col("t")).alias("code"))
 
@@ -248,7 +288,10 @@ def parse_times(spark, sf_dir):
 _SIGNAL = "CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(user_id AS {s}) || ',5' END AS rsrp, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE '48.1' END AS lat, CASE WHEN event_id % 17 = 0 THEN '' ELSE '17,2' END AS lon"
 
 
-@query("SELECT event_id AS seq FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0")
+_IS_NUMBER = "regexp_matches(replace(trim({c}), ',', '.'), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')"
+
+
+@query(f"WITH x AS (SELECT event_id AS seq, {_SIGNAL.format(s='VARCHAR')} FROM events) SELECT seq FROM x WHERE {_IS_NUMBER.format(c='rsrp')} AND trim(lat) <> '' AND trim(lon) <> ''")
 def usable_rows(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS seq", *[f"{x.strip()}" for x in _SIGNAL.format(s="STRING").replace(", CASE", "\x00CASE").split("\x00")])
     return filters.usable(rows).select("seq")
@@ -291,7 +334,8 @@ _WALL = "epoch_ms(make_timestamp(time_ms // 1000 * 1000000) AT TIME ZONE 'Europe
 
 
 @query(
-    WITH_M + f", t AS (SELECT CASE seq % 4 WHEN 0 THEN {_WALL} WHEN 1 THEN time_ms WHEN 2 THEN {_WALL} END AS ms FROM m) SELECT count(*) AS total, count(ms) AS timed, CAST(min(ms) AS BIGINT) AS first_ms, CAST(max(ms) AS BIGINT) AS last_ms, 'date_time_with_utc_fallback' AS strategy FROM t"
+    WITH_M + f", t AS (SELECT seq % 4 AS k, CASE seq % 4 WHEN 0 THEN {_WALL} WHEN 1 THEN time_ms WHEN 2 THEN {_WALL} END AS ms FROM m) SELECT count(*) AS total, count(ms) AS timed, CAST(min(ms) AS BIGINT) AS first_ms, CAST(max(ms) AS BIGINT) AS last_ms,"
+    " CASE WHEN bool_or(k = 0) AND bool_or(k IN (1, 2)) THEN 'date_time_with_utc_fallback' WHEN bool_or(k = 0) THEN 'date_time' WHEN bool_or(k = 1) AND bool_or(k = 2) THEN 'utc_mixed' WHEN bool_or(k = 1) THEN 'utc_numeric' WHEN bool_or(k = 2) THEN 'utc_datetime' ELSE 'missing' END AS strategy FROM t"
 )
 def time_profile(spark, sf_dir):
     """Times written in a date and a time cell, as a UTC number, as a UTC text, or not at all."""
@@ -344,6 +388,35 @@ def rule_expand(spark, sf_dir):
     return rules.expand(rows, RULES, keep_original=True).select("seq", "pos", "mcc", "mnc")
 
 
+#: More rules than are compiled: one for each frequency, operator and PCI, and bands without an exact value.
+MANY = [
+    *(rules.Rule(f"cell {f} {m} {p}", ((("Frequency", f, f), ("MNC", m, m), ("PCI", p, p)),), {"MNC": (m + 10,)}) for f in (783000000, 796000000, 1827500000, 3500000000) for m in (1, 2, 3, 6) for p in range(0, 7, 2)),
+    *(rules.Rule(f"band {k}", ((("Frequency", 700000000 + k * 50000000, 750000000 + k * 50000000),),), {"MNC": (k,)}) for k in range(60) if k % 3),
+    rules.Rule("a pair", ((("Frequency", 2140000000, 2140000000), ("MNC", 2, 2)), (("PCI", 5, 5),)), {"MNC": (99,)}),
+]
+
+
+def _many_values() -> str:
+    rows = []
+    for r in MANY:
+        for g in r.groups:
+            at = {f: (float(a), float(b)) for f, a, b in g}
+            rows.append("(" + ", ".join([f"'{r.name}'", str(len(g)), *(str(at[f][i]) if f in at else "NULL" for f in ("Frequency", "MNC", "PCI") for i in (0, 1))]) + ")")
+    return ", ".join(rows)
+
+
+_BETWEEN = "(r.{f}0 IS NULL OR CASE WHEN r.{f}0 = r.{f}1 THEN CAST(m.{c} AS DOUBLE) = r.{f}0 ELSE CAST(m.{c} AS DOUBLE) >= r.{f}0 AND CAST(m.{c} AS DOUBLE) < r.{f}1 END)"
+
+
+@query(
+    WITH_M + f", r AS (SELECT * FROM (VALUES {_many_values()}) v(rule, n, f0, f1, m0, m1, p0, p1)), k AS (SELECT DISTINCT frequency, mnc, pci FROM m), hit AS (SELECT m.*, r.rule, row_number() OVER (PARTITION BY m.frequency, m.mnc, m.pci ORDER BY r.n DESC, r.rule) AS place FROM k m JOIN r ON "
+    + " AND ".join(_BETWEEN.format(f=f, c=c) for f, c in (("f", "frequency"), ("m", "mnc"), ("p", "pci")))
+    + ") SELECT m.seq, hit.rule FROM m LEFT JOIN hit ON hit.frequency = m.frequency AND hit.mnc = m.mnc AND hit.pci = m.pci AND hit.place = 1"
+)
+def rule_match_many(spark, sf_dir):
+    return rules.match(adapter.measurements(spark, sf_dir), MANY).select("seq", "rule")
+
+
 _SYNC = """, p AS (SELECT * FROM m WHERE nr <> ''), q AS (SELECT seq, source_idx, time_ms, {mcc} AS mcc, mnc FROM m WHERE nr = ''),
  j AS (SELECT q.seq, count(*) FILTER (p.nr = 'yes') AS yes_n, count(*) FILTER (p.nr = 'no') AS no_n FROM q JOIN p ON ({on}) AND p.time_ms BETWEEN q.time_ms - 60000 AND q.time_ms + 60000 GROUP BY q.seq),
  y AS (SELECT q.seq, q.source_idx, q.time_ms, CASE WHEN coalesce(yes_n, 0) > 0 THEN 'yes' ELSE 'no' END AS nr, coalesce(yes_n, 0) AS yes_n, coalesce(no_n, 0) AS no_n, q.mcc = '' AS fallback FROM q LEFT JOIN j USING (seq))"""
@@ -371,7 +444,7 @@ def nr_sync_fallback(spark, sf_dir):
 
 
 @query(
-    _FALLEN + " SELECT count(*) AS total, count(*) FILTER (nr = 'yes') AS yes, count(*) FILTER (nr = 'no') AS \"no\", count(*) FILTER (yes_n + no_n > 0) AS matched, count(*) FILTER (yes_n > 0 AND no_n > 0) AS conflicts, count(*) FILTER (fallback) AS fallback_rows FROM y"
+    _FALLEN + " SELECT count(*) AS total, count(*) FILTER (nr = 'yes') AS yes, count(*) FILTER (nr = 'no') AS \"no\", count(*) FILTER (yes_n + no_n > 0) AS matched, count(*) FILTER (yes_n > 0 AND no_n > 0) AS conflicts, count(*) FILTER (fallback AND yes_n + no_n > 0) AS fallback_rows FROM y"
 )
 def nr_sync_stats(spark, sf_dir):
     return sync.sync_stats(_synced(spark, sf_dir, drop=True))
@@ -399,6 +472,36 @@ def union_by_name(spark, sf_dir):
     return table.groupBy(F.col("MCC").alias("mcc"), F.col("MNC").alias("mnc"), F.col("PCI").alias("pci"), F.col("Frequency").alias("frequency"), F.col("RSRP").alias("rsrp"), F.col("SINR").alias("sinr"), F.col("note")).agg(F.count("*").alias("n"))
 
 
+@query(WITH_M + " SELECT mcc, mnc, count(*) AS n, sum(rsrp_c) AS total FROM m GROUP BY mcc, mnc")
+def ss_rsrp_union(spark, sf_dir):
+    """Files in which the signal is called RSRP, rsrp and SS-RSRP, united."""
+    rows = text.typed(text.read(spark, exports.written(spark, sf_dir, rsrp="SS-RSRP")))
+    return rows.groupBy("mcc", "mnc").agg(F.count("*").alias("n"), F.sum(scalars.parse_number(F.col("rsrp")).cast("bigint")).alias("total"))
+
+
+@query(WITH_M + " SELECT mcc, '0' || mnc AS mnc, nr, count(*) AS n, count(time_ms) AS timed, CAST(max(time_ms) AS BIGINT) AS last_ms FROM m GROUP BY mcc, mnc, nr")
+def states_union(spark, sf_dir):
+    """Files of states that call the state 5G NR, NR and 5GNR, united row by row."""
+    rows = text.typed(text.read_states(spark, exports.states(spark, sf_dir)), {"nr": text.NR})
+    return rows.groupBy("mcc", "mnc", "nr").agg(F.count("*").alias("n"), F.count("time_ms").alias("timed"), F.max("time_ms").alias("last_ms"))
+
+
+_STATE_RULE = rules.Rule("states of 3 are of 1", ((("MCC", 231, 231), ("MNC", 3, 3)),), {"MNC": (1,)})
+
+
+@query(
+    WITH_M + """, p AS (SELECT CASE WHEN mnc = '3' THEN '1' ELSE mnc END AS mnc, mcc, time_ms, nr FROM m WHERE nr <> ''), q AS (SELECT * FROM m WHERE nr = ''),
+ j AS (SELECT q.seq, count(*) FILTER (p.nr = 'yes') AS yes_n, count(*) FILTER (p.nr = 'no') AS no_n FROM q JOIN p ON p.mcc = q.mcc AND p.mnc = q.mnc AND p.time_ms BETWEEN q.time_ms - 60000 AND q.time_ms + 60000 GROUP BY q.seq)
+ SELECT q.seq, CASE WHEN coalesce(yes_n, 0) > 0 THEN 'yes' ELSE 'no' END AS nr, coalesce(yes_n, 0) AS yes_n, coalesce(no_n, 0) AS no_n FROM q LEFT JOIN j USING (seq)"""
+)
+def nr_sync_ruled(spark, sf_dir):
+    """States from files, rewritten by a rule before the sync."""
+    table = text.read_states(spark, exports.states(spark, sf_dir))
+    states = text.typed(rules.expand(rules.match(table, [_STATE_RULE]), [_STATE_RULE]), {"nr": text.NR})
+    own = adapter.measurements(spark, sf_dir).filter("nr = ''")
+    return sync.sync(own, states, TOLERANCE).select("seq", "nr", "yes_n", "no_n")
+
+
 @query(WITH_M + f", f AS (SELECT DISTINCT source_idx, {_FILE} AS file FROM m) SELECT source_idx AS layout, 'utf-8' AS encoding, CAST(CASE source_idx WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS header_line, CASE source_idx WHEN 2 THEN '5g' ELSE 'unknown' END AS technology, count(*) AS files FROM f GROUP BY source_idx")
 def preview_schema(spark, sf_dir):
     seen = text.preview(spark, exports.written(spark, sf_dir))
@@ -485,7 +588,7 @@ def gap_segments(spark, sf_dir):
     return route.gap_segments(kept, GAP_SIZE, strip=1000.0).select("segment_id", "x", "y")
 
 
-_SAMPLED = _CUM + f""", t AS (SELECT source_idx, count(*) AS n, least(count(*), {SAMPLES}) AS m, max(cum) AS len, max(seq) AS last FROM c GROUP BY source_idx),
+_SAMPLED = _CUM + f""", t AS (SELECT source_idx, count(*) AS n, least(count(*), {route.SAMPLES}) AS m, max(cum) AS len, max(seq) AS last FROM c GROUP BY source_idx),
  pre AS (SELECT c.*, m, len, last, lag(seq) OVER (PARTITION BY c.source_idx ORDER BY seq) AS pseq FROM c JOIN t USING (source_idx)),
  g AS (SELECT source_idx, m, len, unnest(generate_series(0, m - 1)) AS k FROM t),
  hits AS (SELECT g.source_idx, g.k, g.len * g.k / (g.m - 1) AS target, pre.* EXCLUDE (source_idx, m, len) FROM g JOIN pre ON pre.source_idx = g.source_idx AND pre.cum >= g.len * g.k / (g.m - 1) AND (pre.pcum IS NULL OR pre.pcum < g.len * g.k / (g.m - 1))),
@@ -498,50 +601,58 @@ _PAIRED = _SAMPLED + """, pr AS (SELECT a.source_idx AS known, b.source_idx AS u
 
 @query(_SAMPLED + " SELECT source_idx, k, x, y, cum FROM sm")
 def track_samples(spark, sf_dir):
-    return route.samples(_cum(spark, sf_dir), SAMPLES).select("source_idx", "k", "x", "y", "cum")
+    return route.samples(_cum(spark, sf_dir)).select("source_idx", "k", "x", "y", "cum")
 
 
 @query(_PAIRED + " SELECT known, unknown, known_k, unknown_k FROM pr")
 def track_proximity(spark, sf_dir):
-    return route.proximity(route.samples(_cum(spark, sf_dir), SAMPLES)).select("known", "unknown", "known_k", "unknown_k")
+    return route.proximity(route.samples(_cum(spark, sf_dir))).select("known", "unknown", "known_k", "unknown_k")
 
 
-@query(
-    _PAIRED + """, dl AS (SELECT known, unknown, known_k, unknown_k, r.reversed, known_cum - CASE WHEN r.reversed THEN t.len - unknown_cum ELSE unknown_cum END AS delta FROM pr JOIN t ON t.source_idx = pr.unknown CROSS JOIN (VALUES (false), (true)) r(reversed)),
+_ALIGNED = _PAIRED + """, dl AS (SELECT known, unknown, known_k, unknown_k, r.reversed, known_cum - CASE WHEN r.reversed THEN t.len - unknown_cum ELSE unknown_cum END AS delta FROM pr JOIN t ON t.source_idx = pr.unknown CROSS JOIN (VALUES (false), (true)) r(reversed)),
  md AS (SELECT known, unknown, reversed, quantile_cont(delta, 0.5) AS "offset", count(*) AS n, count(DISTINCT known_k) AS a, count(DISTINCT unknown_k) AS b FROM dl GROUP BY ALL),
- ma AS (SELECT dl.known, dl.unknown, dl.reversed, quantile_cont(abs(delta - md."offset"), 0.5) AS mad FROM dl JOIN md ON md.known = dl.known AND md.unknown = dl.unknown AND md.reversed = dl.reversed GROUP BY ALL)
- SELECT md.known, md.unknown, md.reversed, round(md."offset", 6) AS "offset", md.n, round(ma.mad, 6) AS mad FROM md JOIN ma ON md.known = ma.known AND md.unknown = ma.unknown AND md.reversed = ma.reversed WHERE a >= 2 AND b >= 2 AND mad <= 75"""
+ ma AS (SELECT dl.known, dl.unknown, dl.reversed, quantile_cont(abs(delta - md."offset"), 0.5) AS mad FROM dl JOIN md ON md.known = dl.known AND md.unknown = dl.unknown AND md.reversed = dl.reversed GROUP BY ALL)"""
+
+
+@query(
+    _ALIGNED + """ SELECT md.known, md.unknown, md.reversed, round(md."offset", 6) AS "offset", md.n, round(ma.mad, 6) AS mad FROM md JOIN ma ON md.known = ma.known AND md.unknown = ma.unknown AND md.reversed = ma.reversed WHERE a >= 2 AND b >= 2 AND mad <= 75"""
 )
 def track_alignment(spark, sf_dir):
-    cum = _cum(spark, sf_dir)
-    points = route.samples(cum, SAMPLES)
+    # Both are read several times below, so written once.
+    cum = order.checkpointed(_cum(spark, sf_dir))
+    points = order.checkpointed(route.samples(cum))
     return route.alignment(route.proximity(points), route.tracks(cum), points).select("known", "unknown", "reversed", F.round("offset", 6).alias("offset"), "n", F.round("mad", 6).alias("mad"))
 
 
-@query()
-def track_placement(spark, sf_dir):
-    return route.common_route(adapter.route_points(spark, sf_dir), SIZE).select("source_idx", "seq", F.round("distance", 6).alias("distance"), "segment_id")
-
-
-# The route queries with as many samples as a run takes. Their SQL above compares all pairs of
-# samples and stops at SAMPLES, so tests hold these to brute force.
-
-
-@query()
-def track_samples_full(spark, sf_dir):
-    return route.samples(_cum(spark, sf_dir)).select("source_idx", "k", "x", "y", "cum")
+def _offers(no: int, placed: str) -> str:
+    """The best offer for the track that is laid down as number ``no``, from those in ``placed``."""
+    return f"""(SELECT s, turned, start FROM (SELECT r.s, al.n, al.mad, al.known, al.reversed <> p.turned AS turned, p.start + CASE WHEN p.turned THEN k.len - u.len - al."offset" ELSE al."offset" END AS start
+ FROM rest r JOIN al ON al.unknown = r.s JOIN {placed} p ON p.s = al.known JOIN t k ON k.source_idx = al.known JOIN t u ON u.source_idx = r.s WHERE r.i = {no}) ORDER BY n DESC, mad, known, turned, start LIMIT 1)"""
+
+
+#: Three tracks: the longest is laid down, the others in turn by their best offer, and one that has none by the nearest ends.
+_PLACED = (
+    _ALIGNED + """, al AS (SELECT md.known, md.unknown, md.reversed, md."offset", md.n, ma.mad FROM md JOIN ma ON md.known = ma.known AND md.unknown = ma.unknown AND md.reversed = ma.reversed WHERE a >= 2 AND b >= 2 AND mad <= 75),
+ p0 AS (SELECT source_idx AS s, false AS turned, CAST(0 AS DOUBLE) AS start FROM t ORDER BY len DESC, source_idx LIMIT 1), rest AS (SELECT source_idx AS s, row_number() OVER (ORDER BY source_idx) AS i FROM t WHERE source_idx NOT IN (SELECT s FROM p0)),
+ p1 AS (SELECT * FROM p0 UNION ALL """ + _offers(1, "p0") + "), p2 AS (SELECT * FROM p1 UNION ALL " + _offers(2, "p1") + """),
+ fe AS (SELECT source_idx, max(cum) AS len, arg_min(x, seq) AS fx, arg_min(y, seq) AS fy, arg_max(x, seq) AS lx, arg_max(y, seq) AS ly FROM c GROUP BY source_idx),
+ two AS (SELECT fe.*, turned, CASE WHEN turned THEN lx ELSE fx END AS low_x, CASE WHEN turned THEN ly ELSE fy END AS low_y, CASE WHEN turned THEN fx ELSE lx END AS high_x, CASE WHEN turned THEN fy ELSE ly END AS high_y FROM fe CROSS JOIN (VALUES (false), (true)) v(turned)),
+ fit AS (SELECT u.source_idx AS s, u.turned, k.source_idx AS known, side, k.turned AS known_turned, p2.start, k.len, u.len AS own_len,
+  CASE side WHEN 0 THEN sqrt((k.low_x - u.high_x) * (k.low_x - u.high_x) + (k.low_y - u.high_y) * (k.low_y - u.high_y)) ELSE sqrt((k.high_x - u.low_x) * (k.high_x - u.low_x) + (k.high_y - u.low_y) * (k.high_y - u.low_y)) END AS gap
+  FROM two u JOIN p2 ON true JOIN two k ON k.source_idx = p2.s AND k.turned = p2.turned CROSS JOIN (VALUES (0), (1)) w(side) WHERE u.source_idx NOT IN (SELECT s FROM p2)),
+ p3 AS (SELECT * FROM p2 UNION ALL (SELECT s, turned, CASE side WHEN 0 THEN start - own_len - gap ELSE start + len + gap END FROM fit ORDER BY gap, known, turned, side LIMIT 1)),
+ on_route AS (SELECT c.source_idx, c.seq, CASE WHEN p3.turned THEN t.len - c.cum ELSE c.cum END + p3.start - (SELECT min(start) FROM p3) AS distance FROM c JOIN t ON t.source_idx = c.source_idx JOIN p3 ON p3.s = c.source_idx)"""
+)
 
 
-@query()
-def track_proximity_full(spark, sf_dir):
-    return route.proximity(route.samples(_cum(spark, sf_dir))).select("known", "unknown", "known_k", "unknown_k")
+@query(_PLACED + " SELECT source_idx, seq, round(distance, 6) AS distance, CAST(floor((distance + 1e-9) / 100) AS BIGINT) AS segment_id FROM on_route")
+def track_placement(spark, sf_dir):
+    return route.common_route(adapter.route_points(spark, sf_dir), SIZE).select("source_idx", "seq", F.round("distance", 6).alias("distance"), "segment_id")
 
 
-@query()
-def track_alignment_full(spark, sf_dir):
-    cum = _cum(spark, sf_dir)
-    points = route.samples(cum)
-    return route.alignment(route.proximity(points), route.tracks(cum), points).select("known", "unknown", "reversed", F.round("offset", 6).alias("offset"), "n", F.round("mad", 6).alias("mad"))
+# Names that the route queries had while they took fewer samples than a run does.
+for _name in ("track_samples", "track_proximity", "track_alignment"):
+    QUERIES[f"{_name}_full"], ORACLES[f"{_name}_full"] = QUERIES[_name], ORACLES[_name]
 
 
 def _reproject_sql() -> str:
@@ -586,3 +697,12 @@ def zone_centres(spark, sf_dir):
     found = zones.grid(projected, SIZE).select("zone_x", "zone_y").distinct()
     x, y = zones.zone_centre(SIZE)
     return found.withColumn("c", geo.unproject(x, y)).select("zone_x", "zone_y", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
+
+
+@query(WITH_M + ", z AS (SELECT seq, CAST(-600000 + (seq % 4000) * 100 AS DOUBLE) AS zone_x, CAST(-1350000 + (seq * 7 % 2500) * 100 AS DOUBLE) AS zone_y FROM m) SELECT zone_x, zone_y, zone_x + 50 AS x, zone_y + 50 AS y FROM z GROUP BY ALL")
+def zone_centres_forward(spark, sf_dir):
+    """Centres of zones projected back to degrees, and those projected again: the centres, to the millimetre."""
+    grid = adapter.measurements(spark, sf_dir).selectExpr("CAST(-600000 + (seq % 4000) * 100 AS DOUBLE) AS zone_x", "CAST(-1350000 + (seq * 7 % 2500) * 100 AS DOUBLE) AS zone_y").distinct()
+    placed = zones.with_positions(grid, SIZE)
+    again = geo.reproject(placed)
+    return again.select("zone_x", "zone_y", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from ..sources import adapter
 
 #: Consecutive row numbers of a source that make a file: bounds a file's size.
@@ -20,9 +21,8 @@ LAYOUTS = {
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; one of our own only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/wayfield"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def rule_files(spark: SparkSession, sf_dir: str) -> str:
@@ -36,10 +36,37 @@ def rule_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def written(spark: SparkSession, sf_dir: str, twice: bool = False, without_pci: bool = False) -> list[str]:
+#: Files of states: three headers by source, each with another name for the state.
+STATES = {0: "MCC;MNC;5G NR;UTC", 1: "UTC;NR;MNC;MCC", 2: "Device: car 7\n\nMCC;MNC;5GNR;UTC;Note"}
+
+
+def _save(lines: DataFrame, head: Column, path: str) -> list[str]:
+    """Lines (source_idx, file, seq, line) as one text file for each ``file``, of at most ROWS lines, below ``head``."""
+    whole = lines.groupBy("source_idx", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"]), "\n").alias("body"))
+    content = whole.select("file", F.concat(head, F.lit("\n"), "body").alias("value"))
+    content.repartition("file").write.partitionBy("file").text(path)
+    return [path]
+
+
+def _file() -> Column:
+    return F.format_string("%02d-%012d", "source_idx", F.floor(F.col("seq") / ROWS))
+
+
+def states(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Paths of files with the 5G states of the measurement view, times as epoch numbers."""
+    rows = adapter.measurements(spark, sf_dir)
+    state = F.when(F.col("nr") == "yes", "Yes").when(F.col("nr") == "no", "0").otherwise("")
+    mcc, mnc, utc = F.col("mcc"), F.concat(F.lit("0"), "mnc"), F.col("time_ms").cast("string")
+    line = F.when(F.col("source_idx") == 0, F.concat_ws(";", mcc, mnc, state, utc)).when(F.col("source_idx") == 1, F.concat_ws(";", utc, state, mnc, mcc)).otherwise(F.concat_ws(";", mcc, mnc, state, utc, F.lit("x")))
+    head = F.when(F.col("source_idx") == 0, STATES[0]).when(F.col("source_idx") == 1, STATES[1]).otherwise(STATES[2])
+    return _save(rows.select("source_idx", _file().alias("file"), "seq", line.alias("line")), head, _folder(spark, "states"))
+
+
+def written(spark: SparkSession, sf_dir: str, twice: bool = False, without_pci: bool = False, rsrp: str = "SSS-RSRP") -> list[str]:
     """Paths of export files of the measurement view; three layouts by source.
 
-    ``twice`` adds a second RSRP column to the second layout, ``without_pci`` leaves PCI out of the first.
+    ``twice`` adds a second RSRP column to the second layout, ``without_pci`` leaves PCI out
+    of the first, ``rsrp`` is the signal's name in the third.
     """
     rows = adapter.measurements(spark, sf_dir)
     c = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -52,11 +79,6 @@ def written(spark: SparkSession, sf_dir: str, twice: bool = False, without_pci:
         heads[1] += ";RS-RP"
     if without_pci:
         heads[0] = heads[0].replace("PCI;", "")
+    heads[2] = heads[2].replace("SSS-RSRP", rsrp)
     head = F.when(F.col("source_idx") == 0, heads[0]).when(F.col("source_idx") == 1, heads[1]).otherwise(heads[2])
-    file = F.format_string("%02d-%012d", "source_idx", F.floor(F.col("seq") / ROWS))
-    lines = rows.select("source_idx", file.alias("file"), "seq", line.alias("line"))
-    whole = lines.groupBy("source_idx", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"]), "\n").alias("body"))
-    content: DataFrame = whole.select("file", F.concat(head, F.lit("\n"), "body").alias("value"))
-    path = _folder(spark, "exports")
-    content.repartition("file").write.partitionBy("file").text(path)
-    return [path]
+    return _save(rows.select("source_idx", _file().alias("file"), "seq", line.alias("line")), head, _folder(spark, "exports"))

@@ -24,9 +24,9 @@ FROM events e
 
 #: The same with positions that spread as the table grows: a column of zones spans at most
 #: three users, hence three of the four operators, so zones have gaps at every size.
-WIDE = MEASUREMENTS.replace("CAST(e.user_id % 25 AS DOUBLE)", "CAST(e.user_id AS DOUBLE)").replace(
-    "CAST(e.event_id % 40 AS DOUBLE) * CAST(12.5 AS DOUBLE)", "CAST(e.event_id AS DOUBLE) * CAST(0.25 AS DOUBLE)"
-)
+SPREAD = MEASUREMENTS.replace("CAST(e.user_id % 25 AS DOUBLE)", "CAST(e.user_id AS DOUBLE)")
+#: And with as many rows of zones as the events need.
+WIDE = SPREAD.replace("CAST(e.event_id % 40 AS DOUBLE) * CAST(12.5 AS DOUBLE)", "CAST(e.event_id AS DOUBLE) * CAST(0.25 AS DOUBLE)")
 
 ROUTE_POINTS = """
 SELECT event_id AS seq, CAST(user_id % 3 AS INT) AS source_idx,

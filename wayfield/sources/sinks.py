@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..functions.names import free_name
 from ..functions.scalars import int_like, numeric_then_text
 
 
@@ -21,9 +22,9 @@ def fixed(value: Column, digits: int) -> Column:
 
 
 def zones_table(best: DataFrame) -> DataFrame:
-    """The zones file's columns of measured rows."""
+    """The zones file's columns of measured rows; signal as computed, for ``fixed`` to round."""
     keys = [c for c in ("segment_id", "zone_x", "zone_y") if c in best.columns]
-    return best.select(*keys, int_like(F.col("mcc")).alias("mcc"), int_like(F.col("mnc")).alias("mnc"), "pci", "frequency", F.round("rsrp", 2).alias("rsrp"), F.round("sinr", 2).alias("sinr"), F.when(F.col("nr") == "yes", "yes").otherwise("no").alias("nr"), F.col("n").alias("rows_in_zone"), F.col("frequency").alias("frequencies"))
+    return best.select(*keys, int_like(F.col("mcc")).alias("mcc"), int_like(F.col("mnc")).alias("mnc"), "pci", "frequency", "rsrp", "sinr", F.when(F.col("nr") == "yes", "yes").otherwise("no").alias("nr"), F.col("n").alias("rows_in_zone"), F.col("frequency").alias("frequencies"))
 
 
 def zone_order(df: DataFrame) -> list[Column]:
@@ -36,31 +37,44 @@ def quoted(cell: Column) -> Column:
     return F.when(cell.rlike('[;"\r\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
 
 
-def write_lines(df: DataFrame, header: str, path: str, order: list[Column]) -> None:
-    """A ``;``-separated text file with a header, in order, as one part.
+def write_lines(df: DataFrame, header: str, path: str, order: list[Column], columns: list[str] | None = None, raw: str | None = None, single: bool = False) -> None:
+    """A ``;``-separated text with a header, as parts that follow one another in ``order``.
 
-    For the file exchange of finished results (zones, operators). Large results are
-    better written with ``write_table``.
+    ``raw`` is a last column written without quotes. ``single`` gathers all in one part:
+    an exit for small results that other tools read.
     """
-    line = F.concat_ws(";", *[quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns])
-    body = df.orderBy(*order).select(line.alias("value"))
-    first = df.sparkSession.createDataFrame([(header,)], "value string")
-    first.union(body).coalesce(1).write.mode("overwrite").text(path)
+    names = columns or df.columns
+    line = F.concat_ws(";", *[quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in names], *([F.coalesce(F.col(raw), F.lit(""))] if raw else []))
+    text, place = free_name(df, "line"), free_name(df, "place")
+    body = df.withColumns({text: line, place: F.lit(1)})
+    first = df.sparkSession.createDataFrame([(header, 0)], f"`{text}` string, `{place}` int")
+    rows = first.unionByName(body, allowMissingColumns=True).orderBy(F.col(place), *order).select(F.col(text).alias("value"))
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").text(path)
 
 
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ("mcc", "mnc")) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_zones(best: DataFrame, path: str) -> None:
+def write_zones(best: DataFrame, path: str, single: bool = False) -> None:
+    """Zones in the columns of ``zones_table``; ``plans.outputs`` writes them in the input's."""
     rows = zones_table(best).withColumns({"rsrp": fixed(F.col("rsrp"), 2), "sinr": fixed(F.col("sinr"), 2)})
     note = F.concat(F.col("frequencies"), F.lit(" # Meraní: "), F.col("rows_in_zone").cast("string"))
     names = [c for c in rows.columns if c not in ("rows_in_zone", "frequencies")]
     header = ";".join([*names, "Riadky_v_zone", "Frekvencie_v_zone"])
-    write_lines(rows.select(*names, "rows_in_zone", note.alias("note")), "\n" + header, path, zone_order(rows))
+    write_lines(rows.withColumn("note", note), "\n" + header, path, zone_order(rows), [*names, "rows_in_zone"], "note", single)
 
 
-def write_stats(stats: DataFrame, path: str, rsrp: float, sinr: float, mobile: bool = False) -> None:
-    label = f"RSRP >= {rsrp:g}, SINR >= {sinr:g}" + (", 5G NR = yes" if mobile else "")
-    rows = stats.select("mnc", "mcc", "good", "bad")
-    write_lines(rows, f"MNC;MCC;GOOD ({label});BAD ({label})", path, [*numeric_then_text(F.col("mcc")), *numeric_then_text(F.col("mnc"))])
+def stats_labels(rsrp: float, sinr: float, with_sinr: bool, mobile: bool = False) -> tuple[str, str]:
+    """Headers of the columns of good and bad zones (fixed values of the file format)."""
+    good, bad = f"RSRP >= {rsrp:g}", f"RSRP < {rsrp:g}"
+    if with_sinr:
+        good, bad = f"{good} a SINR >= {sinr:g}", f"{bad} alebo SINR < {sinr:g}"
+    return (f"{good} a 5G NR = yes", f"{bad} alebo 5G NR != yes") if mobile else (good, bad)
+
+
+def write_stats(stats: DataFrame, path: str, rsrp: float, sinr: float, mobile: bool = False, with_sinr: bool = True) -> None:
+    """Operators' counts; a few rows, so one part."""
+    rows = stats.select(int_like(F.col("mnc")).alias("mnc"), int_like(F.col("mcc")).alias("mcc"), "good", "bad")
+    header = ";".join(["MNC", "MCC", *stats_labels(rsrp, sinr, with_sinr, mobile)])
+    write_lines(rows, header, path, [*numeric_then_text(F.col("mcc")), *numeric_then_text(F.col("mnc"))], single=True)

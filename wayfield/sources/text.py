@@ -23,11 +23,15 @@ FIELDS = {
     "pci": ("pci",),
     "mcc": ("mcc",),
     "mnc": ("mnc",),
-    "rsrp": ("sssrsrp", "nrssrsrp", "rsrp"),
+    "rsrp": ("sssrsrp", "ssrsrp", "nrssrsrp", "rsrp"),
     "sinr": ("ssssinr", "sssinr", "nrsssinr", "sinr"),
 }
 REQUIRED = ("latitude", "longitude", "frequency", "pci", "mcc", "mnc", "rsrp")
 NR_NAMES = ("5gnr", "nr")
+#: Fields of files with the second technology's states; a time is either of TIMES.
+STATE_FIELDS = {"mcc": FIELDS["mcc"], "mnc": FIELDS["mnc"], "nr": NR_NAMES}
+TIMES = (("utc",), ("date", "time"))
+NR = "5G NR"
 LOOK_AHEAD = 25
 SOURCE = "source_idx"
 
@@ -81,7 +85,7 @@ def file_meta(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = lines(spark, paths)
     charset = rows.groupBy("path").agg(F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
     text = rows.join(F.broadcast(charset), "path").select("path", "line_no", "utf8", decoded(F.col("raw"), F.col("utf8")).alias("text"))
-    filled = text.filter(F.trim("text") != "").withColumn("n", F.size(cells(F.col("text"))))
+    filled = text.filter(F.trim("text") != "").withColumn("n", F.size(cells(F.regexp_replace("text", '"[^"]*"', "q"))))
     clear = filled.filter(_is_header(F.col("text"))).groupBy("path").agg(F.min("line_no").alias("clear"))
     # Without a clear header: a wide line that wide lines follow. Only such files, in their own partitions.
     rest = filled.join(clear, "path", "left_anti")
@@ -141,8 +145,8 @@ def token(name: str) -> str:
     return "".join(ch for ch in name.strip().lower() if ch.isascii() and ch.isalnum())
 
 
-def canonical(meta: list[FileMeta], mapping: dict[str, str] | None = None) -> dict[str, dict[str, str]]:
-    """For each file, its columns' names in the union.
+def canonical(meta: list[FileMeta], mapping: dict[str, str] | None = None, fields: dict[str, tuple[str, ...]] = FIELDS) -> dict[str, dict[str, str]]:
+    """For each file (or layout, by the path of one file that has it), its columns' names in the union.
 
     Columns of equal token share the first spelling met. The first column of a file that
     means a logical field takes the field's common name: the mapped column's, else the
@@ -154,7 +158,7 @@ def canonical(meta: list[FileMeta], mapping: dict[str, str] | None = None) -> di
     out: dict[str, dict[str, str]] = {}
     for m in meta:
         names: dict[str, str] = {}
-        for logical, tokens in FIELDS.items():
+        for logical, tokens in fields.items():
             exact = [c for c in m.columns if logical in common and token(c) == token(common[logical])]
             found = exact or [c for c in m.columns if token(c) in tokens]
             if found:
@@ -177,25 +181,30 @@ def ambiguous(meta: list[FileMeta]) -> list[tuple[str, str]]:
     return out
 
 
-def missing_fields(meta: list[FileMeta], mapping: dict[str, str] | None = None) -> list[tuple[str, str]]:
-    """(path, field) for required fields that no column of the file stands for."""
+def missing_fields(meta: list[FileMeta], mapping: dict[str, str] | None = None, states: bool = False) -> list[tuple[str, str]]:
+    """(path, field) for required fields that no column of the file stands for; files of states need a time too."""
     mapping = mapping or {}
-    have = lambda m, f: any(token(c) in FIELDS[f] or token(c) == token(mapping.get(f, "\0")) for c in m.columns)
-    return [(m.path, f) for m in meta for f in REQUIRED if not have(m, f)]
+    fields = STATE_FIELDS if states else FIELDS
+    have = lambda m, f: any(token(c) in fields[f] or token(c) == token(mapping.get(f, "\0")) for c in m.columns)
+    timed = lambda m: any({*group} <= {token(c) for c in m.columns} for group in TIMES)
+    out = [(m.path, f) for m in meta for f in (STATE_FIELDS if states else REQUIRED) if not have(m, f)]
+    return out + [(m.path, "time") for m in meta if states and not timed(m)]
 
 
-def read(spark: SparkSession, paths: list[str], mapping: dict[str, str] | None = None, check: bool = True) -> DataFrame:
+def read(spark: SparkSession, paths: list[str], mapping: dict[str, str] | None = None, check: bool = True, states: bool = False) -> DataFrame:
     """All files as one table of text cells, with seq (file order) and source_idx.
 
     Missing columns and cells are empty strings. With ``check`` ambiguous headers and
-    missing required fields raise an error that names the file.
+    missing required fields raise an error that names the file. For files of ``states``
+    the column of the state, whatever its name in a file, is called NR.
     """
+    mapping = (mapping or {}) | ({"nr": NR} if states else {})
     meta = inspect(spark, paths)
     if check and (bad := ambiguous(meta)):
         raise ValueError("ambiguous columns: " + "; ".join(f"{t} in {p}" for p, t in bad))
-    if check and (bad := missing_fields(meta, mapping)):
+    if check and (bad := missing_fields(meta, mapping, states)):
         raise ValueError("missing fields: " + "; ".join(f"{f} in {p}" for p, f in bad))
-    names = canonical(meta, mapping)
+    names = canonical(meta, mapping, STATE_FIELDS if states else FIELDS)
     union: list[str] = []
     for m in meta:
         union += [n for n in names[m.path].values() if n not in union]
@@ -243,22 +252,27 @@ def time_of(table: DataFrame) -> Column:
 
 
 def typed(table: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Typed columns for the operators beside the text cells: hundredths of signal, time, 5G state."""
+    """Typed columns for the operators: signal as text and numbers, time, 5G state.
+
+    The state's column may be chosen as ``nr`` in ``mapping``. Means are taken of rsrp_v and
+    sinr_v, the numbers as parsed; rsrp_c and sinr_c are whole hundredths.
+    """
     names = suggest([c for c in table.columns if c not in ("seq", SOURCE)]) | (mapping or {})
     cell = _cells(table)
-    logical = lambda f: F.col(f"`{names[f]}`") if f in names else F.lit("")
+    logical = lambda f: F.col(f"`{names[f]}`") if names.get(f) in table.columns else F.lit("")
     hundredths = lambda f: F.round(parse_number(logical(f)) * 100).cast("bigint")
+    state = logical("nr") if names.get("nr") in table.columns else cell(*NR_NAMES)
     return table.select(
         "seq", SOURCE, *[c for c in ("row_id",) if c in table.columns], time_of(table).alias("time_ms"),
         F.trim(logical("mcc")).alias("mcc"), F.trim(logical("mnc")).alias("mnc"), F.trim(logical("pci")).alias("pci"), F.trim(logical("frequency")).alias("frequency"),
-        logical("rsrp").alias("rsrp"), hundredths("rsrp").alias("rsrp_c"), hundredths("sinr").alias("sinr_c"),
-        logical("latitude").alias("lat"), logical("longitude").alias("lon"), nr_state(cell(*NR_NAMES)).alias("nr"),
+        logical("rsrp").alias("rsrp"), parse_number(logical("rsrp")).alias("rsrp_v"), parse_number(logical("sinr")).alias("sinr_v"), hundredths("rsrp").alias("rsrp_c"), hundredths("sinr").alias("sinr_c"),
+        logical("latitude").alias("lat"), logical("longitude").alias("lon"), nr_state(state).alias("nr"),
     )
 
 
 def read_states(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Second-technology files: operator, time and 5G state of every row."""
-    return typed(read(spark, paths, check=False))
+    """Second-technology files as one table of text cells; each must have operator, state and a time."""
+    return read(spark, paths, states=True)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
