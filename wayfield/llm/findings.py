@@ -59,23 +59,24 @@ KEY_CONTEXTS = (
     "api key {}", "secret key: {}", "the token is {}", "--secret {}", "access token {}", "--key={}",
 )
 PASSWORD_CONTEXTS = ('password: "{}"', "password={}", "passwd: {}", "pwd = '{}'", 'db_password = "{}"', "user=admin password={}", "secret: {}", 'MYSQL_PASSWORD="{}"', "password is: {}")
-#: Keys that tell by themselves, without a name before them.
-BARE_CONTEXTS = ('sign in with "{}"', "use {} to connect", 'login("{}")', "connect with {}", 'header "{}"')
+#: Keys that tell by themselves, without a name before them, in any text.
+BARE_KINDS = ("access_id", "prefixed", "mixed")
+BARE_CONTEXTS = ("{}", "{}", "{}", "{},", "({})", '"{}"', "of {} and", "the {}", 'sign in with "{}"', "use {} to connect", 'login("{}")', "connect with {}", 'header "{}"')
 #: Contexts never learnt from, for measuring: names and forms that training doesn't hold.
 NEW_KEY_CONTEXTS = ('signing_secret = "{}"', "--api-token {}", "SENTRY_AUTH_TOKEN={}", "accessKey: '{}'", "oauth token {}", "webhook_secret: {}")
 NEW_PASSWORD_CONTEXTS = ('smtp_password: "{}"', "DB_PASSWD={}", "root password = {}")
 
 #: Look-alikes: values and their contexts, by kind.
 LOOK_ALIKES = {
-    "digest": (lambda r, w: _run(r, HEX, 32, 40, 64), ("commit {}", "sha256:{}", "md5 {}", 'etag: "{}"', "checksum = {}", "digest: {}", "revision {}", "image@sha256:{}", 'integrity="sha384-{}"', "tree {}", "merge {} into", "hash {}")),
-    "uuid": (lambda r, w: _uuid(r), ("request {}", "id: {}", "trace id {}", 'uuid="{}"', "job {}", "device {}")),
+    "digest": (lambda r, w: _run(r, HEX, 32, 40, 64), ("commit {}", "sha256:{}", "md5 {}", 'etag: "{}"', "checksum = {}", "digest: {}", "revision {}", "image@sha256:{}", 'integrity="sha384-{}"', "tree {}", "merge {} into", "hash {}", "{}", "({})", "of {} and", "the {}")),
+    "uuid": (lambda r, w: _uuid(r), ("request {}", "id: {}", "trace id {}", 'uuid="{}"', "job {}", "device {}", "{}", "({})", '"{}"', "the {}")),
     "address": (lambda r, w: _run(r, HEX, 16, 32, 40), ("https://example.com/a/{}/index", "https://cdn.example.org/{}.js", "/static/app.{}.css", "http://host.example.net/img/{}", "/cache/{}/data")),
     "path": (lambda r, w: "/".join(r.choice(w) for _ in range(r.choice([3, 4, 5]))), ("/usr/{}", "path=/{}", "/home/{}", "import {}", "see {}", "./{}")),
     "identifier": (lambda r, w: r.choice(["_", "-"]).join(r.choice(w) for _ in range(r.choice([3, 4, 5]))), ("def {}", "class {}", "token = {}", "call {}", "password = {}", 'id="{}"', "the {}")),
     "camel": (lambda r, w: "".join(r.choice(w).capitalize() for _ in range(r.choice([3, 4, 5]))), ("new {}", "token = get{}", "import {}", "secret: {}", "the {}", "method {}")),
     "inline": (lambda r, w: r.choice(["iVBORw0KGgo", "R0lGODlh", "PHN2ZyB4"]) + _run(r, ANY + "+/", 40, 64), ("data:image/png;base64,{}", "data:image/gif;base64,{}", "url(data:image/svg+xml;base64,{}")),
     "placeholder": (lambda r, w: r.choice(["xxxxxxxxxxxxxxxxxxxx", "0000000000000000", "your-token-goes-here", "your_api_key_here", "changeme-changeme", "insert-your-password", "EXAMPLE_EXAMPLE_EXAMPLE", "****************"]), ('token = "{}"', "password={}", "api_key: {}", "secret = '{}'", "export API_TOKEN={}")),
-    "number": (lambda r, w: _run(r, DIGITS, 16, 17, 18, 20), ("order {}", "account {}", "number: {}", "isbn {}", "invoice = {}", "timestamp {}")),
+    "number": (lambda r, w: _run(r, DIGITS, 16, 17, 18, 20), ("order {}", "account {}", "number: {}", "isbn {}", "invoice = {}", "timestamp {}", "{}", "of {} and")),
     "word": (lambda r, w: "".join(r.choice(w) for _ in range(r.choice([3, 4, 5, 6]))), ("the {}", "in {} of", "und {}", "{}", "of {} and", "de {}")),
     "setting": (lambda r, w: r.choice(w) + r.choice(w), ("password: {}", "token = {}", "secret = {}", "auth: {}")),
 }
@@ -115,13 +116,13 @@ def drawn(n: int, words: Sequence[str] = (), long_words: Sequence[str] = (), see
     keys, passwords = (NEW_KEY_CONTEXTS, NEW_PASSWORD_CONTEXTS) if unseen else (KEY_CONTEXTS, PASSWORD_CONTEXTS)
     for i in range(n):
         part = i % 10
-        if part < 7:
-            kind = list(KEYS)[i % len(KEYS)]
+        if part < 5:
+            kind = list(KEYS)[i // 10 % len(KEYS)]
             yield _placed(rng, kind, rng.choice(keys), KEYS[kind](rng, plain), plain, 1)
-        elif part < 9:
+        elif part < 7:
             yield _placed(rng, "password", rng.choice(passwords), _password(rng, plain), plain, 1)
         else:
-            kind = rng.choice(["mixed", "prefixed", "access_id"])
+            kind = BARE_KINDS[i % len(BARE_KINDS)]
             yield _placed(rng, kind, rng.choice(BARE_CONTEXTS), KEYS[kind](rng, plain), plain, 1)
     kinds = list(LOOK_ALIKES)
     for i in range(n):
