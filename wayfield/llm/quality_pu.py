@@ -10,8 +10,10 @@ against unlabelled. Then the non-negative unbiased risk is minimised:
 where L+ and L- are mean logistic losses for the labels positive and negative.
 Negative labels are never used.
 
-Learning takes at most ``POSITIVES`` and ``UNLABELLED`` texts, those with the smallest
-hashes of their ids. Every text is scored as a whole.
+Of the trusted positives at most ``POSITIVES`` are taken, those with the smallest hashes
+of their ids. Unlabelled texts are all taken: each becomes one byte a statistic, kept in
+the shared folder, and every evaluation of the risk is a pass over those bytes that
+returns sums. Every text is scored as a whole.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import batch_limits
+from .common import batch_limits, checkpointed
 from .secrets import SPAN
 
 POSITIVES = 4000
-UNLABELLED = 8000
+#: Unlabelled rows of a task, and most tasks, of a pass: bound what the driver sums.
+PASS_ROWS, PASS_TASKS = 20_000, 4096
 BINS = 16
+#: Over about so much the risk's corner at zero is rounded, so that its slope is continuous.
+CORNER = 0.01
 THRESHOLD = 0.7
 NAMES = (
     "words", "word_length", "upper", "digits", "bangs", "bars", "symbols", "stops", "quotes", "beyond_ascii",
@@ -73,39 +78,117 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = binned(x, self.cuts) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-z))
+        return _sigmoid(self.weights[places(x, self.cuts)].sum(axis=1) + self.bias)
 
 
-def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    """One-hot bins of every statistic."""
-    out = np.zeros((len(x), sum(len(c) + 1 for c in cuts)), np.float32)
-    at = 0
-    for f, c in enumerate(cuts):
-        out[np.arange(len(x)), at + np.searchsorted(c, x[:, f], side="left")] = 1
-        at += len(c) + 1
-    return out
+def places(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """For each row and statistic the number of its bin, bins of all statistics counted through."""
+    first = np.cumsum([0, *(len(c) + 1 for c in cuts)])
+    return np.stack([np.searchsorted(c, x[:, f], side="left") + first[f] for f, c in enumerate(cuts)], axis=1) if len(x) else np.zeros((0, len(cuts)), np.int64)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _z(at: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The model's log-odds; the last weight is the bias."""
+    return w[:-1][at].sum(axis=1) + w[-1]
+
+
+def _gradient(at: np.ndarray, each: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows' one-hot vectors times ``each``."""
+    return np.r_[np.bincount(at.ravel(), np.repeat(each, at.shape[1]), size - 1), each.sum()]
+
+
+def sums_of(at: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows, sum of the losses for the label negative, and its gradient."""
+    z = _z(at, w)
+    return np.r_[len(at), np.logaddexp(0, z).sum(), _gradient(at, _sigmoid(z), len(w))]
+
+
+def counts_of(at: np.ndarray, w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many rows score between neighbouring cuts."""
+    return np.bincount(np.searchsorted(cuts, _z(at, w), side="right"), minlength=len(cuts) + 1).astype(float)
+
+
+class Rows:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, at: np.ndarray):
+        self.at = at
+
+    def total(self, f, half: int | None = None) -> np.ndarray:
+        return f(self.at if half is None else self.at[half::2])
+
+
+class Table:
+    """Unlabelled rows as a DataFrame (half, bins): one byte a statistic."""
+
+    def __init__(self, bins: DataFrame, first: np.ndarray):
+        self.bins, self.first = bins, first
+
+    def total(self, f, half: int | None = None) -> np.ndarray:
+        """The sum of ``f`` over the rows, each task summing its own."""
+        first = self.first
+        rows = self.bins if half is None else self.bins.filter(F.col("half") == half)
+
+        def run(batches):
+            total = None
+            for batch in batches:
+                packed = b"".join(batch.column("bins").to_pylist())
+                got = f(np.frombuffer(packed, np.uint8).reshape(-1, len(first)).astype(np.int64) + first)
+                total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        found = rows.select("bins").mapInArrow(run, "total binary").collect()
+        empty = f(np.zeros((0, len(first)), np.int64))
+        return sum((np.frombuffer(r.total) for r in found), empty)
 
 
 def quantile_cuts(x: np.ndarray) -> list[np.ndarray]:
     return [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in x.T]
 
 
-def descend(gradient, size: int, steps: int = 500, rate: float = 0.1) -> np.ndarray:
-    """Adam from zero."""
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    for t in range(1, steps + 1):
-        g = gradient(w)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+def minimise(f, size: int, steps: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS from zero with steps halved until the value falls; ``f`` gives value and gradient."""
+    w = np.zeros(size)
+    value, g = f(w)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, kept = g.copy(), []
+        for s, y in reversed(pairs):
+            share = (s @ d) / (s @ y)
+            kept.append(share)
+            d -= share * y
+        if pairs:
+            d *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        for (s, y), share in zip(pairs, reversed(kept), strict=True):
+            d += s * (share - (y @ d) / (s @ y))
+        slope = -(d @ g)
+        if slope >= 0:
+            d, slope = g.copy(), -(g @ g)
+        rate = 1.0 if pairs else min(1.0, 1 / max(1e-12, float(np.abs(g).sum())))
+        while True:
+            new = w - rate * d
+            new_value, new_g = f(new)
+            if new_value <= value + 1e-4 * rate * slope or rate < 1e-3:
+                break
+            rate /= 2
+        if new_value >= value:
+            break
+        s, y = new - w, new_g - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, y)]
+        settled = value - new_value <= 1e-5 * max(1.0, abs(value))
+        w, value, g = new, new_value, new_g
+        if settled:
+            break
     return w
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def class_prior(p: np.ndarray, u: np.ndarray, decay: float = 1e-4, least: float = 0.2) -> float:
+def class_prior(p: np.ndarray, u: Rows | Table, size: int, decay: float = 1e-4, least: float = 0.2) -> float:
     """Share of positives among the unlabelled rows: best-bin estimation.
 
     A classifier of positives against unlabelled is fitted on one half. On the other,
@@ -115,44 +198,58 @@ def class_prior(p: np.ndarray, u: np.ndarray, decay: float = 1e-4, least: float
     error is taken, and its ratio less two errors is returned: too small a prior costs
     little, too large a one hides the negatives.
     """
-    half = lambda a, k: a[k::2]
-    x = np.concatenate([half(p, 0), half(u, 0)])
-    y = np.concatenate([np.ones(len(half(p, 0))), np.zeros(len(half(u, 0)))])
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w = descend(lambda w: x.T @ (weight * (_sigmoid(x @ w) - y)) + decay * w, x.shape[1])
-    zp, zu = np.sort(half(p, 1) @ w), np.sort(half(u, 1) @ w)
+    one, other = p[0::2], p[1::2]
+
+    def risk(w: np.ndarray) -> tuple[float, np.ndarray]:
+        n, loss, *down = u.total(lambda at: sums_of(at, w), 0)
+        z = _z(one, w)
+        up = _gradient(one, _sigmoid(z) - 1, size) / len(one)
+        value = 0.5 * np.logaddexp(0, -z).mean() + 0.5 * loss / max(1, n) + decay / 2 * (w[:-1] @ w[:-1])
+        return float(value), 0.5 * up + 0.5 * np.array(down) / max(1, n) + decay * np.r_[w[:-1], 0]
+
+    w = minimise(risk, size, steps=15)
+    zp = np.sort(_z(other, w))
     cuts = np.unique(zp)
+    counts = u.total(lambda at: counts_of(at, w, cuts), 1)
+    n_u = max(1.0, counts.sum())
     qp = 1 - np.searchsorted(zp, cuts) / len(zp)
-    qu = np.maximum(1 - np.searchsorted(zu, cuts) / len(zu), 1 / len(zu))
+    qu = np.maximum(counts[1:][::-1].cumsum()[::-1] / n_u, 1 / n_u)
     kept = qp >= least
     qp, qu = qp[kept], qu[kept]
     ratio = qu / qp
-    error = ratio * np.sqrt((1 - qu) / (qu * len(zu)) + (1 - qp) / (qp * len(zp)))
+    error = ratio * np.sqrt((1 - qu) / (qu * n_u) + (1 - qp) / (qp * len(zp)))
     at = int(np.argmin(ratio + error))
     return float(np.clip(ratio[at] - 2 * error[at], 0.01, 0.99))
 
 
-def fit_rows(positive: np.ndarray, unlabelled: np.ndarray, decay: float = 2e-4) -> Model | None:
-    """The model of two arrays of statistics; None if either is empty."""
-    if len(positive) < 2 or len(unlabelled) < 2:
+def fit_bins(p: np.ndarray, u: Rows | Table, cuts: list[np.ndarray], decay: float = 1e-2) -> Model | None:
+    """The model of positives' bins and unlabelled rows; None if either has fewer than two rows."""
+    size = sum(len(c) + 1 for c in cuts) + 1
+    if len(p) < 2 or u.total(lambda at: np.array([float(len(at))]))[0] < 2:
         return None
-    cuts = quantile_cuts(np.concatenate([positive, unlabelled]))
-    p, u = binned(positive, cuts), binned(unlabelled, cuts)
-    prior = class_prior(p, u)
-    p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up = prior * p.T @ (_sigmoid(zp) - 1) / len(p)
-        down = u.T @ _sigmoid(zu) / len(u) - prior * p.T @ _sigmoid(zp) / len(p)
-        # Where the negative part falls below zero it has been overfitted: step back.
-        return (up + down if negative >= 0 else -down) + decay * np.r_[w[:-1], 0]
-
-    w = descend(gradient, p.shape[1])
+    prior = class_prior(p, u, size)
+
+    def risk(w: np.ndarray) -> tuple[float, np.ndarray]:
+        n, loss, *down = u.total(lambda at: sums_of(at, w))
+        z = _z(p, w)
+        negative = loss / n - prior * np.logaddexp(0, z).mean()
+        value = prior * np.logaddexp(0, -z).mean() + decay / 2 * (w[:-1] @ w[:-1])
+        slope = prior * _gradient(p, _sigmoid(z) - 1, size) / len(p) + decay * np.r_[w[:-1], 0]
+        # Below zero the negative part has been overfitted and counts as zero, with the corner rounded.
+        counts = 1 / (1 + np.exp(-np.clip(negative / CORNER, -30, 30)))
+        part = np.array(down) / n - prior * _gradient(p, _sigmoid(z), size) / len(p)
+        return float(value + CORNER * np.logaddexp(0, negative / CORNER)), slope + counts * part
+
+    w = minimise(risk, size, steps=60)
     return Model(cuts, w[:-1].astype(np.float32), float(w[-1]), prior)
 
 
+def fit_rows(positive: np.ndarray, unlabelled: np.ndarray) -> Model | None:
+    """The model of two arrays of statistics."""
+    cuts = quantile_cuts(np.concatenate([positive, unlabelled]))
+    return fit_bins(places(positive, cuts), Rows(places(unlabelled, cuts)), cuts)
+
+
 def _measured(text: Column) -> Column:
     @arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
@@ -162,25 +259,38 @@ def _measured(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model from ``docs`` (all of it unlabelled) and the ids in ``positives``."""
-    batch_limits(docs.sparkSession)
-    order = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SPAN))
-
-    def share(rows: DataFrame, most: int) -> int:
-        return int(SPAN * min(1.0, most / max(1, rows.count())))
-
-    trusted = positives.filter(F.col(id_col).isNotNull()).select(id_col).distinct()
-    # About POSITIVES ids of eight bytes: a bounded table.
-    trusted = trusted.filter(order < share(trusted, POSITIVES))
-    texts = docs.filter(F.col(text_col).isNotNull()).select(id_col, text_col)
-    some = texts.filter(order < share(texts.select(id_col), UNLABELLED))
+    """A model from ``docs`` (all of it unlabelled) and the ids in ``positives``.
 
-    def got(rows: DataFrame) -> np.ndarray:
-        """Statistics of the rows, one for an id, however often it occurs."""
-        found = rows.select(id_col, _measured(F.col(text_col)).alias("x")).groupBy(id_col).agg(F.min("x").alias("x")).collect()
-        return np.array([r.x for r in sorted(found, key=lambda r: (r[0] is None, r[0] or 0))], float).reshape(-1, len(NAMES))
-
-    return fit_rows(got(texts.join(F.broadcast(trusted), id_col, "left_semi")), got(some))
+    Null texts don't count. A positive counts once, however often its id occurs;
+    unlabelled rows count each time. None with fewer than two of either. Other columns
+    are not read.
+    """
+    batch_limits(docs.sparkSession)
+    order = F.pmod(F.xxhash64(F.col("id")), F.lit(SPAN))
+    # At most POSITIVES ids of eight bytes: a bounded table.
+    trusted = positives.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    trusted = F.broadcast(trusted.orderBy(order, "id").limit(POSITIVES))
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = checkpointed(texts.select("id", _measured(F.col("text")).alias("x")))
+    n = rows.count()
+    shares = [float(q) for q in np.linspace(0, 1, BINS + 1)[1:-1]]
+    found = rows.agg(*[F.percentile_approx(F.col("x")[i], shares, 10_000).alias(f"q{i}") for i in range(len(NAMES))]).first()
+    if not n:
+        return None
+    cuts = [np.unique(np.array(found[f"q{i}"], float)) for i in range(len(NAMES))]
+    first = np.cumsum([0, *(len(c) + 1 for c in cuts)])[:-1]
+
+    @arrow_udf("binary")
+    def packed(xs: pa.Array) -> pa.Array:
+        x = np.array(xs.to_pylist(), float).reshape(-1, len(NAMES))
+        return pa.array([r.tobytes() for r in (places(x, cuts) - first).astype(np.uint8)], pa.binary())
+
+    # Halves by the statistics, so that copies lie in one of them.
+    halves = rows.select((F.pmod(F.xxhash64("x"), F.lit(2))).cast("int").alias("half"), packed(F.col("x")).alias("bins"))
+    bins = checkpointed(halves.coalesce(int(min(PASS_TASKS, n // PASS_ROWS + 1))))
+    some = rows.join(trusted, "id", "left_semi").groupBy("id").agg(F.min("x").alias("x")).orderBy("id").collect()
+    p = places(np.array([r.x for r in some], float).reshape(-1, len(NAMES)), cuts)
+    return fit_bins(p, Table(bins, first), cuts)
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
