@@ -135,6 +135,16 @@ def test_sharding_odd_rows(odd, empty):
     assert sharding.shard(empty, 3).count() == 0
 
 
+def test_an_id_that_many_rows_share(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows = sharding.shard(df, 24).collect()
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) < 100 and len(load) == 24
+    assert max(Counter(r.virtual_slot for r in rows if r.doc_id == 7).values()) < 30
+
+
 def test_versions_of_the_map(spark, tmp_path):
     first = sharding.first_map(spark, 4, 64)
     load = spark.createDataFrame([(i, 1000 if i % 4 == 0 else 10) for i in range(64)], "virtual_slot int, bytes long")
@@ -320,6 +330,31 @@ def test_quality_rules_on_documents(spark, docs, odd, empty):
     assert np.mean([r.kept == (r.quality == 1) for r in marked]) > 0.9
 
 
+def test_rules_on_held_out_labels(spark):
+    """Rules learnt on three quarters of the labels against the rest, of rows that pass the base conditions."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    learn = quality_pu.training_part()
+    rules = quality_rules.fit(docs.filter(learn), labels.filter(learn))
+    rows = quality_rules.rate(docs.filter(~learn), rules).join(labels, "doc_id").filter("not base_failed").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+
+
+def test_helper_names_do_not_clash(spark, docs):
+    """Columns that go by the names of helpers keep their values through every operator that keeps columns."""
+    names = ["_k1", "_k2", "_words", "_windows", "_filled", "_upper", "_bang", "_distinct", "_lines", "_r", "_lang", "_found", "row_key_1", "lang_", "found", "both", "words_"]
+    few = docs.limit(40).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    items = spark.createDataFrame([(1, "w " * 20)], "item_id long, text string")
+    scanner = secrets.Scanner([-5.0] * secrets._KINDS**2, [], {}, [0.0])
+    made = [
+        simhash.deduplicate(few), decontaminate.without_leaks(few, items), quality_rules.rate(few, []), langid.recognised(few, langid.fit(few)),
+        langid.identify(few, None), bpe.encode(few), quality_pu.scored(few, None), secrets.redact(few, scanner),
+    ]
+    for df in made:
+        rows = df.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
 # ---- BPE
 
 

@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import free_name  # noqa: F401  taken from here by the operators
+from ..functions.names import free_name
+from ..functions.shared import checkpointed, shared_dir
+
+__all__ = ["BLANKS", "batch_limits", "checkpointed", "free_name", "of_rows", "row_key", "set_aside", "shared_dir", "stored", "words"]
 
 #: What separates words: space and the control characters tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = jsc.get() if jsc.isDefined() else tempfile.mkdtemp(prefix="wayfield-")
-    return named
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -53,6 +38,23 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(*parts).alias("_k1"), F.hash(*parts).alias("_k2")]
 
 
+def of_rows(docs: DataFrame, decided: DataFrame, how: str, id_col: str, text_col: str, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``decided`` (left_semi) or not (left_anti); with ``once`` one row a key.
+
+    ``decided`` has ``row_key``'s columns; those of ``docs`` keep their own names and values.
+    """
+    names = [free_name(docs, "row_key_1"), free_name(docs, "row_key_2")]
+    keyed = docs.withColumns(dict(zip(names, row_key(id_col, text_col), strict=True)))
+    out = keyed.join(decided.select(F.col("_k1").alias(names[0]), F.col("_k2").alias(names[1])), names, how)
+    return (out.dropDuplicates(names) if once else out).drop(*names)
+
+
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` without columns of these names, which go by others for a while, and how to name them again."""
+    taken = {c: free_name(df, f"aside_{c}") for c in df.columns if c.lower() in {n.lower() for n in names}}
+    return df.withColumnsRenamed(taken), {v: k for k, v in taken.items()}
+
+
 def batch_limits(spark: SparkSession) -> None:
     """Arrow batches of a bounded size, so that very long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import batch_limits, checkpointed, row_key
+from .common import batch_limits, checkpointed, of_rows, row_key
 
 MASKS = ((0, 1, 2, 3, 5, 8), (0, 3, 4, 6, 7, 8))
 SPAN = 9
@@ -205,7 +205,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that leak no item, with all their columns."""
-    keys = row_key(id_col, text_col)
-    bad = leaks(docs, benchmark, id_col, text_col, keep=keys).select("_k1", "_k2").distinct()
-    return docs.withColumns({"_k1": keys[0], "_k2": keys[1]}).join(bad, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    """Rows of ``docs`` that leak no item, with all their columns.
+
+    Null and empty texts leak nothing and stay, as do all rows without a benchmark. Rows
+    equal in id and text share their fate; an empty table stays empty.
+    """
+    bad = leaks(docs, benchmark, id_col, text_col, keep=row_key(id_col, text_col)).select("_k1", "_k2").distinct()
+    return of_rows(docs, bad, "left_anti", id_col, text_col)

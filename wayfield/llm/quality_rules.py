@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import free_name, set_aside, words
 from .secrets import SPAN, let
 
 SAMPLE = 6000
@@ -85,24 +85,25 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text counts as empty. Columns of these names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    staged = docs.withColumn("_words", words(text))
-    hashed = F.transform("_words", lambda w: F.xxhash64(w))
+    held, pairs, filled = (free_name(docs, c) for c in ("words_", "windows_", "filled_"))
+    staged = docs.withColumn(held, words(text))
+    hashed = F.transform(held, lambda w: F.xxhash64(w))
     windows = let(hashed, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(WINDOW)])))
-    staged = staged.withColumn("_windows", F.when(F.size("_words") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
+    staged = staged.withColumn(pairs, F.when(F.size(held) >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    staged = staged.withColumn("_filled", lines)
+    staged = staged.withColumn(filled, lines)
     counts = {
-        "n_words": F.size("_words"),
-        "word_chars": F.length(F.array_join("_words", "")),
+        "n_words": F.size(held),
+        "word_chars": F.length(F.array_join(held, "")),
         "n_symbols": F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, "")),
-        "n_dup_lines": F.size("_filled") - F.size(F.array_distinct("_filled")),
-        "n_repeat_words": repeat_words(F.col("_windows")),
+        "n_dup_lines": F.size(filled) - F.size(F.array_distinct(filled)),
+        "n_repeat_words": repeat_words(F.col(pairs)),
         "_upper": F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", "")),
         "_bang": F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))),
-        "_distinct": F.size(F.array_distinct(F.transform("_words", lambda w: F.xxhash64(w)))),
-        "_lines": F.size("_filled"),
+        "_distinct": F.size(F.array_distinct(F.transform(held, lambda w: F.xxhash64(w)))),
+        "_lines": F.size(filled),
     }
-    return staged.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words", "_windows", "_filled")
+    return staged.withColumns({k: v.cast("long") for k, v in counts.items()}).drop(held, pairs, filled)
 
 
 def ratios() -> dict[str, Column]:
@@ -186,6 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Rules from the labelled rows of ``docs``; label 0 is bad. No labels, no rules.
 
     Rows that the base conditions fail are not learnt from: they are settled already.
+    An id counts once, however often it occurs, and as bad if any of its labels is; null
+    ids and labels don't count. At most MAX_RULES rules of MAX_CONDITIONS conditions come
+    out, at thresholds among CUTS quantiles; on a tie the first statistic counts.
     """
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.min(label_col) == 0).alias("bad"))
     count = marks.count()
@@ -216,8 +220,9 @@ def rate(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFram
     Null and empty texts fail the base conditions. Columns of these names are
     replaced; every row stays.
     """
-    rows = statistics(docs, text_col).withColumn("base_failed", base_failed())
+    docs, again = set_aside(docs, ("_upper", "_bang", "_distinct", "_lines", "_r"))
+    rows = statistics(docs, again.get(text_col, text_col)).withColumn("base_failed", base_failed())
     rows = rows.withColumn("_r", F.struct(*[c.alias(n) for n, c in ratios().items()]))
     shown = [Rule([Condition(f"_r.{c.statistic}", c.above, c.cut) for c in r.conditions], r.share_bad) for r in rules]
     rows = rows.withColumn("rule", verdict(shown))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop("_r", "_upper", "_bang", "_distinct", "_lines")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop("_r", "_upper", "_bang", "_distinct", "_lines").withColumnsRenamed(again)

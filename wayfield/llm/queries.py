@@ -18,6 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; ``und`` and 0 for null texts and texts without a letter. Ids may repeat or be null: each row gives one, null ids are held out of learning."""
     docs = table(spark, sf_dir, "documents")
     learn = langid.training_part()
     model = langid.fit(docs.filter(learn))
@@ -25,28 +26,34 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by bytes; null texts have none, each repeated row takes a slot, an empty table gives no rows."""
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, one row a pair; null and empty texts hold none, repeated rows of an id count once."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document; texts without words have fingerprint zero and are linked like any other, rows with null ids take part."""
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null and empty texts fail the base conditions, repeated rows each give one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     return quality_rules.rate(docs, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document; null texts are empty, each row gives one."""
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; null and empty texts are scored by zero statistics, each row gives one. Only ids of the learning part that are labelled 1 are learnt from, beside unlabelled texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = quality_pu.training_part()
     positives = table(spark, sf_dir, "labels").filter("quality = 1").filter(learn)
@@ -55,15 +62,18 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths with the sums at every length and context limit; null texts have length 0."""
     return token_counts.report(table(spark, sf_dir, "documents"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found, one row each; null and empty texts have none, repeated rows give theirs again."""
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null pages are empty, broken markup is read as far as it goes."""
     return html_extract.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 

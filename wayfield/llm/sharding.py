@@ -22,8 +22,8 @@ MAP_SCHEMA = "version int, virtual_slot int, shard int"
 
 
 def virtual_slot(id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> Column:
-    """Slot of a row by its id; rows without an id are spread by their text."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(slots)).cast("int")
+    """Slot of a row by its id and text, so that an id that many rows share isn't one slot."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(slots)).cast("int")
 
 
 def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import batch_limits, checkpointed, row_key
+from .common import batch_limits, checkpointed, of_rows, row_key
 
 RADIUS = 2
 #: Parts into which the members of a group are dealt where they look for their root.
@@ -145,5 +145,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = groups(docs, id_col, text_col, keep=[k1, k2])
     first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_k1"), F.col("_k2")))
     stays = marked.groupBy("root").agg(first.alias("s")).select("s._k1", "s._k2")
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    return keyed.join(stays, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    return of_rows(docs, stays, "left_semi", id_col, text_col, once=True)
