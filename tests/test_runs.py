@@ -153,3 +153,20 @@ def test_helper_columns_do_not_clash(spark):
     rows = order.row_ids(df).orderBy("seq").collect()
     assert [(r.row_id, r.part, r.mono, r.number) for r in rows] == [("1", "q", "m", "n"), ("2", "p", "m", "n")]
     assert free_name(df, "PART") == "PART_"
+
+
+def test_files_of_many_blocks(spark, tmp_path):
+    """Lines keep their order where a file is read in many pieces by several tasks."""
+    paths = []
+    for k in range(3):
+        body = "".join(f"48.{i};17.1;{k};{i};231;1;-{60 + i % 50};{'x' * (i % 40)}\n" for i in range(400))
+        paths.append(write(tmp_path, f"f{k}.csv", ("note\n\n" if k == 1 else "") + HEAD + ";note\n" + body))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+        rows = text.read(spark, paths).orderBy("seq").select("source_idx", "pci", "note").collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert [(r.source_idx, r.pci, len(r.note)) for r in rows] == [(k, str(i), i % 40) for k in range(3) for i in range(400)]

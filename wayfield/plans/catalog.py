@@ -512,24 +512,29 @@ def preview_schema(spark, sf_dir):
 @query(WITH_M + f", f AS (SELECT DISTINCT source_idx, {_FILE} AS file FROM m) SELECT field, CASE source_idx WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS own_name, a AS common, count(*) AS files FROM f CROSS JOIN (VALUES ('latitude', 'Latitude', 'Lat', 'latitude'), ('longitude', 'Longitude', 'Lng', 'longitude'), ('frequency', 'Frequency', 'freq', 'NR-ARFCN'), ('rsrp', 'RSRP', 'rsrp', 'SSS-RSRP')) v(field, a, b, c) GROUP BY ALL")
 def alias_union(spark, sf_dir):
     """The name each file uses for a field, and the one it has in the union."""
-    meta = text.inspect(spark, exports.written(spark, sf_dir))
+    table, meta = text.files(spark, exports.written(spark, sf_dir))
     names = text.canonical(meta)
-    rows = [(f, c, names[m.path][c]) for m in meta for f in ("latitude", "longitude", "frequency", "rsrp") for c in m.columns if text.token(c) in text.FIELDS[f]]
-    return spark.createDataFrame(rows, "field string, own_name string, common string").groupBy("field", "own_name", "common").agg(F.count("*").alias("files"))
+    rows = [(k, f, c, names[m.path][c]) for k, m in enumerate(meta) for f in ("latitude", "longitude", "frequency", "rsrp") for c in m.columns if text.token(c) in text.FIELDS[f]]
+    found = spark.createDataFrame(rows, "layout_no int, field string, own_name string, common string")
+    return table.join(F.broadcast(found), "layout_no").groupBy("field", "own_name", "common").agg(F.count("*").alias("files"))
 
 
 @query(WITH_M + f" SELECT source_idx AS layout, count(DISTINCT {_FILE}) AS files, 'rsrp' AS token FROM m WHERE source_idx = 1 GROUP BY source_idx")
 def header_ambiguity(spark, sf_dir):
     """Files in which two columns mean the same by their letters; the second layout is written with one more RSRP column."""
-    found = text.ambiguous(text.inspect(spark, exports.written(spark, sf_dir, twice=True)))
-    return spark.createDataFrame([(1, t, p) for p, t in found], "layout int, token string, path string").groupBy("layout", "token").agg(F.count("*").alias("files"))
+    table, meta = text.files(spark, exports.written(spark, sf_dir, twice=True))
+    number = {m.path: k for k, m in enumerate(meta)}
+    found = spark.createDataFrame([(number[p], t) for p, t in text.ambiguous(meta)], "layout_no int, token string")
+    return table.join(F.broadcast(found), "layout_no").groupBy(F.lit(1).alias("layout"), "token").agg(F.count("*").alias("files"))
 
 
 @query(WITH_M + f" SELECT 'pci' AS field, count(DISTINCT {_FILE}) AS files FROM m WHERE source_idx = 0")
 def required_columns(spark, sf_dir):
     """Files without a required field; the first layout is written without PCI."""
-    found = text.missing_fields(text.inspect(spark, exports.written(spark, sf_dir, without_pci=True)))
-    return spark.createDataFrame(found, "path string, field string").groupBy("field").agg(F.count("*").alias("files"))
+    table, meta = text.files(spark, exports.written(spark, sf_dir, without_pci=True))
+    number = {m.path: k for k, m in enumerate(meta)}
+    found = spark.createDataFrame([(number[p], f) for p, f in text.missing_fields(meta)], "layout_no int, field string")
+    return table.join(F.broadcast(found), "layout_no").groupBy("field").agg(F.count("*").alias("files"))
 
 
 _CUM = f"""WITH rp AS ({adapter.ROUTE_POINTS}), st AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM rp WINDOW w AS (PARTITION BY source_idx ORDER BY seq)),

@@ -1,19 +1,24 @@
 """Reader of semicolon-separated measurement exports with unknown preambles and headers.
 
-Lines are read once as text. A small table with one row for each file (encoding,
-header line, header, width, technology) is computed first and brought to the driver;
-it has as many rows as there are files. Cells are then cut by ``from_csv`` with the
-files' own columns and united by name.
+A table of one row for each file (encoding, header line, header, width, technology) is
+computed first and stays a table. Only the distinct layouts, headers with their width,
+come to the driver: as many as there are kinds of devices. Names, ambiguity and missing
+fields are settled for layouts. The files are then read in one pass: cells are cut by
+``from_csv`` and picked by the positions that the file's layout gives each name of the
+union.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import header_token, nr_state, parse_number, row_time_ms
+from ..functions.shared import checkpointed
+from ..operators.order import numbered
 
 #: Header tokens that mean the same logical field (fixed values); the first group member found in a file counts.
 FIELDS = {
@@ -34,10 +39,14 @@ TIMES = (("utc",), ("date", "time"))
 NR = "5G NR"
 LOOK_AHEAD = 25
 SOURCE = "source_idx"
+#: Rows of a table of files or blocks (of about 200 bytes) up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
 class FileMeta:
+    """A file, or a layout by the first file that has it."""
+
     path: str
     index: int
     utf8: bool
@@ -46,19 +55,39 @@ class FileMeta:
     technology: str
 
 
-def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, line_no, value as bytes) of all lines; numbers start at 0 in each file.
+@dataclass(frozen=True)
+class Blocks:
+    """The blocks of the files: the first row's id of each (one small row a block), and whether such tables may be broadcast."""
+
+    paths: list[str]
+    firsts: DataFrame
+    small: bool
+
+    def held(self, table: DataFrame) -> DataFrame:
+        """A table of at most one row a block, broadcast if these are few."""
+        return F.broadcast(table) if self.small else table
+
+
+def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
+    block = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), block.alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("raw"))
 
-    A text scan has no row index. Lines of a block are in order, so blocks are counted
-    and lines numbered within their block.
+
+def blocks_of(spark: SparkSession, paths: list[str]) -> Blocks:
+    """One pass that counts; the scans after it deal the same files to the same tasks."""
+    firsts = checkpointed(_scan(spark, paths).groupBy("block").agg(F.min("id").alias("first")))
+    return Blocks(paths, firsts, firsts.count() <= BROADCAST_ROWS)
+
+
+def lines(spark: SparkSession, blocks: Blocks) -> DataFrame:
+    """(path, line_no, value as bytes) of all lines; numbers rise in each file, from 0 by one in its first block.
+
+    A text scan has no row index, but a block's lines are read in order by one task. A line's
+    number is where its block starts plus its place in the block, which no line of the
+    next block reaches; so only one small row a block is gathered, never the lines.
     """
-    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("raw"))
-    counts = raw.groupBy("path", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    here = Window.partitionBy("path", "block").orderBy("id")
-    numbered = raw.withColumn("place", F.row_number().over(here) - 1).join(counts, ["path", "block"])
-    return numbered.select("path", (F.col("before") + F.col("place")).cast("long").alias("line_no"), "raw")
+    rows = _scan(spark, blocks.paths).join(blocks.held(blocks.firsts), "block")
+    return rows.select("path", (F.col("start") + F.col("id") - F.col("first")).alias("line_no"), "raw")
 
 
 def decoded(raw: Column, utf8: Column) -> Column:
@@ -80,11 +109,11 @@ def _is_header(text: Column) -> Column:
     return measurement | states
 
 
-def file_meta(spark: SparkSession, paths: list[str]) -> DataFrame:
+def file_meta(spark: SparkSession, blocks: Blocks) -> DataFrame:
     """One row for each file: path, utf8, header_line, header, width, technology."""
-    rows = lines(spark, paths)
+    rows, held = lines(spark, blocks), blocks.held
     charset = rows.groupBy("path").agg(F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
-    text = rows.join(F.broadcast(charset), "path").select("path", "line_no", "utf8", decoded(F.col("raw"), F.col("utf8")).alias("text"))
+    text = rows.join(held(charset), "path").select("path", "line_no", "utf8", decoded(F.col("raw"), F.col("utf8")).alias("text"))
     filled = text.filter(F.trim("text") != "").withColumn("n", F.size(cells(F.regexp_replace("text", '"[^"]*"', "q"))))
     clear = filled.filter(_is_header(F.col("text"))).groupBy("path").agg(F.min("line_no").alias("clear"))
     # Without a clear header: a wide line that wide lines follow. Only such files, in their own partitions.
@@ -94,13 +123,42 @@ def file_meta(spark: SparkSession, paths: list[str]) -> DataFrame:
     wide = rest.withColumn("next", F.size(F.filter(width_list, lambda w: w >= F.greatest(F.lit(6), F.col("n") - 1))))
     guess = wide.filter("n >= 6").groupBy("path").agg(F.min(F.when(F.col("next") >= 2, F.col("line_no"))).alias("second"), F.min("line_no").alias("third"))
     at = charset.join(clear, "path", "left").join(guess, "path", "left").select("path", "utf8", F.coalesce("clear", "second", "third", F.lit(0).cast("long")).alias("header_line"))
-    body = filled.join(F.broadcast(at.select("path", "header_line")), "path").filter("line_no >= header_line")
+    body = filled.drop("utf8").join(held(at.select("path", "header_line")), "path").filter("line_no >= header_line")
     widest = body.groupBy("path").agg(F.max("n").alias("width"), F.min_by("text", "line_no").alias("header"))
     tokens = F.transform(cells(F.col("header")), lambda c: header_token(c))
     technology = F.when(F.exists(tokens, lambda t: t.contains("nrarfcn")), "5g").when(F.exists(tokens, lambda t: t.contains("earfcn")), "lte").otherwise("unknown")
     return at.join(widest, "path").withColumn("technology", technology)
 
 
+def _place(path: Column, paths: list[str]) -> Column:
+    """Which of the given paths, files or folders, a file belongs to."""
+    if len(paths) == 1:
+        return F.lit(0)
+    plain = [re.sub("^file:/+", "/", p).rstrip("/") for p in paths]
+    own = F.regexp_replace(path, "^file:/+", "/")
+    hits = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(plain)]), lambda x: (own == x["p"]) | own.endswith(F.concat(F.lit("/"), F.ltrim(F.lit("/"), x["p"]))) | own.startswith(F.concat(x["p"], F.lit("/"))) | own.contains(F.concat(F.lit("/"), F.btrim(x["p"], F.lit("/")), F.lit("/"))))
+    return F.coalesce(F.get(hits, F.lit(0))["i"], F.lit(len(paths)))
+
+
+def files(spark: SparkSession, paths: list[str], blocks: Blocks | None = None) -> tuple[DataFrame, list[FileMeta]]:
+    """The files' table with source_idx and layout, files in the order of their paths as given, and the layouts."""
+    rows = file_meta(spark, blocks or blocks_of(spark, paths)).withColumn("place", _place(F.col("path"), paths))
+    # Numbered and written once: one small row a file.
+    rows = checkpointed(numbered(rows, [F.col("place"), F.col("path")], "source_idx").withColumns({"source_idx": F.col("source_idx").cast("int"), "layout": F.xxhash64("header", "width")}))
+    widest = rows.agg(F.max("width")).first()[0] or 1
+    first = F.min_by(F.struct("path", "source_idx", "utf8", "header_line", "header", "width", "technology"), "source_idx")
+    found = rows.groupBy("layout").agg(first.alias("f")).select("layout", "f.*").withColumn("cut", _cut(F.col("header"), widest)).orderBy("source_idx").collect()
+    layouts, numbers = [], []
+    for r in found:
+        head = list(r.cut)
+        while head and not (head[-1] or "").strip():
+            head.pop()
+        layouts.append(FileMeta(r.path, r.source_idx, r.utf8, r.header_line, column_names(head, r.width), r.technology))
+        numbers.append((r.layout, len(numbers)))
+    numbers = spark.createDataFrame(numbers, "layout long, layout_no int")
+    return rows.join(F.broadcast(numbers), "layout").drop("layout", "place"), layouts
+
+
 def column_names(header: list[str | None], width: int) -> tuple[str, ...]:
     """Names for all cells: blanks get column_i, repeats a number, cells beyond the header extra_col_k."""
     out: list[str] = []
@@ -122,23 +180,8 @@ def _cut(text: Column, width: int) -> Column:
 
 
 def inspect(spark: SparkSession, paths: list[str]) -> list[FileMeta]:
-    """The files' metadata, in the order of their paths as given."""
-    rows = file_meta(spark, paths)
-    width = rows.agg(F.max("width")).first()[0] or 1
-    got = {r.path: r for r in rows.withColumn("cut", _cut(F.col("header"), width)).collect()}
-    order = {p: i for i, p in enumerate(paths)}
-
-    def index(path: str) -> int:
-        return next((i for p, i in order.items() if path == p or path.endswith("/" + p.lstrip("/").removeprefix("file:/").lstrip("/")) or path.startswith(p.rstrip("/") + "/") or f"/{p.strip('/')}/" in path), len(order))
-
-    out = []
-    for k, path in enumerate(sorted(got, key=lambda p: (index(p), p))):
-        r = got[path]
-        head = list(r.cut)
-        while head and not (head[-1] or "").strip():
-            head.pop()
-        out.append(FileMeta(path, k, r.utf8, r.header_line, column_names(head, r.width), r.technology))
-    return out
+    """The layouts of the files, each by the first file that has it, in their order."""
+    return files(spark, paths)[1]
 
 
 def token(name: str) -> str:
@@ -146,7 +189,7 @@ def token(name: str) -> str:
 
 
 def canonical(meta: list[FileMeta], mapping: dict[str, str] | None = None, fields: dict[str, tuple[str, ...]] = FIELDS) -> dict[str, dict[str, str]]:
-    """For each file (or layout, by the path of one file that has it), its columns' names in the union.
+    """For each layout, by its file's path, its columns' names in the union.
 
     Columns of equal token share the first spelling met. The first column of a file that
     means a logical field takes the field's common name: the mapped column's, else the
@@ -199,7 +242,8 @@ def read(spark: SparkSession, paths: list[str], mapping: dict[str, str] | None =
     the column of the state, whatever its name in a file, is called NR.
     """
     mapping = (mapping or {}) | ({"nr": NR} if states else {})
-    meta = inspect(spark, paths)
+    blocks = blocks_of(spark, paths)
+    table, meta = files(spark, paths, blocks)
     if check and (bad := ambiguous(meta)):
         raise ValueError("ambiguous columns: " + "; ".join(f"{t} in {p}" for p, t in bad))
     if check and (bad := missing_fields(meta, mapping, states)):
@@ -208,19 +252,17 @@ def read(spark: SparkSession, paths: list[str], mapping: dict[str, str] | None =
     union: list[str] = []
     for m in meta:
         union += [n for n in names[m.path].values() if n not in union]
-    table = spark.createDataFrame([(m.path, m.index, m.utf8, m.header_line, "\x1f".join(m.columns)) for m in meta], "path string, source_idx int, utf8 boolean, header_line long, layout string")
-    body = lines(spark, paths).join(F.broadcast(table), "path").filter("line_no > header_line")
-    body = body.select("source_idx", "layout", "line_no", decoded(F.col("raw"), F.col("utf8")).alias("text")).filter(F.trim(F.regexp_replace("text", ";", "")) != "")
-    parts = []
-    for layout in dict.fromkeys(m.columns for m in meta):
-        some = next(m for m in meta if m.columns == layout)
-        position = {n: i for i, n in ((i, names[some.path][c]) for i, c in enumerate(layout))}
-        cut = body.filter(F.col("layout") == "\x1f".join(layout)).withColumn("_c", _cut(F.col("text"), len(layout)))
-        parts.append(cut.select("source_idx", "line_no", *[F.coalesce(F.col(f"_c.c{position[n]}"), F.lit("")).alias(n) if n in position else F.lit("").alias(n) for n in union]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("seq", F.col("source_idx").cast("long") * (1 << 40) + F.col("line_no")).drop("line_no")
+    # For each layout, where each name of the union stands; -1 where it doesn't.
+    at = [{names[m.path][c]: i for i, c in enumerate(m.columns)} for m in meta]
+    places = spark.createDataFrame([(k, [own.get(n, -1) for n in union]) for k, own in enumerate(at)], "layout_no int, places array<int>")
+    table = table.select("path", "source_idx", "utf8", "header_line", "layout_no").join(F.broadcast(places), "layout_no").drop("layout_no")
+    body = lines(spark, blocks).join(blocks.held(table), "path").filter("line_no > header_line")
+    body = body.select("source_idx", "line_no", "places", decoded(F.col("raw"), F.col("utf8")).alias("text")).filter(F.trim(F.regexp_replace("text", ";", "")) != "")
+    width = max((len(m.columns) for m in meta), default=1)
+    cut = body.withColumn("cut", _cut(F.col("text"), width)).select("source_idx", "line_no", "places", F.array(*[F.col(f"cut.c{i}") for i in range(width)]).alias("row"))
+    seq = (F.col("source_idx").cast("long") * (1 << 40) + F.col("line_no")).alias("seq")
+    cell = lambda j: F.coalesce(F.get("row", F.get("places", F.lit(j))), F.lit(""))
+    return cut.select("source_idx", *[cell(j).alias(n) for j, n in enumerate(union)], seq)
 
 
 def suggest(columns: list[str]) -> dict[str, str]:
@@ -234,9 +276,12 @@ def suggest(columns: list[str]) -> dict[str, str]:
 
 
 def preview(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row for each file, without reading the data: encoding, header line, columns, technology, suggested mapping."""
-    rows = [(m.path, "utf-8" if m.utf8 else "latin1", m.header_line, list(m.columns), m.technology, suggest(list(m.columns))) for m in inspect(spark, paths)]
-    return spark.createDataFrame(rows, "path string, encoding string, header_line long, columns array<string>, technology string, mapping map<string,string>")
+    """One row for each file: encoding, header line, columns, technology, suggested mapping."""
+    table, meta = files(spark, paths)
+    rows = [(k, list(m.columns), suggest(list(m.columns))) for k, m in enumerate(meta)]
+    of_layout = spark.createDataFrame(rows, "layout_no int, columns array<string>, mapping map<string,string>")
+    encoding = F.when(F.col("utf8"), "utf-8").otherwise("latin1").alias("encoding")
+    return table.join(F.broadcast(of_layout), "layout_no").select("path", encoding, "header_line", "columns", "technology", "mapping")
 
 
 def _cells(table: DataFrame):
