@@ -1,7 +1,7 @@
 """Registered queries of the numbered operators.
 
-SQL is given for decontamination. For the others hash functions, models, markup and
-tokenizers are beyond it; the tests hold each against a brute-force version, a round
+SQL is given for decontamination, line dedup, ranked search and collocations. For the
+others hash functions, models, markup and tokenizers are beyond it; the tests hold each against a brute-force version, a round
 trip or held-out labels.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, quality_pu, quality_rules, secrets, sharding, simhash, token_counts
+from . import bpe, collocations, decontaminate, html_extract, langid, line_dedup, quality_pu, quality_rules, ranked, secrets, sharding, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,11 +77,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after those that many share are dropped; null texts have one empty line, each repeated row counts as a document."""
+    left = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item; null and empty texts have no terms and aren't found."""
+    return ranked.best(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language; null texts are empty, a null language is ``und``, repeated rows count each time."""
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_sharding, op3_decontamination, op4_simhash, op5_quality_rules,
         op6_bpe, op7_quality_classifier, op8_token_counts, op9_secrets, op10_html_extraction,
+        op11_line_dedup, op12_ranked_search, op13_collocations,
     )
 }
 
@@ -101,4 +118,38 @@ WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w
   UNION ALL SELECT doc_id, item_id, q + shift, a, n FROM sums WHERE n < 13 AND c = n AND a = n AND q = 0)
 SELECT doc_id, item_id, CAST(place AS BIGINT) AS place, CAST(agreed AS INT) AS agreed, CAST(words AS INT) AS words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreed DESC, place) AS r FROM hits) WHERE r = 1
 """
-ORACLES: dict[str, str] = {"op3_decontamination": LEAKS_SQL}
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LINES_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ l AS (SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+ k AS (SELECT row, doc_id, i, line, trim({_LOWERED.replace("text", "line")}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+ s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT row) >= 3),
+ m AS (SELECT k.*, s.last IS NOT NULL AND s.last IS DISTINCT FROM k.doc_id AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY row, doc_id
+"""
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED_SQL = rf"""
+WITH d AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents),
+ n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+ c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+ q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY 1, 2),
+ f AS (SELECT doc_id, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+ w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY t),
+ s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN n USING (doc_id), c GROUP BY 1, 2)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 10
+"""
+PHRASES_SQL = rf"""
+WITH p AS (SELECT lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s, range(1, 6) AS r(k) WHERE i + k - 1 <= len(w)),
+ f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+ n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+ c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+ cuts AS (SELECT c.lang, c.phrase, c.f AS a, j.j, l.f AS l, r.f AS r, n.n, CAST((CAST(1000 AS HUGEINT) * c.f * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM c JOIN range(1, 5) AS j(j) ON j.j < c.k JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j.j], ' ') JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j.j + 1:], ' ') JOIN n ON n.lang = c.lang),
+ low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ parts AS (SELECT c.lang, array_to_string(c.w[i.i:i.i + m.m - 1], ' ') AS phrase, max(c.f) AS longer FROM c JOIN range(2, 5) AS m(m) ON m.m < c.k JOIN range(1, 5) AS i(i) ON i.i + m.m - 1 <= c.k GROUP BY ALL)
+SELECT * FROM (SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INT) AS rank, phrase, a, l, r, n, score FROM low LEFT JOIN parts USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a) WHERE rank <= 2000
+"""
+ORACLES: dict[str, str] = {"op3_decontamination": LEAKS_SQL, "op11_line_dedup": LINES_SQL, "op12_ranked_search": RANKED_SQL, "op13_collocations": PHRASES_SQL}
