@@ -1,6 +1,10 @@
 """Files in, files out."""
 
+import random
+import re
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfield.config import CoverageConfig
@@ -31,6 +35,64 @@ def test_latin1_file(spark, tmp_path):
     assert text.read(spark, [p]).first()["poznámka"] == "áno"
 
 
+def header_by_reading(body):
+    """Header line of a file's lines, by the three rules in turn."""
+    rows = body.split("\n")
+    cut = [re.sub(";+$", "", r).split(";") if r.strip(" ") else None for r in rows]
+    named = [i for i, c in enumerate(cut) if c and {"latitude", "longitude", "mcc", "mnc", "rsrp"} <= {text.token(x) for x in c}]
+    if named:
+        return named[0]
+    wide = [i for i, c in enumerate(cut) if c and len(c) >= 6]
+    for i in wide:
+        ahead = [c for c in cut[i + 1 :] if c][:25]
+        if sum(len(c) >= max(6, len(cut[i]) - 1) for c in ahead) >= 2:
+            return i
+    return wide[0] if wide else 0
+
+
+@pytest.mark.parametrize("prefix,chunk", [(1000, 50_000), (30, 40), (1, 26)])
+def test_headers_of_all_kinds(spark, tmp_path, prefix, chunk):
+    """Named and unnamed headers near the start, far down, followed or not, against plain reading."""
+    draw = random.Random(7)
+    wide = lambda n: ";".join(f"v{k}" for k in range(n))
+    bodies = {
+        "named": f"meter;1\n\n{HEAD}\n" + "48.1;17.1;1;2;231;01;-80\n" * 3, "named_late": "meter;1\n" * 70 + f"{HEAD}\n48.1;17.1;1;2;231;01;-80", "followed": "a;b\n" + wide(7) + "\n" + (wide(6) + "\n") * 2,
+        "decoy": wide(9) + "\n" + "x\n" * 26 + (wide(9) + "\n") * 4, "decoy_late": "x;y\n" * 45 + wide(9) + "\n" + "x\n\n" * 26 + (wide(8) + "\n") * 4, "alone": "x\n" * 40 + wide(8) + "\n" + "y\n" * 33,
+        "decoy_then_named": (wide(8) + "\n") * 50 + f"{HEAD}\n48.1;17.1;1;2;231;01;-80\n", "narrow": "a;b;c\n1;2;3\n", "blank": "\n\n  \na;b\n", "quoted": '"a;b";c\n' + wide(7) + "\n" + wide(7) + "\n" + wide(7) + "\n",
+    }
+    for k in range(12):
+        bodies[f"random{k}"] = "\n".join(wide(draw.choice((1, 5, 6, 7, 12))) if draw.random() < draw.choice((0.05, 0.3)) else draw.choice(("", "x", "a;b")) for _ in range(draw.randrange(1, 160))) + "\nend"
+    paths = {write(tmp_path, f"{k}.csv", b): k for k, b in bodies.items()}
+    got = {r.path.rsplit("/", 1)[1][:-4]: (r.header_line, r.header) for r in text.file_meta(text.blocks_of(spark, list(paths)), prefix, chunk).collect()}
+    for name, body in bodies.items():
+        at = header_by_reading(body)
+        first = next(r for r in body.split("\n")[at:] if r.strip(" "))
+        assert got[name] == (at, first), name
+
+
+def test_lines_where_the_number_of_cores_changes(spark, tmp_path):
+    """Numbers come from the scan that read the lines, however later scans are cut."""
+    body = "".join(f"48.1;17.1;{k};{k % 504};231;1;-80\n" for k in range(60_000))
+    p = write(tmp_path, "a.csv", HEAD + "\n" + body)
+    name, old = "spark.sql.leafNodeDefaultParallelism", spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+    try:
+        for first, then in ((1, 8), (8, 1), (3, 7)):
+            spark.conf.set(name, first)
+            blocks = text.blocks_of(spark, [p])
+            spark.conf.set(name, then)
+            rows = text.lines(blocks).withColumn("n", F.row_number().over(Window.orderBy("line_no"))).select("n", F.col("raw").cast("string").alias("t")).collect()
+            assert len(rows) == 60_001
+            assert all(r.t == HEAD if r.n == 1 else r.t.split(";")[2] == str(r.n - 2) for r in rows)
+            spark.conf.set(name, first)
+            table = text.read(spark, [p])
+            spark.conf.set(name, then)
+            assert [r.frequency for r in table.orderBy("seq").collect()] == [str(k) for k in range(60_000)]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
 def test_union_of_aliases(spark, tmp_path):
     a = write(tmp_path, "a.csv", "Latitude;Longitude;NR-ARFCN;PCI;MCC;MNC;SSS-RSRP\n48.1;17.1;1;2;231;01;-80\n")
     b = write(tmp_path, "b.csv", "Lat;Lng;Frequency;PCI;MCC;MNC;RSRP\n48.2;17.2;3;4;231;01;-90\n")

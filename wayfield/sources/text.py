@@ -1,9 +1,14 @@
 """Reader of semicolon-separated measurement exports with unknown preambles and headers.
 
+The files are scanned once: their lines are written to the shared folder with the ids
+and the numbers of cells that this scan gives them, and everything after reads that
+table. A scan of text has no line numbers, and a second scan may be cut in other places,
+so ids of two scans must never meet.
+
 A table of one row for each file (encoding, header line, header, width, technology) is
 computed first and stays a table. Only the distinct layouts, headers with their width,
 come to the driver: as many as there are kinds of devices. Names, ambiguity and missing
-fields are settled for layouts. The files are then read in one pass: cells are cut by
+fields are settled for layouts. The lines are then read in one pass: cells are cut by
 ``from_csv`` and picked by the positions that the file's layout gives each name of the
 union.
 """
@@ -17,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import header_token, nr_state, parse_number, row_time_ms
-from ..functions.shared import checkpointed
+from ..functions.shared import checkpointed, written
 from ..operators.order import numbered
 
 #: Header tokens that mean the same logical field (fixed values); the first group member found in a file counts.
@@ -38,6 +43,10 @@ STATE_FIELDS = {"mcc": FIELDS["mcc"], "mnc": FIELDS["mnc"], "nr": NR_NAMES}
 TIMES = (("utc",), ("date", "time"))
 NR = "5G NR"
 LOOK_AHEAD = 25
+#: Cells of a header that is told by its width alone, and such cells below it in how many lines (fixed values).
+WIDE, FOLLOWERS = 6, 2
+#: Lines at a file's start in which its header is looked for first, and lines of a longer search handled together.
+PREFIX, CHUNK = 1000, 50_000
 SOURCE = "source_idx"
 #: Rows of a table of files or blocks (of about 200 bytes) up to which it is broadcast.
 BROADCAST_ROWS = 200_000
@@ -57,9 +66,9 @@ class FileMeta:
 
 @dataclass(frozen=True)
 class Blocks:
-    """The blocks of the files: the first row's id of each (one small row a block), and whether such tables may be broadcast."""
+    """The lines of the files as written (path, start, id, cells, valid, raw), and a small row for each block with its first id and number of lines."""
 
-    paths: list[str]
+    table: DataFrame
     firsts: DataFrame
     small: bool
 
@@ -68,26 +77,33 @@ class Blocks:
         return F.broadcast(table) if self.small else table
 
 
-def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    block = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
-    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), block.alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("raw"))
-
-
 def blocks_of(spark: SparkSession, paths: list[str]) -> Blocks:
-    """One pass that counts; the scans after it deal the same files to the same tasks."""
-    firsts = checkpointed(_scan(spark, paths).groupBy("block").agg(F.min("id").alias("first")))
-    return Blocks(paths, firsts, firsts.count() <= BROADCAST_ROWS)
+    """One scan of the text, written with its ids; ``cells`` is null for a blank line, ``valid`` tells UTF-8.
+
+    A block's lines are read in order by one task, and only the attempt that is committed
+    is written, so ids rise by one in each block of the table, wherever the scan was cut.
+    """
+    raw = F.col("value").cast("binary")
+    # Semicolons and quotes are the same bytes in all encodings.
+    plain = F.regexp_replace(F.decode(raw, "ISO-8859-1"), "^ï»¿", "")
+    n = F.when(F.trim(plain) != "", F.size(cells(F.regexp_replace(plain, '"[^"]*"', "q"))))
+    scan = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"),
+        n.alias("cells"), F.is_valid_utf8("value").alias("valid"), raw.alias("raw"),
+    )
+    table = written(scan, "lines")
+    firsts = checkpointed(table.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n_lines"), F.bool_and("valid").alias("utf8")))
+    return Blocks(table, firsts, firsts.count() <= BROADCAST_ROWS)
 
 
-def lines(spark: SparkSession, blocks: Blocks) -> DataFrame:
-    """(path, line_no, value as bytes) of all lines; numbers rise in each file, from 0 by one in its first block.
+def lines(blocks: Blocks) -> DataFrame:
+    """(path, line_no, cells, raw) of all lines; numbers rise in each file, from 0 by one in its first block.
 
-    A text scan has no row index, but a block's lines are read in order by one task. A line's
-    number is where its block starts plus its place in the block, which no line of the
-    next block reaches; so only one small row a block is gathered, never the lines.
+    A line's number is where its block starts plus its place in the block, which no line of
+    the next block reaches; so only one small row a block is gathered, never the lines.
     """
-    rows = _scan(spark, blocks.paths).join(blocks.held(blocks.firsts), "block")
-    return rows.select("path", (F.col("start") + F.col("id") - F.col("first")).alias("line_no"), "raw")
+    rows = blocks.table.join(blocks.held(blocks.firsts), ["path", "start"])
+    return rows.select("path", (F.col("start") + F.col("id") - F.col("first")).alias("line_no"), "cells", "raw")
 
 
 def decoded(raw: Column, utf8: Column) -> Column:
@@ -109,25 +125,93 @@ def _is_header(text: Column) -> Column:
     return measurement | states
 
 
-def file_meta(spark: SparkSession, blocks: Blocks) -> DataFrame:
-    """One row for each file: path, utf8, header_line, header, width, technology."""
-    rows, held = lines(spark, blocks), blocks.held
-    charset = rows.groupBy("path").agg(F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
-    text = rows.join(held(charset), "path").select("path", "line_no", "utf8", decoded(F.col("raw"), F.col("utf8")).alias("text"))
-    filled = text.filter(F.trim("text") != "").withColumn("n", F.size(cells(F.regexp_replace("text", '"[^"]*"', "q"))))
-    clear = filled.filter(_is_header(F.col("text"))).groupBy("path").agg(F.min("line_no").alias("clear"))
-    # Without a clear header: a wide line that wide lines follow. Only such files, in their own partitions.
-    rest = filled.join(clear, "path", "left_anti")
-    ahead = Window.partitionBy("path").orderBy("line_no").rowsBetween(1, LOOK_AHEAD)
-    width_list = F.collect_list("n").over(ahead)
-    wide = rest.withColumn("next", F.size(F.filter(width_list, lambda w: w >= F.greatest(F.lit(6), F.col("n") - 1))))
-    guess = wide.filter("n >= 6").groupBy("path").agg(F.min(F.when(F.col("next") >= 2, F.col("line_no"))).alias("second"), F.min("line_no").alias("third"))
-    at = charset.join(clear, "path", "left").join(guess, "path", "left").select("path", "utf8", F.coalesce("clear", "second", "third", F.lit(0).cast("long")).alias("header_line"))
-    body = filled.drop("utf8").join(held(at.select("path", "header_line")), "path").filter("line_no >= header_line")
-    widest = body.groupBy("path").agg(F.max("n").alias("width"), F.min_by("text", "line_no").alias("header"))
+def _clear(rows: DataFrame) -> DataFrame:
+    """(path, found) with the first line that names the fields; takes lines with ``utf8``."""
+    named = rows.filter(F.col("cells").isNotNull() & _is_header(decoded(F.col("raw"), F.col("utf8"))))
+    return named.groupBy("path").agg(F.min(F.struct("line_no", "raw")).alias("found"))
+
+
+def _followed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines of WIDE cells or more with ``wide``, how many of the next LOOK_AHEAD lines are about as wide, and ``seen``, how many there are."""
+    ahead = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(1, LOOK_AHEAD)
+    near = rows.withColumn("near", F.collect_list("cells").over(ahead)).filter(F.col("cells") >= WIDE)
+    return near.select("path", "line_no", "raw", F.size(F.filter("near", lambda w: w >= F.greatest(F.lit(WIDE), F.col("cells") - 1))).alias("wide"), F.size("near").alias("seen"))
+
+
+def _guess(rows: DataFrame) -> DataFrame:
+    """(path, found) of each file from ``_followed``: the first line that wide ones follow, else the first wide one."""
+    spot = F.struct("line_no", "raw")
+    of = rows.groupBy("path").agg(F.min(F.when(F.col("wide") >= FOLLOWERS, spot)).alias("second"), F.min(spot).alias("third"))
+    return of.select("path", F.coalesce("second", "third").alias("found"))
+
+
+def _in_prefix(head: DataFrame, whole: DataFrame) -> DataFrame:
+    """(path, found) of the files whose first lines settle where a wide header is.
+
+    They do if no line that may yet be followed by wide ones stands before the first that
+    is, or if they are the whole file.
+    """
+    near = _followed(head, ["path"]).join(whole, "path")
+    sure = F.col("whole") | (F.col("wide") >= FOLLOWERS) | (F.col("seen") == LOOK_AHEAD)
+    first_open = F.min(F.when(~sure, F.col("line_no")))
+    settled = near.groupBy("path").agg(first_open.alias("open"), F.min(F.when(F.col("wide") >= FOLLOWERS, F.col("line_no"))).alias("second"), F.bool_or("whole").alias("all"))
+    settled = settled.filter(F.col("all") | (F.col("second") < F.coalesce("open", F.lit((1 << 63) - 1)))).select("path")
+    return _guess(near.join(settled, "path", "left_semi"))
+
+
+def _in_chunks(rows: DataFrame, blocks: Blocks, chunk: int) -> DataFrame:
+    """(path, found) by all lines of some files, ``chunk`` neighbouring ones at a time with those ahead of them.
+
+    Filled lines are numbered by their place in their block and the filled lines of the blocks before it.
+    """
+    filled = blocks.table.filter(F.col("cells").isNotNull()).join(rows, "path", "left_semi")
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = filled.groupBy("path", "start").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("path", "start").orderBy("id"))
+    placed = filled.withColumn("inside", inside).join(blocks.held(counts), ["path", "start"]).join(blocks.held(blocks.firsts.select("path", "start", "first")), ["path", "start"])
+    placed = placed.select("path", (F.col("start") + F.col("id") - F.col("first")).alias("line_no"), "cells", "raw", (F.col("before") + F.col("inside") - 1).alias("rank"))
+    here = F.floor(F.col("rank") / chunk)
+    # The first lines of a chunk are ahead of the one before it, too.
+    also = F.when((F.col("rank") % chunk < LOOK_AHEAD) & (here > 0), F.array(here, here - 1)).otherwise(F.array(here))
+    dealt = placed.withColumn("chunk", F.explode(also))
+    return _guess(_followed(dealt, ["path", "chunk"]).groupBy("path", "line_no").agg(F.first("raw").alias("raw"), F.max("wide").alias("wide")))
+
+
+def file_meta(blocks: Blocks, prefix: int = PREFIX, chunk: int = CHUNK) -> DataFrame:
+    """One row for each file: path, utf8, header_line, header, width, technology.
+
+    A header is the first line that names the fields, else the first wide one that wide
+    lines follow, else the first wide one, else the first line. It is looked for in the first
+    ``prefix`` lines; only files where these don't settle it are searched whole.
+    """
+    held = blocks.held
+    of_file = checkpointed(blocks.firsts.groupBy("path").agg(F.bool_and("utf8").alias("utf8"), F.max(F.col("start") + F.col("n_lines")).alias("reach")))
+    text_of = lambda rows: rows.join(held(of_file.select("path", "utf8")), "path")
+    numbered_lines = lines(blocks)
+    # Numbers count from 0 by one in the first block, and jump after it.
+    head = checkpointed(text_of(numbered_lines.filter((F.col("line_no") < prefix) & F.col("cells").isNotNull())))
+    found = checkpointed(_clear(head))
+    rest = of_file.join(found, "path", "left_anti")
+    if rest.limit(1).count():
+        # Files without a clear header in the first lines: one pass over them for one further down, then by width.
+        late = _clear(text_of(numbered_lines.join(rest.select("path"), "path", "left_semi").filter(F.col("line_no") >= prefix)))
+        late = checkpointed(late)
+        rest = rest.join(late, "path", "left_anti")
+        whole = rest.select("path", (F.col("reach") <= prefix).alias("whole"))
+        early = checkpointed(_in_prefix(head, whole))
+        found = found.unionByName(late).unionByName(early)
+        left = rest.join(early, "path", "left_anti").select("path")
+        if left.limit(1).count():
+            found = found.unionByName(_in_chunks(left, blocks, chunk))
+        found = checkpointed(found)
+    at = checkpointed(of_file.join(found, "path", "left").select("path", "utf8", F.coalesce("found.line_no", F.lit(0).cast("long")).alias("header_line"), F.col("found.raw").alias("raw")))
+    body = numbered_lines.join(held(at.select("path", "header_line", F.col("raw").isNull().alias("unnamed"))), "path").filter((F.col("line_no") >= F.col("header_line")) & F.col("cells").isNotNull())
+    # Only narrow columns are read again, but for files without any header.
+    widest = body.groupBy("path").agg(F.max("cells").alias("width"), F.min(F.when(F.col("unnamed"), F.struct("line_no", "raw"))).alias("top"))
+    out = at.join(widest, "path").withColumn("header", decoded(F.coalesce("raw", "top.raw"), F.col("utf8")))
     tokens = F.transform(cells(F.col("header")), lambda c: header_token(c))
     technology = F.when(F.exists(tokens, lambda t: t.contains("nrarfcn")), "5g").when(F.exists(tokens, lambda t: t.contains("earfcn")), "lte").otherwise("unknown")
-    return at.join(widest, "path").withColumn("technology", technology)
+    return out.select("path", "utf8", "header_line", "header", "width", technology.alias("technology"))
 
 
 def _place(path: Column, paths: list[str]) -> Column:
@@ -142,7 +226,7 @@ def _place(path: Column, paths: list[str]) -> Column:
 
 def files(spark: SparkSession, paths: list[str], blocks: Blocks | None = None) -> tuple[DataFrame, list[FileMeta]]:
     """The files' table with source_idx and layout, files in the order of their paths as given, and the layouts."""
-    rows = file_meta(spark, blocks or blocks_of(spark, paths)).withColumn("place", _place(F.col("path"), paths))
+    rows = file_meta(blocks or blocks_of(spark, paths)).withColumn("place", _place(F.col("path"), paths))
     # Numbered and written once: one small row a file.
     rows = checkpointed(numbered(rows, [F.col("place"), F.col("path")], "source_idx").withColumns({"source_idx": F.col("source_idx").cast("int"), "layout": F.xxhash64("header", "width")}))
     widest = rows.agg(F.max("width")).first()[0] or 1
@@ -256,7 +340,7 @@ def read(spark: SparkSession, paths: list[str], mapping: dict[str, str] | None =
     at = [{names[m.path][c]: i for i, c in enumerate(m.columns)} for m in meta]
     places = spark.createDataFrame([(k, [own.get(n, -1) for n in union]) for k, own in enumerate(at)], "layout_no int, places array<int>")
     table = table.select("path", "source_idx", "utf8", "header_line", "layout_no").join(F.broadcast(places), "layout_no").drop("layout_no")
-    body = lines(spark, blocks).join(blocks.held(table), "path").filter("line_no > header_line")
+    body = lines(blocks).join(blocks.held(table), "path").filter("cells is not null and line_no > header_line")
     body = body.select("source_idx", "line_no", "places", decoded(F.col("raw"), F.col("utf8")).alias("text")).filter(F.trim(F.regexp_replace("text", ";", "")) != "")
     width = max((len(m.columns) for m in meta), default=1)
     cut = body.withColumn("cut", _cut(F.col("text"), width)).select("source_idx", "line_no", "places", F.array(*[F.col(f"cut.c{i}") for i in range(width)]).alias("row"))
