@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import checkpointed
+from ..functions.shared import checkpointed, written
+from .medians import BROADCAST_ROWS, medians
+from .placement import KEY, placements
 
 CHUNK = 100_000
 SLACK = 1e-9
@@ -18,8 +20,8 @@ SLACK = 1e-9
 SAMPLES = 2000
 NEAR = 75.0
 NO_LENGTH = 1e-6
-
-KEY = ["campaign", "source_idx"]
+#: Rows of a side of a cell above which the cell is dealt to several tasks (a parameter).
+CELL_ROWS = 2000
 
 
 def _campaign(df: DataFrame) -> DataFrame:
@@ -94,17 +96,38 @@ def samples(cum: DataFrame, most: int = SAMPLES) -> DataFrame:
     return every.filter(~F.coalesce(same, F.lit(False))).select(*KEY, "k", "x", "y", "cum")
 
 
-def proximity(points: DataFrame, near: float = NEAR) -> DataFrame:
+def proximity(points: DataFrame, near: float = NEAR, most: int = CELL_ROWS) -> DataFrame:
     """Pairs of samples of two tracks of a campaign, at most ``near`` metres apart.
 
-    One side is copied to the nine cells around it, then cells are joined. Samples are at
-    most SAMPLES + 1 a track, which bounds the pairs.
+    One side is copied to the nine cells around it, then cells are joined. Cells where a
+    side has more than ``most`` rows are found first, and both sides of these dealt to
+    parts: a row goes to its own part and meets every part of the other side, so no task
+    has more than about ``most`` by ``most`` rows of a cell that many tracks share.
     """
     cell = lambda c: F.floor(F.col(c) / near)
-    known = points.select("campaign", F.col("source_idx").alias("known"), F.col("k").alias("known_k"), F.col("cum").alias("known_cum"), F.col("x").alias("kx"), F.col("y").alias("ky"), cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.array(*[F.struct((cell("x") + dx).alias("cx"), (cell("y") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    known = points.select("campaign", F.col("source_idx").alias("known"), F.col("k").alias("known_k"), F.col("cum").alias("known_cum"), F.col("x").alias("kx"), F.col("y").alias("ky"), cell("x").alias("cx"), cell("y").alias("cy"))
     other = points.select("campaign", F.col("source_idx").alias("unknown"), F.col("k").alias("unknown_k"), F.col("cum").alias("unknown_cum"), "x", "y", F.explode(around).alias("c")).select("*", "c.cx", "c.cy").drop("c")
-    pairs = known.join(other, ["campaign", "cx", "cy"]).filter("known <> unknown").filter(F.hypot(F.col("kx") - F.col("x"), F.col("ky") - F.col("y")) <= near)
+    key = ["campaign", "cx", "cy"]
+    size = known.groupBy(*key).agg(F.count("*").alias("n_known")).join(other.groupBy(*key).agg(F.count("*").alias("n_other")), key)
+    parts = lambda n: F.ceil(F.col(n) / most).cast("int")
+    heavy = checkpointed(size.filter((F.col("n_known") > most) | (F.col("n_other") > most)).select(*key, parts("n_known").alias("known_parts"), parts("n_other").alias("other_parts")))
+    # At most a row for each ``most`` rows.
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy
+
+    def dealt(side: DataFrame, own: str, across: str, names: list[str]) -> DataFrame:
+        """Each row in its own part, once for each part of the other side."""
+        every = F.sequence(F.lit(0), F.coalesce(across, F.lit(1)) - 1)
+        mine = F.pmod(F.xxhash64(*names), F.coalesce(own, F.lit(1))).cast("int")
+        met = side.join(heavy, key, "left").withColumns({own.replace("parts", "part"): mine, across.replace("parts", "part"): F.explode(every)})
+        return met.drop("known_parts", "other_parts")
+
+    left = dealt(known, "known_parts", "other_parts", ["known", "known_k"])
+    right = dealt(other, "other_parts", "known_parts", ["unknown", "unknown_k"])
+    # Pairs outnumber the samples by far, so partitions aren't to be made few by the samples' size.
+    by = [*key, "known_part", "other_part"]
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(tasks, *by).join(right.repartition(tasks, *by), by).filter("known <> unknown").filter(F.hypot(F.col("kx") - F.col("x"), F.col("ky") - F.col("y")) <= near)
     return pairs.select("campaign", "known", "unknown", "known_k", "unknown_k", "known_cum", "unknown_cum")
 
 
@@ -113,86 +136,28 @@ def alignment(pairs: DataFrame, track_table: DataFrame, points: DataFrame, near:
 
     offset is the median of known minus unknown distance over the sample pairs, mad
     its median absolute deviation. A pair needs two distinct samples on both sides
-    (one, if a track has one) and a mad of at most ``near``.
+    (one, if a track has one) and a mad of at most ``near``. Sample pairs are written
+    once; medians count them in ranges and gather none of them.
     """
     length = track_table.select("campaign", F.col("source_idx").alias("unknown"), F.col("length").alias("unknown_length"))
-    both = pairs.join(length, ["campaign", "unknown"]).select(
+    length = F.broadcast(length) if track_table.count() <= BROADCAST_ROWS else length  # a row a track
+    both = written(pairs, "sample-pairs").join(length, ["campaign", "unknown"]).select(
         "*", F.explode(F.array(F.lit(False), F.lit(True))).alias("reversed")
     ).withColumn("delta", F.col("known_cum") - F.when(F.col("reversed"), F.col("unknown_length") - F.col("unknown_cum")).otherwise(F.col("unknown_cum")))
     key = ["campaign", "known", "unknown", "reversed"]
-    middle = both.groupBy(*key).agg(F.percentile("delta", F.lit(0.5)).alias("offset"), F.count("*").alias("n"), F.countDistinct("known_k").alias("known_n"), F.countDistinct("unknown_k").alias("unknown_n"))
-    spread = both.join(middle.select(*key, "offset"), key).groupBy(*key).agg(F.percentile(F.abs(F.col("delta") - F.col("offset")), F.lit(0.5)).alias("mad"))
+    several = lambda c: F.min(c) < F.max(c)
+    counts = both.groupBy(*key).agg(F.count("*").alias("n"), F.min("delta").alias("lo"), F.max("delta").alias("hi"), several("known_k").alias("known_more"), several("unknown_k").alias("unknown_more"))
     sizes = points.groupBy("campaign", "source_idx").agg(F.count("*").alias("size"))
     side = lambda name: sizes.select("campaign", F.col("source_idx").alias(name), F.col("size").alias(f"{name}_size"))
-    out = middle.join(spread, key).join(side("known"), ["campaign", "known"]).join(side("unknown"), ["campaign", "unknown"])
-    need = F.least(F.lit(2), "known_size", "unknown_size")
-    return out.filter((F.col("known_n") >= need) & (F.col("unknown_n") >= need) & (F.col("mad") <= near)).select(*key, "offset", "n", "mad")
-
-
-def placements(pairs: DataFrame, track_table: DataFrame, size: float) -> DataFrame:
-    """Direction and offset of every track on its campaign's route.
-
-    The longest track is laid down first. Tracks that match a placed one follow, then
-    the rest is joined by the nearest fitting ends. Input is one row a track and a few a
-    pair of overlapping tracks, never points; campaigns run in parallel.
-    """
-    import pandas as pd
-
-    ends = track_table.select("campaign", "source_idx", "length", F.col("first.x").alias("ax"), F.col("first.y").alias("ay"), F.col("last.x").alias("bx"), F.col("last.y").alias("by"))
-    schema = "campaign int, source_idx int, reversed boolean, offset double"
-
-    def place(key, tracks: pd.DataFrame, matches: pd.DataFrame) -> pd.DataFrame:
-        table = tracks.sort_values("source_idx").set_index("source_idx")
-        order, length = list(table.index), table["length"].to_dict()
-        by_unknown = {u: list(g.itertuples(index=False)) for u, g in matches.groupby("unknown")}
-        placed: dict[int, tuple[bool, float]] = {max(order, key=lambda t: (length[t], -order.index(t))): (False, 0.0)}
-
-        def offers(t):
-            for m in by_unknown.get(t, ()):
-                if m.known in placed:
-                    turned, start = placed[m.known]
-                    shift = m.offset if not turned else length[m.known] - length[t] - m.offset
-                    yield -m.n, m.mad, order.index(m.known), bool(m.reversed) != turned, start + shift
-
-        while True:
-            grown = False
-            for t in order:
-                if t not in placed and (best := min(offers(t), default=None)):
-                    placed[t] = best[3:]
-                    grown = True
-            if not grown:
-                break
-
-        def ends_of(t, turned, start):
-            """(x, y, distance) of a track's two ends as laid down."""
-            r = table.loc[t]
-            a, b = (length[t], 0.0) if turned else (0.0, length[t])
-            return (r.ax, r.ay, a + start), (r.bx, r.by, b + start)
-
-        for t in order:
-            if t in placed:
-                continue
-            best = None
-            for known in order:
-                if known not in placed:
-                    continue
-                low, high = sorted(ends_of(known, *placed[known]), key=lambda e: e[2])
-                if length[known] == 0:
-                    low, high = ends_of(known, *placed[known])
-                for turned in (False, True):
-                    first, last = sorted(ends_of(t, turned, 0.0), key=lambda e: e[2])
-                    for here, own, sign in ((low, last, -1), (high, first, 1)):
-                        gap = ((here[0] - own[0]) ** 2 + (here[1] - own[1]) ** 2) ** 0.5
-                        if best is None or gap < best[0]:
-                            best = (gap, turned, here[2] - own[2] + sign * gap)
-            top = max(e[2] for k, at in placed.items() for e in ends_of(k, *at))
-            placed[t] = best[1:] if best else (False, top + size)
-        lowest = min(e[2] for k, at in placed.items() for e in ends_of(k, *at))
-        rows = [(key[0], t, placed[t][0], placed[t][1] - lowest) for t in order]
-        return pd.DataFrame(rows, columns=["campaign", "source_idx", "reversed", "offset"])
-
-    matched = pairs.select(F.col("campaign").alias("of"), "known", "unknown", "reversed", "offset", "n", "mad")
-    return ends.groupBy("campaign").cogroup(matched.groupBy("of")).applyInPandas(place, schema)
+    counts = counts.join(side("known"), ["campaign", "known"]).join(side("unknown"), ["campaign", "unknown"])
+    enough = (F.least("known_size", "unknown_size") < 2) | (F.col("known_more") & F.col("unknown_more"))
+    counts = checkpointed(counts.filter(enough).select(*key, "n", "lo", "hi"))
+    middle = checkpointed(medians(both, key, "delta", "offset", counts).join(counts, key))
+    held = F.broadcast(middle) if middle.count() <= BROADCAST_ROWS else middle
+    spread = both.join(held.select(*key, "offset"), key).withColumn("off", F.abs(F.col("delta") - F.col("offset")))
+    bounds = middle.select(*key, F.lit(0.0).alias("lo"), F.greatest(F.abs(F.col("lo") - F.col("offset")), F.abs(F.col("hi") - F.col("offset"))).alias("hi"), "n")
+    out = middle.join(medians(spread, key, "off", "mad", bounds), key)
+    return out.filter(F.col("mad") <= near).select(*key, "offset", "n", "mad")
 
 
 def on_route(cum: DataFrame, placed: DataFrame) -> DataFrame:
@@ -264,7 +229,7 @@ def common_route(df: DataFrame, size: float, most: int = SAMPLES) -> DataFrame:
     """Points of all tracks with their distance on the campaign's common route and their segment."""
     # Read five times below, so written once.
     cum = checkpointed(cumulative(df))
-    table = tracks(cum)
-    points = samples(cum, most)
-    placed = placements(alignment(proximity(points), table, points), table, size)
+    table = checkpointed(tracks(cum))
+    points = checkpointed(samples(cum, most))
+    placed = placements(alignment(proximity(points), table, points), table)
     return on_route(cum, placed).withColumn("segment_id", segment_id(F.col("distance"), size))
