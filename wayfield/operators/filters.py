@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name
 from ..functions.scalars import datetime_ms, parse_number
+from ..functions.search import count_upto
+
+#: Disjoint windows up to which a filter is one condition of the plan.
+COMPILED = 32
 
 
 def blank(c: str) -> Column:
@@ -38,16 +43,38 @@ def window_bounds(df: DataFrame, windows: list[tuple[str, str]]) -> list[tuple[i
     return [(r.start, r.end) for r in rows]
 
 
+def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint closed windows in order that hold the same times."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(windows):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def exclude_windows(df: DataFrame, windows: list[tuple[int, int]], time: str = "time_ms", check: bool = False) -> DataFrame:
-    """Without rows inside any closed window; rows without a time stay."""
+    """Without rows inside any closed window; rows without a time stay.
+
+    Windows are merged; a few make a condition, more are two sorted arrays in one row, in
+    which a row's time is looked up by halving.
+    """
     if not windows:
         return df
     if check and df.filter(F.col(time).isNotNull()).limit(1).count() == 0:
         raise ValueError("time windows need a time in some row")
-    inside = F.lit(False)
-    for start, end in windows:
-        inside = inside | F.col(time).between(start, end)
-    return df.filter(F.col(time).isNull() | ~inside)
+    apart = merged(windows)
+    if len(apart) <= COMPILED:
+        inside = F.lit(False)
+        for start, end in apart:
+            inside = inside | F.col(time).between(start, end)
+        return df.filter(F.col(time).isNull() | ~inside)
+    starts, ends = free_name(df, "starts"), free_name(df, "ends")
+    table = df.sparkSession.createDataFrame([tuple(map(list, zip(*apart)))], f"`{starts}` array<long>, `{ends}` array<long>")
+    at = count_upto(F.col(starts), len(apart), F.col(time))
+    # One row: 16 bytes a window of the settings.
+    return df.join(F.broadcast(table), (at > 0) & (F.get(F.col(ends), at - 1) >= F.col(time)), "left_anti")
 
 
 def exclude_rows(df: DataFrame, ids: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import free_name
 from ..functions.scalars import header_token, number_text, parse_number
+from ..functions.search import count_upto
 
 #: Groups up to which matching is one expression of the plan; more are looked up in a table.
 COMPILED = 48
@@ -106,8 +107,36 @@ def match(df: DataFrame, rules: list[Rule], mapping: dict[str, str] | None = Non
 _GROUP = "struct<size: int, k: int, conditions: array<struct<f: int, low: double, high: double>>>"
 
 
+def _stretches(rows: list[tuple], f: int) -> tuple[list[float], list[list[tuple]]]:
+    """Sorted ends of the groups' ranges of field ``f``, and a tree over the stretches between them.
+
+    Stretch i has the numbers with i ends at or below. Node 1 is the whole line, node n has
+    nodes 2n and 2n + 1 as halves, and the stretches are the last nodes. A group is at the few
+    nodes that make up its range. Of those with no other condition a node keeps the best.
+    """
+    own = [(row, next((low, high) for g, low, high in row[2] if g == f)) for row in rows]
+    ends = sorted({e for _, range_ in own for e in range_})
+    number = {e: i for i, e in enumerate(ends)}
+    leaves = 1 << len(ends).bit_length()
+    nodes: list[list[tuple]] = [[] for _ in range(2 * leaves)]
+    for row, (low, high) in own:
+        a, b = leaves + number[low] + 1, leaves + number[high] + 1
+        while a < b:
+            if a & 1:
+                nodes[a].append(row)
+                a += 1
+            if b & 1:
+                b -= 1
+                nodes[b].append(row)
+            a, b = a // 2, b // 2
+    for held in nodes:
+        alone = max((r for r in held if len(r[2]) == 1), default=None)
+        held[:] = [r for r in held if r is alone or len(r[2]) > 1 and (alone is None or r[:2] > alone[:2])]
+    return ends, nodes
+
+
 def _looked_up(at: DataFrame, held: str, names: list[str], groups: list[tuple], ordered: list[Rule]) -> DataFrame:
-    """``match`` by tables: groups with an exact condition are joined by its value, the others are tried on every row."""
+    """``match`` by tables: groups with an exact condition are joined by its value, those of ranges found by the stretch of a value."""
     spark = at.sparkSession
     exact: dict[int, dict[float, list]] = {}
     rest = []
@@ -133,11 +162,24 @@ def _looked_up(at: DataFrame, held: str, names: list[str], groups: list[tuple],
         at = at.join(table, F.get(F.col(held), F.lit(f)) == F.col(key), "left")
         tried.append(F.coalesce(F.col(own), F.array().cast(f"array<{_GROUP}>")))
         dropped += [key, own]
-    if rest:
-        own = free_name(at, "groups_rest")
-        at = at.crossJoin(F.broadcast(spark.createDataFrame([(rest,)], f"`{own}` array<{_GROUP}>")))  # one row
-        tried.append(F.col(own))
-        dropped.append(own)
+    ends_of: dict[int, set[float]] = {}
+    for row in rest:
+        for f, low, high in row[2]:
+            ends_of.setdefault(f, set()).update((low, high))
+    ranged: dict[int, list] = {}
+    for row in rest:
+        if all(low < high for _, low, high in row[2]):  # else it holds for no number
+            ranged.setdefault(max((len(ends_of[f]), f) for f, _, _ in row[2])[1], []).append(row)
+    for f, rows in sorted(ranged.items()):
+        ends, nodes = _stretches(rows, f)
+        key, own = free_name(at, f"ends_{f}"), free_name(at, f"stretches_{f}")
+        table = spark.createDataFrame([(ends, nodes)], f"`{key}` array<double>, `{own}` array<array<{_GROUP}>>")
+        at = at.crossJoin(F.broadcast(table))  # one row
+        leaf = count_upto(F.col(key), len(ends), F.get(F.col(held), F.lit(f))) + F.lit(len(nodes) // 2)
+        above = F.array(*[F.lit(j) for j in range((len(nodes) // 2).bit_length())])
+        met = F.flatten(F.transform(above, lambda j: F.get(F.col(own), F.call_function("shiftright", leaf, j))))
+        tried.append(F.coalesce(met, F.array().cast(f"array<{_GROUP}>")))
+        dropped += [key, own]
     inside = lambda c: _holds_at(F.get(F.col(held), c["f"]), c)
     fitting = F.filter(F.concat(*tried), lambda g: F.forall(g["conditions"], inside))
     best = F.array_max(F.transform(fitting, lambda g: F.struct(g["size"].alias("size"), g["k"].alias("k"))))
