@@ -211,8 +211,9 @@ def zones_file(spark, sf_dir):
     best = order.checkpointed(_best(spark, sf_dir, adapter.SPREAD))
     custom = outputs.added_operators(spark, tuple(densify.custom_list(CUSTOM)))
     every = best.select("zone_x", "zone_y").distinct()
-    placed = [outputs.positions(r, SIZE) for r in (best, densify.empty_zones(best, densify.operators_of(rows), every), outputs.added_rows(best, every, custom, rows))]
-    made = outputs.zones_file(*placed, cells, outputs.layout_of(cells, {}), measured_coordinates=True)
+    templates = order.checkpointed(densify.operators_of(rows))
+    placed = [outputs.positions(r, SIZE) for r in (best, densify.empty_zones(best, templates, every), outputs.added_rows(best, every, custom, rows))]
+    made = outputs.zones_file(*placed, cells, outputs.layout_of(cells, {}), measured_coordinates=True, templates=templates)
     return made.withColumns({c: F.when(F.col("part") == 0, F.col(c)) for c in ("Latitude", "Longitude")})
 
 

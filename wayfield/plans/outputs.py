@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import int_like, nr_state, number_text, numeric_then_text, parse_number
+from ..functions.shared import checkpointed
 from ..operators import densify, zones
 from ..sources import sinks, text
 
@@ -15,6 +16,8 @@ from ..sources import sinks, text
 EMPTY_NOTES = {False: " # Prázdna zóna - automaticky vygenerovaná", True: " # Prázdny úsek - automaticky vygenerovaný"}
 ADDED_NOTES = {False: " # Prázdna zóna - vlastný operátor", True: " # Prázdny úsek - vlastný operátor"}
 ROWS, FREQUENCIES = "Riadky_v_zone", "Frekvencie_v_zone"
+#: Templates (a row an operator, of some 1 kB) up to which they are sent around.
+TEMPLATES = 20_000
 
 
 @dataclass
@@ -63,22 +66,34 @@ def _filled(rows: DataFrame, layout: Layout, values: dict[str, Column], part: in
     return rows.select(*keys, F.lit(part).alias("part"), *[cell(c).alias(c) for c in layout.columns], count.cast("string").alias(ROWS), note.alias(FREQUENCIES))
 
 
-def zones_file(best: DataFrame, empty: DataFrame | None, added: DataFrame | None, cells: DataFrame, layout: Layout, measured_coordinates: bool) -> DataFrame:
+def first_rows(own: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The rows of ``own`` whose ``seq`` is a ``template_seq`` of ``seqs``, written: one an operator, and sent around if these are few.
+
+    All made rows of an operator have the same template, so they must not meet it by its number.
+    """
+    seqs = checkpointed(seqs.select(F.col("template_seq").alias("seq")).distinct())
+    few = seqs.count() <= TEMPLATES
+    found = checkpointed(own.join(F.broadcast(seqs) if few else seqs, "seq", "left_semi"))
+    return F.broadcast(found) if few else found
+
+
+def zones_file(best: DataFrame, empty: DataFrame | None, added: DataFrame | None, cells: DataFrame, layout: Layout, measured_coordinates: bool, templates: DataFrame | None = None) -> DataFrame:
     """Rows of the zones file: measured zones (part 0), empty ones (1) and those of added operators (2).
 
     ``best``, ``empty`` and ``added`` have lat and lon of their zones as text; ``cells`` are
     the input's cells by ``seq``. A measured row is the first of its group, with the
     group's means; an empty one the first of its operator; an added one the first of
-    all. ROWS holds how many rows are behind a zone: the rows themselves are
+    all. ``templates`` has the ``template_seq`` of each operator; without it they are taken
+    from ``empty``, which is then made twice. ROWS holds how many rows are behind a zone: the rows themselves are
     ``zones.members``, as a group may hold a large part of all rows.
     """
     segments = "segment_id" in best.columns
     taken = [c for c in layout.columns if c in cells.columns]
     own = cells.select("seq", *[F.col(f"`{c}`").alias(f"cell_{i}") for i, c in enumerate(taken)])
 
-    def met(rows: DataFrame, key: str) -> DataFrame:
+    def met(rows: DataFrame, key: str, firsts: DataFrame = own) -> DataFrame:
         """Zone, values (prefixed) and cells under their own names."""
-        joined = rows.join(own, F.col(key) == F.col("seq"))
+        joined = rows.join(firsts, F.col(key) == F.col("seq"))
         values = [F.col(c).alias(f"v_{c}") for c in rows.columns if c not in zones.zone_columns(rows)]
         return joined.select(*zones.zone_columns(rows), *values, *[F.col(f"cell_{i}").alias(c) for i, c in enumerate(taken)])
 
@@ -91,9 +106,11 @@ def zones_file(best: DataFrame, empty: DataFrame | None, added: DataFrame | None
     for f in ("latitude", "longitude"):
         values[f] = plain_coordinate(cell(f)) if measured_coordinates else v(f[:3])
     out = _filled(measured, layout, values, 0, v("n"), F.concat(v("frequency"), F.lit(" # Meraní: "), v("n").cast("string")))
-    for part, rows, notes in ((1, empty, EMPTY_NOTES), (2, added, ADDED_NOTES)):
+    for part, rows, notes, seqs in ((1, empty, EMPTY_NOTES, templates), (2, added, ADDED_NOTES, None)):
         if rows is not None:
-            made = met(rows, "template_seq")
+            # Added operators have the first row of all.
+            seqs = first_seq(cells) if part == 2 else rows if seqs is None else seqs
+            made = met(rows, "template_seq", first_rows(own, seqs))
             values = {"rsrp": F.lit("-174"), "mcc": v("mcc"), "mnc": v("mnc"), "nr": F.lit("no"), "latitude": v("lat"), "longitude": v("lon")}
             if layout.has("sinr"):
                 values["sinr"] = float_text(cell("sinr"))

@@ -24,6 +24,7 @@ class Result:
     summary: DataFrame
     added: DataFrame | None = None  # zones of operators added by hand
     starts: DataFrame | None = None  # where segments begin
+    templates: DataFrame | None = None  # the first row of each operator
     zones: DataFrame | None = None  # rows of the zones file
     layout: outputs.Layout | None = None
 
@@ -42,7 +43,7 @@ def coverage(rows: DataFrame, cfg: CoverageConfig) -> Result:
         placed = placed.withColumns({k: operator_code(F.col(k)) for k in zones.OPERATOR})
     stats = zones.frequency_stats(placed)
     best = order.checkpointed(zones.best_frequency(stats, cfg.rsrp_threshold, cfg.sinr_threshold))
-    every = empty = added = starts = None
+    every = empty = added = starts = templates = None
     if cfg.segments:
         measured = route.segment_starts(placed, cfg.size).select("segment_id", "x", "y")
         starts = order.checkpointed(measured.unionByName(route.gap_segments(placed, cfg.size).select("segment_id", "x", "y")) if cfg.densify else measured)
@@ -50,14 +51,15 @@ def coverage(rows: DataFrame, cfg: CoverageConfig) -> Result:
     if cfg.densify:
         every = best.select(*zones.zone_columns(best)).distinct()
         every = every.union(starts.select("segment_id")).distinct() if cfg.segments else every
-        empty = densify.empty_zones(best, densify.operators_of(placed), every)
+        templates = order.checkpointed(densify.operators_of(placed))
+        empty = densify.empty_zones(best, templates, every)
     counts = zones.operator_stats(best, is_good, total_zones=every)
     if cfg.densify and cfg.custom_operators:
         custom = outputs.added_operators(rows.sparkSession, cfg.custom_operators)
         added = outputs.added_rows(best, every, custom, rows)
         counts = densify.with_placeholders(counts, custom, best, every)
     summary = best.agg(F.countDistinct("segment_id").alias("unique_zones"), F.countDistinct(*zones.OPERATOR).alias("unique_operators"), F.count("*").alias("zone_rows")) if cfg.segments else zones.coverage_summary(best, cfg.size)
-    return Result(best, empty, counts, summary, added, starts)
+    return Result(best, empty, counts, summary, added, starts, templates)
 
 
 def export(result: Result, cells: DataFrame, cfg: CoverageConfig) -> Result:
@@ -65,7 +67,7 @@ def export(result: Result, cells: DataFrame, cfg: CoverageConfig) -> Result:
     layout = outputs.layout_of(cells, cfg.fields, cfg.mobile)
     placed = lambda rows: None if rows is None else outputs.positions(rows, cfg.size, result.starts)
     result.layout = layout
-    result.zones = outputs.zones_file(placed(result.best), placed(result.empty), placed(result.added), cells, layout, cfg.zone_mode == "original")
+    result.zones = outputs.zones_file(placed(result.best), placed(result.empty), placed(result.added), cells, layout, cfg.zone_mode == "original", result.templates)
     return result
 
 
