@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wayfield.llm import collocations, line_dedup, ranked
+from wayfield.llm import collocations, line_dedup, ranked, token_counts
 from wayfield.llm.queries import QUERIES, table
 
 DATA = "/root/testdata/sf0.001"
@@ -29,6 +29,23 @@ def odd(spark):
     return df.withColumns({c: F.lit("x") for c in ("n_lines", "n_dropped", "id", "keys", "drops", "_k1", "rank", "score", "n", "w1", "phrase", "f", "shard", "query", "terms")})
 
 
+# ---- token counts of long runs of blanks
+
+
+def test_long_runs_of_blanks(spark, monkeypatch):
+    made = token_counts.encoding(token_counts.default_path())
+    runs = ["\n" * 40 + " " * 30, " " * 9 + "\u3000" * 3, "\t \t \t" * 7, " \x85\xa0" * 9, "\r\n" * 8 + " "]
+    texts = [a + r + b for r in runs for a in ("", "word", "it's", "!") for b in ("", "x", "'s", "7 ", "\x1c", "...", "é" + r)]
+    monkeypatch.setattr(token_counts, "RUN", 5)
+    monkeypatch.setattr(token_counts, "_RUNS", [])
+    assert [token_counts.counted(t, made) for t in texts] == [len(made.encode_ordinary(t)) for t in texts]
+    monkeypatch.undo()
+    monkeypatch.setattr(token_counts, "_RUNS", [])
+    long = [(1, " " * 1_000_000), (2, "\n" * 1_000_000 + "end"), (3, "a" + " " * 2_000_000 + "b" + "\n" * 1_000_000)]
+    got = token_counts.histogram(spark.createDataFrame(long, "doc_id long, text string")).collect()
+    assert sum(r.n_docs for r in got) == 3
+
+
 # ---- line dedup
 
 

@@ -46,14 +46,39 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Characters of a run of blanks from which it is encoded by itself: the library's pattern overflows its stack on runs of about a million.
+RUN = 50_000
+_RUNS: list = []
+
+
+def counted(text: str, encoding) -> int:
+    """Number of tokens of a text, of any length.
+
+    The pattern takes a run of blanks before other text but for its last character as one
+    piece, and one at the end as a whole. So a long run is such a piece, and the text
+    goes on with its last character.
+    """
+    if not _RUNS:
+        import re
+
+        # What the pattern's \s matches: the characters that Unicode calls white space (fixed values).
+        _RUNS.append(re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN))
+    total, at = 0, 0
+    for run in _RUNS[0].finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def n_tokens(text: Column, path: str | None = None) -> Column:
     """Number of tokens of a whole text; 0 for null. Strings of special tokens are ordinary text."""
     path = path or default_path()
 
     @arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        encode = encoding(path).encode_ordinary
-        return pa.array([len(encode(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
+        own = encoding(path)
+        return pa.array([counted(t, own) if t else 0 for t in texts.to_pylist()], pa.int64())
 
     return run(text)
 
