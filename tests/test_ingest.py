@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfield.config import CoverageConfig
 from wayfield.functions import geo
+from wayfield.functions.scalars import operator_code
 from wayfield.operators import densify, rules, sync
 from wayfield.plans.run import run
 from wayfield.sources import sinks, text
@@ -214,3 +215,17 @@ def test_templates_and_positions(spark):
     at = zones.with_positions(empty, 100.0).first()
     x = geo.reproject(spark.createDataFrame([(at.lon, at.lat)], "lon double, lat double")).first()
     assert abs(x.x + 573650) < 1e-3 and abs(x.y + 1280250) < 1e-3
+
+
+def test_codes_with_a_comma(spark):
+    rows = spark.createDataFrame([("1,0",), ("A,50",), ("A.00",), ("x,",), (None,)], "t string").select(operator_code(F.col("t")).alias("c")).collect()
+    assert [r.c for r in rows] == ["1", "A.5", "A", "x", None]
+
+
+def test_missing_sources_by_name(spark):
+    check = spark.createDataFrame([(0, 3), (1, 0), (2, 0)], "source_idx int, usable long")
+    names = spark.createDataFrame([(0, "a.csv"), (1, "b.csv")], "source_idx int, path string")
+    with pytest.raises(ValueError, match="no usable row in: b.csv, 2$"):
+        sync.require_sources(check, "usable", "usable row", names)
+    with pytest.raises(ValueError, match="in: 1, 2$"):
+        sync.require_sources(check, "usable", "usable row")

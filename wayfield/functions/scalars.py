@@ -37,8 +37,8 @@ def int_like(text: Column) -> Column:
 
 
 def operator_code(text: Column) -> Column:
-    """MCC or MNC for comparisons: 01, 1 and 1.0 are the same code."""
-    trimmed = F.trim(text)
+    """MCC or MNC for comparisons: 01, 1 and 1.0 are the same code; a comma is a point in other codes, too."""
+    trimmed = F.trim(F.replace(text, F.lit(","), F.lit(".")))
     fallback = F.when(trimmed.contains("."), F.regexp_replace(trimmed, r"\.?0*$", "")).otherwise(trimmed)
     return F.coalesce(number_text(parse_number(text)), fallback)
 

@@ -69,11 +69,16 @@ def state_check(states: DataFrame, source: str = "source_idx") -> DataFrame:
     return states.groupBy(source).agg(F.count("*").alias("rows"), F.count_if(usable).alias("usable"), F.count_if(usable & (F.col("nr") == "yes")).alias("yes"))
 
 
-def require_sources(check: DataFrame, column: str, what: str) -> None:
-    """Raise if some source has none of what it needs; names the sources."""
-    bad = [str(r[0]) for r in check.filter(F.col(column) == 0).select(check.columns[0]).orderBy(check.columns[0]).collect()]
-    if bad:
-        raise ValueError(f"no {what} in: {', '.join(bad)}")
+def require_sources(check: DataFrame, column: str, what: str, names: DataFrame | None = None) -> None:
+    """Raise if some source has none of what it needs; names the sources, by ``path`` where ``names`` (source, path) has them."""
+    key = check.columns[0]
+    bad = check.filter(F.col(column) == 0).select(key)
+    shown = F.col(key).cast("string")
+    if names is not None:
+        bad, shown = bad.join(names.select(key, "path"), key, "left"), F.coalesce("path", shown)
+    found = [r.name for r in bad.orderBy(key).select(shown.alias("name")).collect()]
+    if found:
+        raise ValueError(f"no {what} in: {', '.join(found)}")
 
 
 def require_yes(check: DataFrame) -> None:

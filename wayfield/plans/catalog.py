@@ -510,6 +510,13 @@ def preview_schema(spark, sf_dir):
     return seen.groupBy(layout.alias("layout"), "encoding", "header_line", "technology").agg(F.count("*").alias("files"))
 
 
+@query(WITH_M + f", f AS (SELECT source_idx, {_FILE} AS file, count(*) AS n FROM m GROUP BY ALL) SELECT source_idx = 0 AS latin1, CAST(CASE source_idx WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN n >= 2 THEN 31 ELSE 0 END ELSE 2 END AS BIGINT) AS header_line, CASE WHEN source_idx = 1 AND n < 2 THEN 9 ELSE 7 END AS width, CASE source_idx WHEN 0 THEN 'namérené' WHEN 1 THEN CASE WHEN n >= 2 THEN 'h1' ELSE 'r' END ELSE 'only' END AS first_cell, count(*) AS files FROM f GROUP BY ALL")
+def header_by_width(spark, sf_dir):
+    """Headers told by their width in files of two encodings."""
+    seen = text.file_meta(text.blocks_of(spark, exports.unnamed(spark, sf_dir)))
+    return seen.groupBy((~F.col("utf8")).alias("latin1"), "header_line", "width", F.split("header", ";")[0].alias("first_cell")).agg(F.count("*").alias("files"))
+
+
 @query(WITH_M + f", f AS (SELECT DISTINCT source_idx, {_FILE} AS file FROM m) SELECT field, CASE source_idx WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS own_name, a AS common, count(*) AS files FROM f CROSS JOIN (VALUES ('latitude', 'Latitude', 'Lat', 'latitude'), ('longitude', 'Longitude', 'Lng', 'longitude'), ('frequency', 'Frequency', 'freq', 'NR-ARFCN'), ('rsrp', 'RSRP', 'rsrp', 'SSS-RSRP')) v(field, a, b, c) GROUP BY ALL")
 def alias_union(spark, sf_dir):
     """The name each file uses for a field, and the one it has in the union."""

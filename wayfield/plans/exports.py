@@ -82,3 +82,22 @@ def written(spark: SparkSession, sf_dir: str, twice: bool = False, without_pci:
     heads[2] = heads[2].replace("SSS-RSRP", rsrp)
     head = F.when(F.col("source_idx") == 0, heads[0]).when(F.col("source_idx") == 1, heads[1]).otherwise(heads[2])
     return _save(rows.select("source_idx", _file().alias("file"), "seq", line.alias("line")), head, _folder(spark, "exports"))
+
+
+#: Headers that no field's name tells, by source: above wide rows, below a decoy that narrow lines follow, and alone in its file.
+UNNAMED = {0: "namérené;b;c;d;e;f;g", 1: "r;s;t;u;v;w;x;y;z" + "\nx" * 30 + "\nh1;h2;h3;h4;h5;h6;h7", 2: "x\ny\nonly;one;wide;line;in;this;file"}
+
+
+def unnamed(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Paths of files whose headers have to be told by their width; those of source 0 are in Latin-1."""
+    rows = adapter.measurements(spark, sf_dir)
+    c = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    wide = F.concat_ws(";", c("lat"), c("lon"), c("frequency"), c("pci"), F.concat(c("mcc"), F.lit("é")), c("mnc"), c("rsrp_c"))
+    line = F.when(F.col("source_idx") == 2, F.concat_ws(";", c("pci"), c("mnc"))).otherwise(wide)
+    head = F.when(F.col("source_idx") == 0, UNNAMED[0]).when(F.col("source_idx") == 1, UNNAMED[1]).otherwise(UNNAMED[2])
+    whole = rows.select("source_idx", _file().alias("file"), "seq", line.alias("line")).groupBy("source_idx", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"]), "\n").alias("body"))
+    content = whole.select("source_idx", "file", F.concat(head, F.lit("\n"), "body").alias("value"))
+    path = _folder(spark, "unnamed")
+    for source, encoding in ((0, "ISO-8859-1"), (1, "UTF-8"), (2, "UTF-8")):
+        content.filter(F.col("source_idx") == source).select("file", F.encode("value", encoding).cast("string").alias("value")).repartition("file").write.partitionBy("file").text(f"{path}/source={source}")
+    return [path]

@@ -71,28 +71,28 @@ def export(result: Result, cells: DataFrame, cfg: CoverageConfig) -> Result:
     return result
 
 
-def synchronised(spark: SparkSession, rows: DataFrame, cfg: CoverageConfig, state_paths: list[str], found: list[rules.Rule]) -> DataFrame:
+def synchronised(spark: SparkSession, rows: DataFrame, cfg: CoverageConfig, state_paths: list[str], found: list[rules.Rule], names: DataFrame | None = None) -> DataFrame:
     """``rows`` with the 5G state of the second files, to which the same rules apply; errors name what is missing."""
     if not state_paths:
         raise ValueError("a mobile run needs files with states")
-    table = text.read_states(spark, state_paths)
+    table, state_names = text.read_named(spark, state_paths, states=True)
     if found:
         table = rules.expand(rules.match(table, found), found, cfg.keep_original_rows)
     states = order.checkpointed(text.typed(table, {"nr": text.NR}).select(text.SOURCE, "mcc", "mnc", "time_ms", "nr"))
     check = sync.state_check(states)
-    sync.require_sources(check, "usable", "usable row")
+    sync.require_sources(check, "usable", "usable row", state_names)
     sync.require_yes(check)
     timed = rows.groupBy(text.SOURCE).agg(F.count("time_ms").alias("timed"))
-    sync.require_sources(timed, "timed", "row with a time")
+    sync.require_sources(timed, "timed", "row with a time", names)
     out = order.checkpointed(sync.sync(rows, states, cfg.sync_tolerance_ms))
-    sync.require_sources(sync.source_check(out), "matched", "match")
+    sync.require_sources(sync.source_check(out), "matched", "match", names)
     return out
 
 
 def run(spark: SparkSession, paths: list[str], cfg: CoverageConfig, state_paths: list[str] | None = None) -> Result:
     """Read, order, filter, rewrite, synchronise and project measurements, then rate their zones."""
     cfg.validate()
-    table = text.read(spark, paths, cfg.fields or None)
+    table, names = text.read_named(spark, paths, cfg.fields or None)
     table = table.withColumn("time_ms", text.time_of(table))
     existing = "original_excel_row" if "original_excel_row" in table.columns and len(paths) == 1 else None
     # Rows are numbered once: by time if there are several files, else as they stand.
@@ -110,6 +110,6 @@ def run(spark: SparkSession, paths: list[str], cfg: CoverageConfig, state_paths:
         table = table.withColumn("seq", F.col("seq") * copies + F.col("pos")).drop("pos", "rule")
     rows = text.typed(table, cfg.fields)
     if cfg.mobile:
-        rows = synchronised(spark, rows, cfg, state_paths or [], found)
+        rows = synchronised(spark, rows, cfg, state_paths or [], found, names)
     rows = filters.usable(rows).withColumns({"lat": parse_number(F.col("lat")), "lon": parse_number(F.col("lon"))})
     return export(coverage(reproject(rows), cfg), table, cfg)

@@ -319,7 +319,12 @@ def missing_fields(meta: list[FileMeta], mapping: dict[str, str] | None = None,
 
 
 def read(spark: SparkSession, paths: list[str], mapping: dict[str, str] | None = None, check: bool = True, states: bool = False) -> DataFrame:
-    """All files as one table of text cells, with seq (file order) and source_idx.
+    """``read_named`` without the files' names."""
+    return read_named(spark, paths, mapping, check, states)[0]
+
+
+def read_named(spark: SparkSession, paths: list[str], mapping: dict[str, str] | None = None, check: bool = True, states: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All files as one table of text cells, with seq (file order) and source_idx; and (source_idx, path) of the files.
 
     Missing columns and cells are empty strings. With ``check`` ambiguous headers and
     missing required fields raise an error that names the file. For files of ``states``
@@ -346,7 +351,7 @@ def read(spark: SparkSession, paths: list[str], mapping: dict[str, str] | None =
     cut = body.withColumn("cut", _cut(F.col("text"), width)).select("source_idx", "line_no", "places", F.array(*[F.col(f"cut.c{i}") for i in range(width)]).alias("row"))
     seq = (F.col("source_idx").cast("long") * (1 << 40) + F.col("line_no")).alias("seq")
     cell = lambda j: F.coalesce(F.get("row", F.get("places", F.lit(j))), F.lit(""))
-    return cut.select("source_idx", *[cell(j).alias(n) for j, n in enumerate(union)], seq)
+    return cut.select("source_idx", *[cell(j).alias(n) for j, n in enumerate(union)], seq), table.select("source_idx", "path")
 
 
 def suggest(columns: list[str]) -> dict[str, str]:
