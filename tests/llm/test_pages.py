@@ -70,3 +70,37 @@ def test_odd_page_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, html string, n_chars string")
     got = sorted((r.page_id, r.n_chars) for r in html_extract.main_text(df).collect())
     assert got == [(1, 0), (1, 0), (2, 0), (3, 3000 * (len(LONG) + 2) - 2), (4, len(LONG))]
+
+
+PROSE = "The cat sat on the mat and it was the best of the days that he had seen in his life, and she was with them for all of it. "
+
+
+def test_links_around_blocks_are_links():
+    page = f"<body><div><p>{PROSE * 3}</p></div><div><a href=x><h3>Teaser one</h3><p>{PROSE * 2}</p></a></div><div><p><a name=y>{PROSE * 3}</p></div></body>"
+    assert html_extract.extract(page) == "\n\n".join([(PROSE * 3).strip()] * 2)
+
+
+def test_languages_without_listed_stop_words():
+    russian, chinese = "Это был долгий день, и все устали от дороги, но никто не жаловался на судьбу. " * 4, "今天天气很好，我们一起去公园散步，看到了很多花。" * 6
+    for prose in (russian, chinese):
+        page = f"<body><nav><a href=x>дом</a></nav><div><p>{prose}</p><p>{prose}</p></div><ul><li><a href=y>ещё</a></li></ul></body>"
+        assert html_extract.extract(page) == "\n\n".join([prose.strip()] * 2)
+
+
+def test_comments_by_their_heading():
+    for title in ("Comments", "3 Comments", "Reader comments (12)", "Kommentare", "Комментарии"):
+        page = f"<article><p>{PROSE * 3}</p><section><h2>{title}</h2><div><p>{PROSE * 2}</p></div><article><p>{PROSE * 3}</p></article></section><p>{PROSE * 4}</p></article>"
+        assert html_extract.extract(page) == f"{(PROSE * 3).strip()}\n\n{(PROSE * 4).strip()}"
+
+
+def test_long_values_and_odd_tags_in_linear_time():
+    import time
+
+    svg = "<svg><text>drawn</text></svg>" * 5000
+    page = f"<article><p>{PROSE * 3}</p><img src='{svg}'><p>{PROSE * 2}</p></article>"
+    assert html_extract.extract(page) == f"{(PROSE * 3).strip()}\n\n{(PROSE * 2).strip()}"
+    odd = ("<" + "a" * 1_000_000, "<a " + "x" * 1_000_000, "<a href='" + "x" * 1_000_000, "<p title='x" * 100_000, '<p a="' * 100_000, "<" * 1_000_000, "<!--" * 250_000, "<div class=sidebar>" * 50_000 + "x", "<svg>" * 200_000, "<button>" * 99_999 + "</button>" * 3)
+    began = time.time()
+    for page in odd:
+        html_extract.extract(page)
+    assert time.time() - began < 60

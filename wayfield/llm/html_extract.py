@@ -40,6 +40,11 @@ LONG = 140
 STOPS_LOW = 0.1
 STOPS_HIGH = 0.2
 LINKS = 0.5
+#: Share of stop words in a page's longer blocks below which its language counts as one without listed ones.
+UNLISTED = 0.02
+#: Characters that stand for a word or more, and what ends a sentence.
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+SENTENCE = re.compile("[.!?…。！？।؟]")
 
 #: Tags whose content is no text of the page.
 SKIPPED = frozenset("head script style noscript template textarea select option button svg math iframe object embed canvas audio video map datalist label".split())
@@ -63,10 +68,14 @@ OTHER_NAME = re.compile(r"(?:^|\s)(?:has|no|with|without|hide|show|is)[_-]\S+",
 #: Words in class, id, role or itemprop that mark the article where no tag does.
 REGION_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|entry|story)(?:$|[\s_-])", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-#: Characters of a quoted attribute, beyond which a quote counts as never closed.
-_QUOTED = 20_000
-_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{{0,{_QUOTED}}}"|'[^']{{0,{_QUOTED}}}')*+)>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: What may end a tag: its bracket, or a quote of a value.
+_EDGE = re.compile(r""">|=\s*+["']""")
 #: Elements that hold text themselves; what holds these is a block's home.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Headings of reader comments, with a number before or after (fixed values).
+SECTIONS = frozenset("section div article".split())
+COMMENTS = re.compile(r"(?:\(?\d+\)?\s+)?(?:(?:reader|user|leave\s+(?:a|your)|post\s+a|all|recent)\s+)?(?:comments?|replies|reply|discussion|kommentare?|leserkommentare|commentaires?|comentarios?|комментарии|评论)(?:\s*\(?\d+\)?)?\s*:?", re.I)
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre legend caption summary figcaption".split())
 
 
@@ -78,7 +87,7 @@ class Block:
     linked: int = 0
     named: bool = False  # the region is known by a name only
     home: int = 0  # number of the element it stands in, paragraphs and the like apart
-    wrappers: tuple[int, ...] = ()  # elements around it with a doubtful name
+    wrapper: int = 0  # the innermost element around it with a doubtful name
     stops: float = 0.0
     good: bool | None = None
 
@@ -90,7 +99,7 @@ class _Open:
     home: int
     aside: int  # 1 by a name only, 2 by tag or inside a region
     region: int
-    wrappers: tuple[int, ...] = ()
+    wrapper: int = 0
 
 
 @dataclass
@@ -101,6 +110,7 @@ class _Page:
     parts: list[tuple[str, bool]] = field(default_factory=list)  # text, linked
     named: set[int] = field(default_factory=set)  # regions known by a name only
     below: set[int] = field(default_factory=set)  # regions below what only a name marks as aside
+    wrappers: dict[int, int] = field(default_factory=dict)  # doubtful elements, with the next one around each
     elements: int = 0
     regions: int = 0
 
@@ -111,8 +121,10 @@ class _Page:
         text = " ".join("".join(t for t, _ in self.parts).split())
         if text:
             at = self.top()
+            if at.tag in HEADINGS and len(text) < SHORT and len(self.open) > 1 and self.open[-2].tag in SECTIONS and COMMENTS.fullmatch(text):
+                at.aside = self.open[-2].aside = 2  # what follows in the section is the readers'
             linked = sum(len(" ".join(t.split())) for t, link in self.parts if link)
-            self.blocks.append(Block(at.region, at.aside > 0, text, linked, at.region in self.named, at.home, at.wrappers, stop_share(text)))
+            self.blocks.append(Block(at.region, at.aside > 0, text, linked, at.region in self.named, at.home, at.wrapper, stop_share(text)))
         self.parts.clear()
 
     def pop(self) -> str:
@@ -130,7 +142,7 @@ class _Page:
         while self.open and (self.open[-1].tag == "p" or tag == "li" and self.open[-1].tag == "li"):
             self.pop()
         above = self.top()
-        aside, region, wrappers = above.aside, above.region, above.wrappers
+        aside, region, wrapper = above.aside, above.region, above.wrapper
         name = " ".join(next(filter(None, m), "") for m in _NAMES.findall(attributes)) if attributes else ""
         name = OTHER_NAME.sub(" ", name) if tag not in ("body", "html") else ""
         self.elements += 1
@@ -145,39 +157,79 @@ class _Page:
         elif name and tag not in REGION and ASIDE_NAME.search(name):
             aside = max(aside, 2 if region else 1)
         elif name and tag not in REGION and WRAPPER_NAME.search(name) and not region:
-            wrappers = (*wrappers[-7:], self.elements)
+            self.wrappers[self.elements] = wrapper
+            wrapper = self.elements
         elif not aside and (tag in REGION and (not region or region in self.named) or not region and name and REGION_NAME.search(name)):
             self.regions += 1
             region = self.regions
             if tag in REGION:
-                wrappers = ()
+                wrapper = 0
             else:
                 self.named.add(region)
         home = above.home if tag in TEXTUAL else self.elements
-        self.open.append(_Open(tag, self.elements, home, aside, region, wrappers))
+        self.open.append(_Open(tag, self.elements, home, aside, region, wrapper))
         self.count[tag] += 1
 
 
+def _tags(page: str):
+    """(start, end, name, closing, attributes) of every tag and comment, the latter without a name.
+
+    One pass: a value's quotes are looked for only where they are closed, and only once.
+    """
+    at, size = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    last_bracket, last_comment = page.rfind(">"), page.rfind("-->")
+    while (begin := page.find("<", at)) >= 0:
+        after = page[begin + 1 : begin + 2]
+        if page.startswith("<!--", begin):
+            at = page.find("-->", begin + 4) + 3 if last_comment >= begin + 4 else size
+            yield begin, at, "", False, ""
+            continue
+        if after in ("!", "?") and after:
+            at = page.find(">", begin) + 1 if last_bracket > begin else begin + 2
+            yield begin, at, "", False, ""
+            continue
+        closing = after == "/"
+        name = _NAME.match(page, begin + 1 + closing)
+        if not name:
+            at = begin + 1
+            continue
+        at = edge = name.end()
+        while True:
+            found = _EDGE.search(page, edge) if last_bracket >= edge else None
+            if not found:
+                # No bracket: the rest of the page. A quote that swallowed the last one doesn't count.
+                end = page.find(">", at) if last_bracket >= at else -1
+                break
+            if found[0] == ">":
+                end = found.start()
+                break
+            quote = found[0][-1]
+            if last[quote] < found.end():
+                edge = found.end()  # never closed
+                continue
+            edge = page.find(quote, found.end()) + 1
+        stop = end if end >= 0 else size
+        yield begin, min(size, stop + 1), name[0].lower(), closing, page[at:stop]
+        at = min(size, stop + 1)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order; text in skipped tags is left out."""
-    state, at, links = _Page(), 0, 0
+    state, at, link = _Page(), 0, None  # how many elements were open where the open link began
     skipped: list[str] = []  # open skipped tags that hold markup
-    last: dict[str, int] = {}  # where the last end tag of a skipped tag stands
-    lower = page.lower()
+    held: Counter = Counter()  # the same, counted
+    last: dict[str, int] = {}  # where the last end tag of a skipped tag, or of a link, stands
+    lower = page.lower() if len(page.lower()) == len(page) else re.sub("[A-Z]+", lambda m: m[0].lower(), page)
     size = len(page)
-    while at < size:
-        found = _TAG.search(page, at)
-        end = found.start() if found else size
-        if end > at and not skipped:
-            state.parts.append((html.unescape(page[at:end]), links > 0))
-        if not found:
-            break
-        at = found.end()
-        tag = (found[2] or found[5] or "").lower()
+    for begin, at_next, tag, closing, attributes in _tags(page):
+        if begin < at:
+            continue  # inside what was left out
+        if begin > at and not skipped:
+            state.parts.append((html.unescape(page[at:begin]), link is not None))
+        at = at_next
         if not tag:
             continue
-        closing = bool(found[1] or found[4])
-        attributes = found[3] or found[6] or ""
         if tag in SKIPPED:
             if tag not in last:
                 last[tag] = lower.rfind(f"</{tag}")
@@ -189,37 +241,46 @@ def blocks_of(page: str) -> list[Block]:
             elif tag not in VOID:
                 if not closing and not attributes.rstrip().endswith("/"):
                     if tag == "option" and skipped and skipped[-1] == "option":
-                        skipped.pop()
+                        held[skipped.pop()] -= 1
                     # A tag that is never closed hides nothing, but a head ends at the body and an option with its list.
                     if last[tag] >= at or tag == "head" or tag == "option" and skipped:
                         if not skipped:
                             state.end_block()
                         skipped.append(tag)
-                elif closing and tag in skipped[-64:]:
-                    while skipped.pop() != tag:
-                        pass
+                        held[tag] += 1
+                elif closing and held[tag]:
+                    while (gone := skipped.pop()) != tag:
+                        held[gone] -= 1
+                    held[tag] -= 1
             continue
         if skipped and not closing and (tag == "body" or tag in REGION or skipped[0] == "head" and tag in BLOCK and tag not in ("title", "html")):
+            held.clear()
             skipped.clear()  # a head, or another tag, that was never closed
         if skipped:
             continue
         if tag == "br":
-            state.parts.append((" ", links > 0))
+            state.parts.append((" ", link is not None))
         elif tag == "a":
-            links = 0 if closing else 1
+            if "a" not in last:
+                last["a"] = lower.rfind("</a")
+            # A link goes on around blocks, but not out of the element it began in; one that is never closed is none.
+            link = len(state.open) if not closing and last["a"] >= at else None
         elif tag in BLOCK:
             state.end_block()
-            links = 0
             if closing:
                 state.close(tag)
+                if link is not None and len(state.open) < link:
+                    link = None
             elif tag not in VOID:
                 state.start(tag, attributes)
+    if at < size and not skipped:
+        state.parts.append((html.unescape(page[at:]), link is not None))
     state.end_block()
     # An article below such a wrapper counts unless one stands outside; then it is a teaser or the like.
     if any(b.region and not b.aside and not b.named and b.region not in state.below for b in state.blocks):
         for b in state.blocks:
             b.aside = b.aside or b.region in state.below
-    judge_wrappers(state.blocks)
+    judge_wrappers(state.blocks, state.wrappers)
     return state.blocks
 
 
@@ -228,16 +289,22 @@ def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I)
 
 
-def judge_wrappers(blocks: list[Block]) -> None:
+def judge_wrappers(blocks: list[Block], wrappers: dict[int, int]) -> None:
     """Blocks below an element with a doubtful name are aside, unless it holds most of the page's good text."""
     held: Counter = Counter()
     total = 0
     for b in blocks:
         if not b.aside and dense(b):
             total += len(b.text)
-            held.update({w: len(b.text) for w in b.wrappers})
+            held[b.wrapper] += len(b.text)
+    # Elements are numbered from the outside in.
+    for w in reversed(wrappers):
+        held[wrappers[w]] += held[w]
+    out = {0: False}
+    for w, around in wrappers.items():
+        out[w] = 2 * held[w] <= total or out[around]
     for b in blocks:
-        b.aside = b.aside or any(2 * held[w] <= total for w in b.wrappers)
+        b.aside = b.aside or out[b.wrapper]
 
 
 def stop_share(text: str) -> float:
@@ -245,10 +312,16 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
 
 
-def dense(b: Block) -> bool | None:
-    """The first pass without any prior: by links, length and stop words; None if ambiguous."""
+def dense(b: Block, listed: bool = True) -> bool | None:
+    """The first pass without any prior: by links, length and stop words; None if ambiguous.
+
+    Where the page's language has no ``listed`` stop words, length and links decide.
+    """
     if b.linked > LINKS * len(b.text):
         return False
+    if not listed:
+        size = len(b.text) + 2 * len(WIDE.findall(b.text))
+        return True if size >= LONG and SENTENCE.search(b.text) else None if size >= SHORT else False
     if len(b.text) < SHORT:
         return None
     if b.stops >= STOPS_HIGH or len(b.text) >= LONG and b.stops >= STOPS_LOW:
@@ -258,8 +331,10 @@ def dense(b: Block) -> bool | None:
 
 def classify(blocks: list[Block]) -> None:
     """Both passes, in place."""
+    prose = [b for b in blocks if not b.aside and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text)]
+    listed = not prose or sum(b.stops * len(b.text) for b in prose) >= UNLISTED * sum(len(b.text) for b in prose)
     for b in blocks:
-        b.good = False if b.aside else dense(b)
+        b.good = False if b.aside else dense(b, listed)
         if b.region and not b.aside and not b.good and b.linked <= LINKS * len(b.text):
             # The language of an article need not be one with listed stop words, nor an article prose.
             b.good = True if len(b.text) >= SHORT and b.stops >= STOPS_LOW else None
