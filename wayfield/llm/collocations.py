@@ -28,6 +28,8 @@ LONGEST, LEAST, TOP, INSIDE = 5, 100, 2000, 100
 #: Bits of the filter and places of a pair in it.
 BLOOM_BITS, PROBES = 1 << 25, 4
 UNKNOWN = "und"
+#: Languages (of about 50 bytes each) up to which their totals are broadcast.
+LANGUAGES = 100_000
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 #: Texts of a language handled at once, in bytes: bounds a task's memory but for a longer text.
 BLOCK = 4 << 20
@@ -173,6 +175,8 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("length") - 1))).withColumns({"left": joined(F.lit(1), F.col("k")), "right": joined(F.col("k") + 1, F.col("length") - F.col("k"))})
     part = lambda name, f: found.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     # Parts are found as often as their phrase or more, so each is known.
+    # A row a language: sent around where these are few, so that none of them is a key of a shuffle.
+    total = F.broadcast(total) if total.count() <= LANGUAGES else total
     rated = cuts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"]).join(total, "lang")
     big = lambda c: F.col(c).cast("decimal(19,0)")
     rated = rated.withColumn("top", (big("a") * big("n")).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)")).withColumn("bottom", big("l") * big("r"))
