@@ -225,7 +225,7 @@ def test_codes_with_a_comma(spark):
 def test_missing_sources_by_name(spark):
     check = spark.createDataFrame([(0, 3), (1, 0), (2, 0)], "source_idx int, usable long")
     names = spark.createDataFrame([(0, "a.csv"), (1, "b.csv")], "source_idx int, path string")
-    with pytest.raises(ValueError, match="no usable row in: b.csv, 2$"):
+    with pytest.raises(ValueError, match=r"no usable row in: 1 \(b.csv\), 2$"):
         sync.require_sources(check, "usable", "usable row", names)
     with pytest.raises(ValueError, match="in: 1, 2$"):
         sync.require_sources(check, "usable", "usable row")

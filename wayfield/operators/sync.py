@@ -70,12 +70,12 @@ def state_check(states: DataFrame, source: str = "source_idx") -> DataFrame:
 
 
 def require_sources(check: DataFrame, column: str, what: str, names: DataFrame | None = None) -> None:
-    """Raise if some source has none of what it needs; names the sources, by ``path`` where ``names`` (source, path) has them."""
+    """Raise if some source has none of what it needs; names the sources, with their ``path`` where ``names`` (source, path) has them."""
     key = check.columns[0]
     bad = check.filter(F.col(column) == 0).select(key)
     shown = F.col(key).cast("string")
     if names is not None:
-        bad, shown = bad.join(names.select(key, "path"), key, "left"), F.coalesce("path", shown)
+        bad, shown = bad.join(names.select(key, "path"), key, "left"), F.concat(shown, F.coalesce(F.concat(F.lit(" ("), "path", F.lit(")")), F.lit("")))
     found = [r.name for r in bad.orderBy(key).select(shown.alias("name")).collect()]
     if found:
         raise ValueError(f"no {what} in: {', '.join(found)}")
