@@ -50,3 +50,58 @@ def test_large_group(spark):
     rows = [(i, " ".join([*base[: 7 * i], f"x{i}", *base[7 * i + 1 :]])) for i in range(50)] + [(99, "another text of a few words that stands alone")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in neardup.deduplicate(df).collect()} == {0, 99}
+
+
+def components_of(ids, pairs):
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in up}
+
+
+def test_no_link_is_lost_near_the_threshold(spark):
+    """Texts of which few pairs are similar enough, all in large buckets: the groups are those of all pairs."""
+    import random
+
+    draw = random.Random(3)
+    rows = []
+    for t in range(2):
+        base = [f"t{t}w{k}" for k in range(300)]
+        for i in range(400):
+            words = list(base)
+            for at in draw.sample(range(300), 4 + t):
+                words[at] = f"x{t}n{i}at{at}"
+            rows.append((1000 * t + i, " ".join(words)))
+    want = components_of([i for i, _ in rows], overlapping(rows))
+    assert len(set(want.values())) > 2
+    got = {r.id: r.root for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    least = {}
+    for i, root in got.items():
+        least[root] = min(i, least.get(root, i))
+    assert {i: least[root] for i, root in got.items()} == want
+
+
+def test_blocks_meet(spark):
+    """Any two members of a bucket with different roots share a cell."""
+    rows = [(b, 10_000 * b + k, (0 if k < 150 else k) if b else k % 3, 50) for b in range(2) for k in range(230)]
+    live = spark.createDataFrame(rows, "bucket long, key long, root long, size long")
+    held = {}
+    for r in neardup.block_cells(live).collect():
+        held.setdefault(r.key, set()).add(r.cell)
+    for b, k, root, _ in rows:
+        assert all(held[k] & held[other] for b2, other, root2, _ in rows if b2 == b and root2 != root)
+
+
+def test_similar_sets():
+    import numpy as np
+
+    sets = [np.array(s, np.uint64) for s in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 9], [], [])]
+    assert neardup.similar(sets, [7, 3, 5, 8, 9]) == {(3, 7)}
+    assert neardup.similar(sets[:2], [4, 4]) == set() and neardup.similar(sets[3:], [1, 2]) == set()
