@@ -29,6 +29,8 @@ SPAN = 9
 WINDOW = 13
 #: Words of a window that must agree.
 AGREE = 11
+#: Words from the first hit of a stretch to its last: each alignment compares no more.
+PIECE = 256
 BLOOM_BITS = 1 << 25
 #: Seeds of a benchmark up to which its side of the joins is broadcast (under 32 MB).
 BROADCAST_ROWS = 500_000
@@ -120,7 +122,11 @@ def _tokens_and_seeds(text: Column) -> Column:
 
 
 def _segments(text: Column, bloom: np.ndarray) -> Column:
-    """Stretches of a text around seeds that pass the filter."""
+    """Stretches of a text around seeds that pass the filter, of PIECE words and their surroundings at most.
+
+    A window that leaks holds a hit, and lies within WINDOW words of it: so it is whole in
+    the stretch of that hit.
+    """
 
     @arrow_udf(_SEGMENTS)
     def run(texts: pa.Array) -> pa.Array:
@@ -143,7 +149,7 @@ def _segments(text: Column, bloom: np.ndarray) -> Column:
                 low, high = np.searchsorted(owner, [doc, doc + 1])
                 begin = 0
                 for k in range(1, len(hits) + 1):
-                    if k == len(hits) or hits[k][0] - hits[k - 1][0] > SPAN + 2 * WINDOW:
+                    if k == len(hits) or hits[k][0] - hits[k - 1][0] > SPAN + 2 * WINDOW or hits[k][0] - hits[begin][0] >= PIECE:
                         first = max(int(low), hits[begin][0] - WINDOW)
                         last = min(int(high), hits[k - 1][0] + SPAN + WINDOW)
                         out[base + doc].append({"start": first - int(low), "tokens": tokens[first:last].view(np.int64).tolist(), "hits": [{"place": i - int(low), "seed": s} for i, s in hits[begin:k]]})
