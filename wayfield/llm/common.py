@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.names import free_name
 from ..functions.shared import checkpointed, shared_dir
 
-__all__ = ["BLANKS", "batch_limits", "checkpointed", "free_name", "of_rows", "row_key", "set_aside", "shared_dir", "stored", "words"]
+__all__ = ["BLANKS", "batch_limits", "checkpointed", "free_name", "of_rows", "row_key", "set_aside", "shared_dir", "spread_join", "stored", "words"]
 
+#: Keys that may hold more than one in so many rows are as many at most.
+HOT_KEYS = 4096
 #: What separates words: space and the control characters tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -49,6 +51,18 @@ def of_rows(docs: DataFrame, decided: DataFrame, how: str, id_col: str, text_col
     return (out.dropDuplicates(names) if once else out).drop(*names)
 
 
+def spread_join(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``known``, which has one row for each of their keys and the number ``n`` of rows that hold it.
+
+    Keys of more than one in HOT_KEYS rows, at most HOT_KEYS of them, are sent around, so
+    that no task gets all rows of one; the others meet by key. Read twice: ``rows`` should be
+    stored.
+    """
+    hot = F.broadcast(known.filter(F.col("n") * HOT_KEYS > rows.count()).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(known.drop("n"), key))
+
+
 def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """``df`` without columns of these names, which go by others for a while, and how to name them again."""
     taken = {c: free_name(df, f"aside_{c}") for c in df.columns if c.lower() in {n.lower() for n in names}}

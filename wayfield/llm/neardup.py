@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import batch_limits, checkpointed, of_rows, row_key
+from .common import batch_limits, checkpointed, of_rows, row_key, spread_join
 from .simhash import components, links, majority
 
 SHINGLE = 5
@@ -211,7 +211,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     k1, k2 = row_key(id_col, text_col)
     marked = checkpointed(docs.select(F.col(id_col).alias("id"), k1, k2, signature(F.col(text_col)).alias("s")).select("id", "_k1", "_k2", "s.key", "s.fp", "s.size", "s.bands"))
     first = F.min(F.struct("_k1", "_k2")).alias("k")
-    distinct = checkpointed(marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"), first))
+    distinct = checkpointed(marked.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("n"), first))
     # Equal fingerprints share a bucket as well; linked ones meet through their least keys.
     buckets = F.concat("bands", F.array(F.xxhash64(F.lit("fp"), "fp")))
     members = distinct.select(F.explode(buckets).alias("bucket"), "key", F.col("key").alias("root"), "size")
@@ -231,7 +231,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         roots = merged(roots, compared(star_cells(led_by(led(live, salt))), texts))
         live = unsettled(live.drop("root"), roots)
     roots = merged(roots, compared(block_cells(live), texts))
-    return marked.join(roots, "key", "left").select("_k1", "_k2", "id", F.coalesce("root", "key").alias("root"))
+    known = checkpointed(distinct.select("key", "n").join(roots, "key", "left").select("key", "n", F.coalesce("root", "key").alias("root")))
+    return spread_join(marked, known, "key").select("_k1", "_k2", "id", "root")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import batch_limits, checkpointed, of_rows, row_key
+from .common import batch_limits, checkpointed, of_rows, row_key, spread_join
 
 RADIUS = 2
 #: Parts into which the members of a group are dealt where they look for their root.
@@ -120,13 +120,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     """
     batch_limits(docs.sparkSession)
     marked = checkpointed(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"), *(keep or [])))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least_id")))
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")))
     joined = components(links(distinct.select("fp")))
     # Fingerprints without a partner are their own group.
-    rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "root", "component_id")
-    return marked.join(of_fp, "fp").select(
+    rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"), F.col("n").alias("rows"))
+    rooted = checkpointed(rooted)
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    of_fp = checkpointed(spread_join(rooted, checkpointed(named), "root").select("fp", "root", "component_id", F.col("rows").alias("n")))
+    return spread_join(marked, of_fp, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
