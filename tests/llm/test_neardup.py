@@ -105,3 +105,10 @@ def test_similar_sets():
     sets = [np.array(s, np.uint64) for s in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 9], [], [])]
     assert neardup.similar(sets, [7, 3, 5, 8, 9]) == {(3, 7)}
     assert neardup.similar(sets[:2], [4, 4]) == set() and neardup.similar(sets[3:], [1, 2]) == set()
+
+
+def test_similar_sets_send_no_more_edges_than_groups():
+    import numpy as np
+
+    sets = [np.array([*range(1, 60), 100 + k], np.uint64) for k in range(40)]
+    assert neardup.similar(sets, list(range(5, 45))) == {(5, g) for g in range(6, 45)}

@@ -94,7 +94,7 @@ def signature(text: Column) -> Column:
 
 
 def similar(sets: list, groups: list[int]) -> set[tuple[int, int]]:
-    """Pairs (a, b), a < b, of different groups that hold a pair of sets with a Jaccard similarity of SIMILAR or more."""
+    """Pairs (a, b), a < b, that connect the groups as sets with a Jaccard similarity of SIMILAR or more do: the least of each connected lot with every other."""
     import numpy as np
 
     if len(sets) < 2:
@@ -114,7 +114,18 @@ def similar(sets: list, groups: list[int]) -> set[tuple[int, int]]:
         holds[owner[low:high], column[low:high] - at] = 1
         both += holds @ holds.T
     linked = (both >= SIMILAR * (sizes[:, None] + sizes[None, :] - both)) & (both > 0)
-    return {(min(groups[i], groups[j]), max(groups[i], groups[j])) for i, j in zip(*(x.tolist() for x in np.nonzero(linked))) if groups[i] != groups[j]}
+    least = {g: g for g in groups}
+
+    def find(g):
+        while least[g] != g:
+            least[g] = least[least[g]]
+            g = least[g]
+        return g
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
+        one, two = find(groups[i]), find(groups[j])
+        least[max(one, two)] = min(one, two)
+    return {(find(g), g) for g in least if find(g) != g}
 
 
 def compared(cells: DataFrame, texts: DataFrame) -> DataFrame:
