@@ -3,10 +3,12 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayfield.config import CoverageConfig
 from wayfield.functions.names import free_name
 from wayfield.operators import order, rules, zones
+from wayfield.plans import outputs
 from wayfield.plans.run import run
 from wayfield.sources import sinks, text
 
@@ -111,7 +113,7 @@ def test_zones_file_in_the_columns_of_the_input(spark, tmp_path, mode):
     measured = [r for r in rows if r.part == 0]
     first = next(r for r in measured if r.mnc == "1")
     assert result.layout.columns == ["latitude", "longitude", "frequency", "pci", "mcc", "mnc", "rsrp", "SINR", "note"]
-    assert (first.rsrp, first.SINR, first.note, first.Riadky_v_zone, first.Frekvencie_v_zone) == ("-80.56", "7.50", "first", "2", "1 # Meraní: 2")
+    assert (first.rsrp, first.SINR, first.note, first.Riadky_v_zone, first.Frekvencie_v_zone) == ("-80.56", "7.50", "first", "1,2", "1 # Meraní: 2")
     assert (first.latitude == "48.1") == (mode == "original")
     if mode == "center":
         assert abs(float(first.latitude) - 48.1) < 0.001 and len(first.latitude.split(".")[1]) == 6
@@ -135,13 +137,29 @@ def test_written_files(spark, tmp_path):
     run(spark, [p], cfg).write(str(tmp_path / "zones"), str(tmp_path / "stats"), cfg)
     lines = lines_of(tmp_path / "zones")
     assert lines[:2] == ["", "latitude;longitude;frequency;pci;mcc;mnc;rsrp;SINR;note;Riadky_v_zone;Frekvencie_v_zone"]
-    assert lines[2].endswith(";1;2;231;1;-80.56;7.50;first;2;1 # Meraní: 2")
-    assert lines[3].endswith(';231;3;-90.00;;"a;b";1;3 # Meraní: 1')
+    assert lines[2].endswith(";1;2;231;1;-80.56;7.50;first;1,2;1 # Meraní: 2")
+    assert lines[3].endswith(';231;3;-90.00;;"a;b";3;3 # Meraní: 1')
     assert len(lines) == 6 and all("Prázdna zóna" in x and x.split(";")[-2] == "" for x in lines[4:])
     assert lines_of(tmp_path / "stats") == ["MNC;MCC;RSRP >= -110 a SINR >= -5;RSRP < -110 alebo SINR < -5", "1;231;1;1", "3;231;1;1"]
     assert sinks.stats_labels(-90.5, 0, False, True) == ("RSRP >= -90.5 a 5G NR = yes", "RSRP < -90.5 alebo 5G NR != yes")
 
 
+def test_long_lists_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    """Lists of several pieces come out whole and in order, also where a line goes on in another part."""
+    monkeypatch.setattr(zones, "PIECE", 2)
+    values = [(i, str(i + 1), 0.0, 0.0, "231", "1", "5", "2", "1", -80.0, 7.0, "no", "piece;x", "") for i in range(23) if i % 5]
+    values += [(i, str(i + 1), 100.0, 0.0, "231", "1", "5", "2", "1", -80.0, 7.0, "no", "y", "b") for i in range(0, 23, 5)]
+    df = spark.createDataFrame(values, "seq long, row_id string, zone_x double, zone_y double, mcc string, mnc string, pci string, frequency string, rsrp string, rsrp_v double, sinr_v double, nr string, piece string, line string").repartition(3)
+    best = zones.best_frequency(zones.frequency_stats(df), -110.0, -5.0)
+    cells = df.select("seq", "mcc", "mnc", "pci", "frequency", "rsrp", "piece", "line")
+    layout = outputs.layout_of(cells, {})
+    made = outputs.zones_file(best.withColumns({"lat": F.lit("48"), "lon": F.lit("17")}), None, None, cells, zones.row_lists(df), layout, False)
+    outputs.write_zones_file(made, layout, str(tmp_path / "zones"))
+    ids = [",".join(str(i + 1) for i in range(23) if bool(i % 5) == odd) for odd in (True, False)]
+    want = [f'231;1;5;2;-80.00;"piece;x";;{ids[0]};2 # Meraní: 18', f"231;1;5;2;-80.00;y;b;{ids[1]};2 # Meraní: 5"]
+    assert lines_of(tmp_path / "zones") == ["", "mcc;mnc;pci;frequency;rsrp;piece;line;Riadky_v_zone;Frekvencie_v_zone", *want]
+
+
 def test_zone_first_order(spark):
     rows = [(100.0, 0.0, "231", "10", "2"), (100.0, 0.0, "231", "9", "3"), (20.0, 0.0, "231", "1", "x"), (20.0, 0.0, "231", "1", "7")]
     df = spark.createDataFrame(rows, "zone_x double, zone_y double, mcc string, mnc string, pci string")

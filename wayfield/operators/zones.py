@@ -13,6 +13,8 @@ from ..functions.geo import unproject
 from ..functions.scalars import nr_of_score, nr_score, number_text, numeric_then_text, parse_number
 
 OPERATOR = ("mcc", "mnc")
+#: Rows, by their numbers, whose ids make one piece of a list.
+PIECE = 65_536
 
 
 def grid(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -54,6 +56,18 @@ def members(df: DataFrame, chosen: DataFrame, row_id: str = "row_id", by: tuple[
     return df.select(*keys, "seq", row_id).join(chosen.select(*keys), keys, "left_semi")
 
 
+def row_lists(df: DataFrame, row_id: str = "row_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Ids of each group's rows in order, as comma-separated ``ids`` in pieces.
+
+    A piece holds the rows of PIECE successive row numbers, so none is longer than that,
+    whatever the group's size, and the rows of a large group are dealt by piece too.
+    Rows without an id are left out; ``piece`` grows with the rows' place.
+    """
+    keys = [*by, *zone_columns(df), *OPERATOR, "frequency", "pci"]
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(row_id).cast("string").alias("id")))), lambda r: r["id"])
+    return df.groupBy(*keys, F.floor(F.col("seq") / PIECE).alias("piece")).agg(F.array_join(ids, ",").alias("ids"))
+
+
 def qualified(rsrp_threshold: float, sinr_threshold: float) -> Column:
     """Both thresholds met; a group without SINR never qualifies."""
     return (F.col("rsrp") >= rsrp_threshold) & F.coalesce(F.col("sinr") >= sinr_threshold, F.lit(False))

@@ -192,12 +192,12 @@ _CELLS = {
 def _zones_file_sql() -> str:
     cells = ", ".join(f'{x.format(s="VARCHAR")} AS "{c}"' for c, x in _CELLS.items())
     float_sinr = """CASE WHEN k."SINR" = '' THEN '' ELSE CAST(CAST(k."SINR" AS DOUBLE) AS VARCHAR) END"""
-    made = f"""NULL AS "Latitude", NULL AS "Longitude", k."Frequency", {{pci}} AS "PCI", {{o}}.mcc AS "MCC", {{mnc}} AS "MNC", '-174' AS "RSRP", {float_sinr} AS "SINR", 'no' AS "5G NR", k."Note", '' AS "Riadky_v_zone", '{{note}}' AS Frekvencie_v_zone"""
+    made = f"""NULL AS "Latitude", NULL AS "Longitude", k."Frequency", {{pci}} AS "PCI", {{o}}.mcc AS "MCC", {{mnc}} AS "MNC", '-174' AS "RSRP", {float_sinr} AS "SINR", 'no' AS "5G NR", k."Note", NULL AS line, 0 AS piece, '' AS "Riadky_v_zone", '{{note}}' AS Frekvencie_v_zone"""
     short = "CAST(CAST(CAST({c} AS DOUBLE) AS BIGINT) AS VARCHAR)"
     return (
-        WITH_SPREAD + f""", k AS (SELECT seq, {cells} FROM m), t AS (SELECT mcc, mnc, min(seq) AS seq FROM m GROUP BY mcc, mnc), z AS (SELECT DISTINCT zone_x, zone_y FROM b), o(mcc, mnc, pci) AS (VALUES ('231', '9', ''), ('231', '04', '7'))
- SELECT 0 AS part, zone_x, zone_y, replace(k."Latitude", ',', '.') AS "Latitude", k."Longitude", b.frequency AS "Frequency", b.pci AS "PCI", k."MCC", {short.format(c='k."MNC"')} AS "MNC", printf('%.2f', b.rsrp) AS "RSRP",
- CASE WHEN b.sinr IS NULL THEN k."SINR" ELSE printf('%.2f', b.sinr) END AS "SINR", CASE WHEN b.nr = 'yes' THEN 'yes' ELSE 'no' END AS "5G NR", k."Note", CAST(b.n AS VARCHAR) AS "Riadky_v_zone", b.frequency || ' # Meraní: ' || CAST(b.n AS VARCHAR) AS "Frekvencie_v_zone" FROM b JOIN k ON k.seq = b.first_seq
+        WITH_SPREAD + f""", k AS (SELECT seq, {cells} FROM m), t AS (SELECT mcc, mnc, min(seq) AS seq FROM m GROUP BY mcc, mnc), z AS (SELECT DISTINCT zone_x, zone_y FROM b), l AS (SELECT zone_x, zone_y, mcc, mnc, frequency, pci, seq // {zones.PIECE} AS block, string_agg(CAST(seq + 1 AS VARCHAR), ',' ORDER BY seq) AS ids FROM g GROUP BY ALL), o(mcc, mnc, pci) AS (VALUES ('231', '9', ''), ('231', '04', '7'))
+ SELECT 0 AS part, b.zone_x, b.zone_y, replace(k."Latitude", ',', '.') AS "Latitude", k."Longitude", b.frequency AS "Frequency", b.pci AS "PCI", k."MCC", {short.format(c='k."MNC"')} AS "MNC", printf('%.2f', b.rsrp) AS "RSRP",
+ CASE WHEN b.sinr IS NULL THEN k."SINR" ELSE printf('%.2f', b.sinr) END AS "SINR", CASE WHEN b.nr = 'yes' THEN 'yes' ELSE 'no' END AS "5G NR", k."Note", b.first_seq AS line, l.block - b.first_seq // {zones.PIECE} AS piece, l.ids AS "Riadky_v_zone", b.frequency || ' # Meraní: ' || CAST(b.n AS VARCHAR) AS "Frekvencie_v_zone" FROM b JOIN k ON k.seq = b.first_seq JOIN l ON l.zone_x = b.zone_x AND l.zone_y = b.zone_y AND l.mcc = b.mcc AND l.mnc = b.mnc AND l.frequency = b.frequency AND l.pci = b.pci
  UNION ALL SELECT 1, zone_x, zone_y, {made.format(o="t", pci=short.format(c='k."PCI"'), mnc="t.mnc", note=outputs.EMPTY_NOTES[False])} FROM z CROSS JOIN t JOIN k ON k.seq = t.seq WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.zone_x = z.zone_x AND b.zone_y = z.zone_y AND b.mcc = t.mcc AND b.mnc = t.mnc)
  UNION ALL SELECT 2, zone_x, zone_y, {made.format(o="o", pci="o.pci", mnc=short.format(c="o.mnc"), note=outputs.ADDED_NOTES[False])} FROM z CROSS JOIN o JOIN k ON k.seq = (SELECT min(seq) FROM m)"""
     )
@@ -213,7 +213,8 @@ def zones_file(spark, sf_dir):
     every = best.select("zone_x", "zone_y").distinct()
     templates = order.checkpointed(densify.operators_of(rows))
     placed = [outputs.positions(r, SIZE) for r in (best, densify.empty_zones(best, templates, every), outputs.added_rows(best, every, custom, rows))]
-    made = outputs.zones_file(*placed, cells, outputs.layout_of(cells, {}), measured_coordinates=True, templates=templates)
+    lists = zones.row_lists(zones.grid(rows, SIZE).withColumn("row_id", F.col("seq") + 1))
+    made = outputs.zones_file(*placed, cells, lists, outputs.layout_of(cells, {}), measured_coordinates=True, templates=templates)
     return made.withColumns({c: F.when(F.col("part") == 0, F.col(c)) for c in ("Latitude", "Longitude")})
 
 

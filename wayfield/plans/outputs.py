@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import int_like, nr_state, number_text, numeric_then_text, parse_number
+from ..functions.scalars import int_like, nr_state, number_text, parse_number
 from ..functions.shared import checkpointed
 from ..operators import densify, zones
 from ..sources import sinks, text
@@ -30,6 +30,11 @@ class Layout:
     def has(self, field: str) -> bool:
         return self.names.get(field) in self.columns
 
+    def place(self) -> tuple[str, str, str]:
+        """Names of the columns that order the file's rows: part, line and piece, unless the input has these."""
+        taken = {c.lower() for c in self.columns}
+        return tuple(next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("part", "line", "piece"))
+
 
 def layout_of(table: DataFrame, fields: dict[str, str], mobile: bool = False) -> Layout:
     """Columns of a table of text cells, without helpers; a run with states adds the state's column."""
@@ -52,8 +57,11 @@ def float_text(cell: Column) -> Column:
     return F.coalesce(parse_number(cell).cast("string"), cell)
 
 
-def _filled(rows: DataFrame, layout: Layout, values: dict[str, Column], part: int, count: Column, note: Column) -> DataFrame:
-    """The file's rows: cells of ``rows`` with some fields replaced, then the two columns at the end."""
+def _filled(rows: DataFrame, layout: Layout, values: dict[str, Column], part: int, ids: Column, note: Column, line: Column, piece: Column) -> DataFrame:
+    """The file's rows: cells of ``rows`` with some fields replaced, then the two columns at the end.
+
+    ``line`` tells measured lines of one order apart, ``piece`` (from 0) the rows of one line.
+    """
     by_name = {layout.names[f]: c for f, c in values.items() if layout.has(f)}
 
     def cell(name: str) -> Column:
@@ -63,7 +71,8 @@ def _filled(rows: DataFrame, layout: Layout, values: dict[str, Column], part: in
         return F.when(nr_state(value) == "yes", "yes").otherwise("no") if name == layout.names.get("nr") else value
 
     keys = zones.zone_columns(rows)
-    return rows.select(*keys, F.lit(part).alias("part"), *[cell(c).alias(c) for c in layout.columns], count.cast("string").alias(ROWS), note.alias(FREQUENCIES))
+    place = [c.alias(n) for c, n in zip((F.lit(part), line.cast("long"), piece.cast("long")), layout.place(), strict=True)]
+    return rows.select(*keys, *place, *[cell(c).alias(c) for c in layout.columns], ids.alias(ROWS), note.alias(FREQUENCIES))
 
 
 def first_rows(own: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -77,15 +86,19 @@ def first_rows(own: DataFrame, seqs: DataFrame) -> DataFrame:
     return F.broadcast(found) if few else found
 
 
-def zones_file(best: DataFrame, empty: DataFrame | None, added: DataFrame | None, cells: DataFrame, layout: Layout, measured_coordinates: bool, templates: DataFrame | None = None) -> DataFrame:
+def zones_file(best: DataFrame, empty: DataFrame | None, added: DataFrame | None, cells: DataFrame, lists: DataFrame, layout: Layout, measured_coordinates: bool, templates: DataFrame | None = None) -> DataFrame:
     """Rows of the zones file: measured zones (part 0), empty ones (1) and those of added operators (2).
 
     ``best``, ``empty`` and ``added`` have lat and lon of their zones as text; ``cells`` are
     the input's cells by ``seq``. A measured row is the first of its group, with the
     group's means; an empty one the first of its operator; an added one the first of
     all. ``templates`` has the ``template_seq`` of each operator; without it they are taken
-    from ``empty``, which is then made twice. ROWS holds how many rows are behind a zone: the rows themselves are
-    ``zones.members``, as a group may hold a large part of all rows.
+    from ``empty``, which is then made twice.
+
+    ROWS lists the ids of the rows behind a measured zone, from ``lists`` (of
+    ``zones.row_lists``). A group may hold a large part of all rows, so its list comes in
+    pieces, each a row with the line's other cells; ``write_zones_file`` joins them.
+    Made rows have an empty list.
     """
     segments = "segment_id" in best.columns
     taken = [c for c in layout.columns if c in cells.columns]
@@ -105,7 +118,12 @@ def zones_file(best: DataFrame, empty: DataFrame | None, added: DataFrame | None
         values["sinr"] = F.when(v("sinr").isNotNull(), sinks.fixed(v("sinr"), 2)).otherwise(cell("sinr"))
     for f in ("latitude", "longitude"):
         values[f] = plain_coordinate(cell(f)) if measured_coordinates else v(f[:3])
-    out = _filled(measured, layout, values, 0, v("n"), F.concat(v("frequency"), F.lit(" # Meraní: "), v("n").cast("string")))
+    # Pieces of a group with most rows share one key: the join splits them by size, as no step after it needs a group together.
+    group = [*zones.OPERATOR, "frequency", "pci"]
+    pieces = lists.select(*zones.zone_columns(best), *[F.col(c).alias(f"v_{c}") for c in group], F.col("piece").alias("v_piece"), F.col("ids").alias("v_ids"))
+    measured = measured.join(pieces, [*zones.zone_columns(best), *[f"v_{c}" for c in group]])
+    nth = v("piece") - F.floor(v("first_seq") / zones.PIECE)
+    out = _filled(measured, layout, values, 0, v("ids"), F.concat(v("frequency"), F.lit(" # Meraní: "), v("n").cast("string")), v("first_seq"), nth)
     for part, rows, notes, seqs in ((1, empty, EMPTY_NOTES, templates), (2, added, ADDED_NOTES, None)):
         if rows is not None:
             # Added operators have the first row of all.
@@ -116,21 +134,36 @@ def zones_file(best: DataFrame, empty: DataFrame | None, added: DataFrame | None
                 values["sinr"] = float_text(cell("sinr"))
             if part == 2:
                 values["pci"] = v("pci")
-            out = out.unionByName(_filled(made, layout, values, part, F.lit(""), F.lit(notes[segments])))
+            out = out.unionByName(_filled(made, layout, values, part, F.lit(""), F.lit(notes[segments]), F.lit(None), F.lit(0)))
     return out
 
 
-def file_order(rows: DataFrame, layout: Layout) -> list[Column]:
-    """Measured rows by operator and PCI, then empty and added ones by zone."""
-    keyed = [k for f in ("mcc", "mnc", "pci") for k in numeric_then_text(F.col(f"`{layout.names[f]}`"))]
-    first = [F.when(F.col("part") > 0, F.col(k)).asc() for k in zones.zone_columns(rows)]
-    return [F.col("part").asc(), *first, *keyed, *[F.asc(k) for k in zones.zone_columns(rows)]]
+def file_keys(rows: DataFrame, layout: Layout) -> list[Column]:
+    """Keys of the file's order, nulls last: measured rows by operator and PCI, then empty and added ones by zone; pieces in a row."""
+    part, line, piece = map(F.col, layout.place())
+    by_value = [k for f in ("mcc", "mnc", "pci") for c in [F.col(f"`{layout.names[f]}`")] for k in (parse_number(c), c)]
+    zone = [F.col(k) for k in zones.zone_columns(rows)]
+    return [part, *[F.when(part > 0, k) for k in zone], *by_value, *zone, line, piece]
 
 
 def write_zones_file(rows: DataFrame, layout: Layout, path: str, single: bool = False) -> None:
-    """The zones file as text parts in order: an empty line, the header, the rows."""
-    header = "\n" + ";".join([*layout.columns, ROWS, FREQUENCIES])
-    sinks.write_lines(rows, header, path, file_order(rows, layout), [*layout.columns, ROWS], FREQUENCIES, single)
+    """The zones file as text parts in order: an empty line, the header, the rows.
+
+    Each piece of a list is written as it comes, between the head and the tail of its
+    line, so no task holds a whole list. A long line may go on in the next part.
+    """
+    part, _, piece = map(F.col, layout.place())
+    header = "\n" + ";".join([*layout.columns, ROWS, FREQUENCIES]) + "\n"
+    head = F.concat(sinks.line_of(layout.columns), F.lit(";"), F.col(ROWS))
+    tail = F.concat(F.lit(";"), F.coalesce(F.col(FREQUENCIES), F.lit("")), F.lit("\n"))
+    last = F.lit((1 << 63) - 1)
+    at = lambda place, text: F.struct(place.alias("place"), text.alias("text"))
+    begun, more = F.array(at(piece, head), at(last, tail)), F.array(at(piece, F.concat(F.lit(","), F.col(ROWS))))
+    texts = F.when(part > 0, F.array(at(piece, F.concat(head, tail)))).when(piece == 0, begun).otherwise(more)
+    keys = [k.alias(f"k{i}") for i, k in enumerate(file_keys(rows, layout)[:-1])]
+    placed = rows.select(*keys, F.explode(texts).alias("t")).select(*[f"k{i}" for i in range(len(keys))], "t.place", "t.text")
+    body = placed.orderBy(*[F.col(c).asc_nulls_last() for c in placed.columns[:-1]]).select("text")
+    sinks.write_pieces(body, header, path, single)
 
 
 def positions(rows: DataFrame, size: float, starts: DataFrame | None = None) -> DataFrame:

@@ -25,6 +25,7 @@ class Result:
     added: DataFrame | None = None  # zones of operators added by hand
     starts: DataFrame | None = None  # where segments begin
     templates: DataFrame | None = None  # the first row of each operator
+    lists: DataFrame | None = None  # ids of each group's rows, in pieces
     zones: DataFrame | None = None  # rows of the zones file
     layout: outputs.Layout | None = None
 
@@ -37,7 +38,8 @@ class Result:
 
 def coverage(rows: DataFrame, cfg: CoverageConfig) -> Result:
     """Zones and counts of typed measurements with x and y in metres."""
-    placed = route.common_route(rows, cfg.size) if cfg.segments else zones.grid(rows, cfg.size)
+    # Read by statistics, templates and row lists, so written once; filters on zones would repeat the long projection too.
+    placed = route.common_route(rows, cfg.size) if cfg.segments else order.checkpointed(zones.grid(rows, cfg.size))
     placed = filters.grouped_keys(placed)
     if cfg.canonical_keys:
         placed = placed.withColumns({k: operator_code(F.col(k)) for k in zones.OPERATOR})
@@ -59,7 +61,8 @@ def coverage(rows: DataFrame, cfg: CoverageConfig) -> Result:
         added = outputs.added_rows(best, every, custom, rows)
         counts = densify.with_placeholders(counts, custom, best, every)
     summary = best.agg(F.countDistinct("segment_id").alias("unique_zones"), F.countDistinct(*zones.OPERATOR).alias("unique_operators"), F.count("*").alias("zone_rows")) if cfg.segments else zones.coverage_summary(best, cfg.size)
-    return Result(best, empty, counts, summary, added, starts, templates)
+    lists = zones.row_lists(placed) if "row_id" in placed.columns else None
+    return Result(best, empty, counts, summary, added, starts, templates, lists)
 
 
 def export(result: Result, cells: DataFrame, cfg: CoverageConfig) -> Result:
@@ -67,7 +70,7 @@ def export(result: Result, cells: DataFrame, cfg: CoverageConfig) -> Result:
     layout = outputs.layout_of(cells, cfg.fields, cfg.mobile)
     placed = lambda rows: None if rows is None else outputs.positions(rows, cfg.size, result.starts)
     result.layout = layout
-    result.zones = outputs.zones_file(placed(result.best), placed(result.empty), placed(result.added), cells, layout, cfg.zone_mode == "original", result.templates)
+    result.zones = outputs.zones_file(placed(result.best), placed(result.empty), placed(result.added), cells, result.lists, layout, cfg.zone_mode == "original", result.templates)
     return result
 
 

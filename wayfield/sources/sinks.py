@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.names import free_name
@@ -37,6 +43,11 @@ def quoted(cell: Column) -> Column:
     return F.when(cell.rlike('[;"\r\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
 
 
+def line_of(columns: list[str]) -> Column:
+    """Cells of a row, separated by ``;`` and quoted where needed."""
+    return F.concat_ws(";", *[quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in columns])
+
+
 def write_lines(df: DataFrame, header: str, path: str, order: list[Column], columns: list[str] | None = None, raw: str | None = None, single: bool = False) -> None:
     """A ``;``-separated text with a header, as parts that follow one another in ``order``.
 
@@ -44,7 +55,7 @@ def write_lines(df: DataFrame, header: str, path: str, order: list[Column], colu
     an exit for small results that other tools read.
     """
     names = columns or df.columns
-    line = F.concat_ws(";", *[quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in names], *([F.coalesce(F.col(raw), F.lit(""))] if raw else []))
+    line = F.concat_ws(";", line_of(names), *([F.coalesce(F.col(raw), F.lit(""))] if raw else []))
     text, place = free_name(df, "line"), free_name(df, "place")
     body = df.withColumns({text: line, place: F.lit(1)})
     first = df.sparkSession.createDataFrame([(header, 0)], f"`{text}` string, `{place}` int")
@@ -52,6 +63,76 @@ def write_lines(df: DataFrame, header: str, path: str, order: list[Column], colu
     (rows.coalesce(1) if single else rows).write.mode("overwrite").text(path)
 
 
+class PiecesWriter(DataSourceArrowWriter):
+    """Writes texts as they come, with nothing between them, as one part a partition.
+
+    A task writes to a name of its own attempt; the commit gives the parts their names,
+    so tasks that fail and run again leave nothing behind.
+    """
+
+    def __init__(self, url: str, header: str):
+        self.url, self.header = url, header
+
+    def write(self, iterator):
+        files, folder = fs.FileSystem.from_uri(self.url)
+        task = TaskContext.get()
+        made = f"{folder}/_temporary/{task.partitionId()}-{task.taskAttemptId()}"
+        with files.open_output_stream(made) as out:
+            for batch in iterator:
+                for text in batch.column(0):
+                    out.write(text.as_py().encode())
+        return PartMessage(made, task.partitionId())
+
+    def commit(self, messages):
+        files, folder = fs.FileSystem.from_uri(self.url)
+        for old in files.get_file_info(fs.FileSelector(folder)):
+            if old.base_name != "_temporary":
+                files.delete_dir(old.path) if old.type == fs.FileType.Directory else files.delete_file(old.path)
+        with files.open_output_stream(f"{folder}/part-00000") as out:
+            out.write(self.header.encode())
+        for m in messages:
+            if m is not None:
+                files.move(m.path, f"{folder}/part-{m.part + 1:05d}")
+        files.delete_dir(f"{folder}/_temporary")
+        files.open_output_stream(f"{folder}/_SUCCESS").close()
+
+    def abort(self, messages):
+        files, folder = fs.FileSystem.from_uri(self.url)
+        files.delete_dir_contents(f"{folder}/_temporary", missing_dir_ok=True)
+
+
+@dataclass
+class PartMessage(WriterCommitMessage):
+    path: str
+    part: int
+
+
+class Pieces(DataSource):
+    """Sink of ``write_pieces``; Spark's text sink ends each row with a separator that can't be empty."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wayfield_pieces"
+
+    def writer(self, schema, overwrite: bool) -> PiecesWriter:
+        files, folder = fs.FileSystem.from_uri(self.options["url"])
+        files.create_dir(f"{folder}/_temporary", recursive=True)
+        return PiecesWriter(self.options["url"], self.options["header"])
+
+
+def write_pieces(rows: DataFrame, header: str, path: str, single: bool = False) -> None:
+    """One column of text, written without separators as parts that follow one another, ``header`` first.
+
+    ``path`` is resolved as Spark resolves it and must be on a file system that pyarrow opens.
+    """
+    spark = rows.sparkSession
+    spark.dataSource.register(Pieces)
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    url = found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    url = re.sub("^file:/+", "file:///", url).rstrip("/")
+    (rows.coalesce(1) if single else rows).write.format(Pieces.name()).mode("overwrite").options(url=url, header=header).save()
+
+
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ("mcc", "mnc")) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
