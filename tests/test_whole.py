@@ -73,3 +73,15 @@ def test_placement_takes_2000_samples(spark, long_tracks):
     assert placed.select("source_idx", "seq", "segment_id").exceptAll(whole.select("source_idx", "seq", "segment_id")).isEmpty()
     fewer = route.common_route(adapter.route_points(spark, path), catalog.SIZE, 200)
     assert not placed.select("source_idx", "seq", "segment_id").exceptAll(fewer.select("source_idx", "seq", "segment_id")).isEmpty()
+
+
+def test_placement_keeps_every_track_that_matches_none_laid_down(spark, tmp_path):
+    """Two tracks match each other but not the longest: both are joined by ends, in order."""
+    ids = {0: range(400, 54_401, 3000), 1: range(0, 60_001, 3000), 2: range(8600, 59_601, 3000)}
+    spark.createDataFrame([(i, s) for s, own in ids.items() for i in own], "event_id long, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.source_idx, r.seq): (r.distance, r.segment_id) for r in catalog.QUERIES["track_placement"](spark, str(tmp_path)).collect()}
+    gap = math.hypot(900, 8)
+    at = {0: lambda i: 13_500 - (i / 4 - 100), 1: lambda i: 13_500 + gap + i / 4, 2: lambda i: 13_416 + (60_000 - i) / 4}
+    want = {(s, i): at[s](i) for s, own in ids.items() for i in own}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx(want, abs=1e-6)
+    assert {k: v[1] for k, v in got.items()} == {k: math.floor((v + 1e-9) / 100) for k, v in want.items()}
